@@ -99,7 +99,7 @@ def covariances(sums: DataFrame, by: Sequence[str]) -> DataFrame:
         return table.join(other, list(keys))
 
     joined = attach(attach(pairs, left, [*by, "i"]), right, [*by, "j"])
-    joined = attach(joined, count, by) if by else joined.withColumn("n", F.lit(count.first()["n"]))
+    joined = attach(joined, count, by)
     centred = joined.select(*by, "i", "j", (F.col("s") - F.col("ti") * F.col("tj") / F.col("n")).alias("c"))
     mirrored = centred.where(F.col("i") != F.col("j")).select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "c")
     return centred.unionByName(mirrored)
@@ -107,9 +107,13 @@ def covariances(sums: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Correlations (feature_a, feature_b, corr) of complete columns; null where one does not vary."""
-    named = df.select(*[F.col(column).cast("double").alias(f"x_{name}") for name, column in columns.items()])
-    cells = covariances(product_sums(named.withColumn(TARGET, F.lit(0.0)), list(columns)), [])
-    cells = stage(cells.where((F.col("i") != TARGET) & (F.col("j") != TARGET)))
+    named = df.select(
+        F.lit("all").alias("part"),
+        F.lit(0.0).alias(TARGET),
+        *[F.col(column).cast("double").alias(f"x_{name}") for name, column in columns.items()],
+    )
+    sums = stage(product_sums(named, list(columns), ["part"]))
+    cells = stage(covariances(sums, ["part"]).where((F.col("i") != TARGET) & (F.col("j") != TARGET)))
     spread = cells.where(F.col("i") == F.col("j")).select(F.col("i").alias("name"), "c")
     a = spread.select(F.col("name").alias("i"), F.col("c").alias("ci"))
     b = spread.select(F.col("name").alias("j"), F.col("c").alias("cj"))
@@ -301,8 +305,10 @@ def tune_weights(
         .first()
     )
     folds = sums.agg(F.count_distinct("fold")).first()[0]
+    unused = spark.createDataFrame([(None, name, 0.0) for name in features], "fold int, feature string, weight double")
     return (
-        found.groupBy("feature")
+        found.unionByName(unused)
+        .groupBy("feature")
         .agg((F.sum("weight") / folds).alias("weight"))
         .withColumns({"train_corr": F.lit(quality[0]).cast("double"), "test_corr": F.lit(quality[1]).cast("double")})
         .orderBy(F.col("weight").desc(), "feature")
