@@ -73,6 +73,16 @@ def destination_baseline(
     return daily.withColumn("destination_base_difficulty", rate)
 
 
+def with_baseline_values(
+    flights: DataFrame, base: DataFrame, day: str = DAY, destination: str = DESTINATION, limit: int | None = None
+) -> DataFrame:
+    """Attach the baseline of its destination and day to each flight; 0 where there is none."""
+    keys = [destination, day]
+    values = base.select(*keys, "destination_base_difficulty")
+    joined = spread_join(flights, values, keys, sizes=base, rows=F.col("flights"), limit=limit)
+    return joined.fillna(0.0, subset=["destination_base_difficulty"])
+
+
 def with_destination_baseline(
     scored: DataFrame,
     window: int = 7,
@@ -82,18 +92,7 @@ def with_destination_baseline(
     destination: str = DESTINATION,
     limit: int | None = None,
 ) -> DataFrame:
-    """Attach the baseline of its destination and day to each flight; 0 where there is none."""
+    """The baseline from the classes of a scored table, attached to its flights."""
     daily = daily_destinations(scored, day, destination)
     base = stage(destination_baseline(daily, window, min_flights, calendar, day, destination))
-    plain = scored.drop("destination_base_difficulty")
-    keys = [destination, day]
-    joined = spread_join(
-        plain,
-        base.select(*keys, "destination_base_difficulty"),
-        keys,
-        sizes=base,
-        rows=F.col("flights"),
-        by=[*keys, "difficulty_score"] if "difficulty_score" in scored.columns else None,
-        limit=limit,
-    )
-    return joined.fillna(0.0, subset=["destination_base_difficulty"])
+    return with_baseline_values(scored.drop("destination_base_difficulty"), base, day, destination, limit)

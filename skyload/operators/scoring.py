@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyload.config import DAY, normalise_weights
 from skyload.functions.columns import day_number
-from skyload.operators.history import with_destination_baseline
+from skyload.operators.history import daily_destinations, destination_baseline, with_baseline_values
 from skyload.operators.spread import prior_totals, spread_join
 from skyload.operators.staging import stage
 
@@ -89,26 +90,34 @@ def day_class(difficult: float = 0.25, medium: float = 0.75) -> Column:
     return F.when(share < difficult, "Difficult").when(share < medium, "Medium").otherwise("Easy")
 
 
-def ranked_and_classified(
-    scaled_rows: DataFrame,
-    ranges: DataFrame,
-    weights: Mapping[str, float],
-    features: Sequence[str],
-    difficult: float,
-    medium: float,
-    strategy: str,
-    present_only: bool,
-    by: Sequence[str],
-    limit: int | None,
-) -> DataFrame:
-    if strategy == "auto":
-        busiest = ranges.agg(F.max("_flights")).first()[0] or 0
-        strategy = "window" if busiest <= DAY_ROWS else "spread"
-    pointed = scaled_rows.withColumn("_points", weighted_points(weights, features, present_only))
-    ranked = with_daily_rank(pointed, strategy, by, limit)
-    return ranked.withColumns(
-        {"difficulty_score": F.col("_points") / F.lit(float(POINTS)), "difficulty_class": day_class(difficult, medium)}
-    ).drop("_points", "_day", "_flights")
+def chosen_strategy(ranges: DataFrame, strategy: str) -> str:
+    """For ``auto``: ``window`` if the busiest day fits one window partition, else ``spread``."""
+    if strategy != "auto":
+        return strategy
+    busiest = ranges.agg(F.max("_flights")).first()[0] or 0
+    return "window" if busiest <= DAY_ROWS else "spread"
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """How scaled rows become scores, ranks and classes."""
+
+    weights: Mapping[str, float]
+    difficult: float = 0.25
+    medium: float = 0.75
+    strategy: str = "window"
+    present_only: bool = False
+    limit: int | None = None
+
+    def apply(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+        pointed = rows.withColumn("_points", weighted_points(self.weights, features, self.present_only))
+        by = [f"{name}_scaled" for name in features[:4]]
+        ranked = with_daily_rank(pointed, self.strategy, by, self.limit)
+        score = F.col("_points") / F.lit(float(POINTS))
+        classified = ranked.withColumns(
+            {"difficulty_score": score, "difficulty_class": day_class(self.difficult, self.medium)}
+        )
+        return classified.drop("_points", "_day", "_flights")
 
 
 def score_days(
@@ -132,9 +141,26 @@ def score_days(
     features = list(weights if features is None else features)
     ranges = stage(day_ranges(master, features, day))
     rows = with_day_scaling(master, ranges, features, day)
-    by = ["_day", *[f"{name}_scaled" for name in features[:4]]]
-    return ranked_and_classified(
-        rows, ranges, weights, features, difficult, medium, strategy, present_only, by, limit
+    ranking = Ranking(weights, difficult, medium, chosen_strategy(ranges, strategy), present_only, limit)
+    return ranking.apply(rows, features)
+
+
+def baseline_ranges(base: DataFrame, ranges: DataFrame, day: str = DAY) -> DataFrame:
+    """Day extremes of the baseline from its table per destination and day, without reading flights again.
+
+    Flights that have no destination are not in that table; their baseline is 0.
+    """
+    value = F.coalesce(BASELINE, F.lit(0.0))
+    listed = base.groupBy(day_number(F.col(day)).alias("_day")).agg(
+        F.sum("flights").alias("_listed"), F.min(value).alias("_low"), F.max(value).alias("_high")
+    )
+    all_listed = F.col("_listed") == F.col("_flights")
+    zero = F.when(F.coalesce(all_listed, F.lit(False)), None).otherwise(0.0)
+    return ranges.select("_day", "_flights").join(listed, "_day", "left").select(
+        "_day",
+        "_flights",
+        F.least("_low", zero).alias(f"_min_{BASELINE}"),
+        F.greatest("_high", zero).alias(f"_max_{BASELINE}"),
     )
 
 
@@ -153,20 +179,18 @@ def score_twice(
 ) -> DataFrame:
     """Score, derive each destination's baseline from the classes, and score again with it.
 
-    The first pass is written once. The second scales only the baseline: the other scaled features
-    cannot change, so their columns are used again.
+    The first pass is read for its classes per destination and day only. The second scales only the
+    baseline: no other feature has changed, so its day extremes are used again.
     """
-    options = dict(difficult=difficult, medium=medium, day=day, strategy=strategy, limit=limit)
     first = [name for name in features if name != BASELINE]
-    scored = score_days(master.drop(BASELINE), weights, first, **options)
+    plain = master.drop(BASELINE)
+    ranges = stage(day_ranges(plain, first, day))
+    ranking = Ranking(weights, difficult, medium, chosen_strategy(ranges, strategy), False, limit)
+    rows = with_day_scaling(plain, ranges, first, day)
     if BASELINE not in weights:
-        return scored
-    scored = stage(scored)
-    based = with_destination_baseline(scored, window, min_flights, calendar, day, limit=limit)
-    based = stage(based.drop("difficulty_score", "daily_rank", "difficulty_class"))
-    ranges = stage(day_ranges(based, [BASELINE], day))
-    rows = with_day_scaling(based, ranges, [BASELINE], day)
-    by = ["_day", *[f"{name}_scaled" for name in first[:4]]]
-    return ranked_and_classified(
-        rows, ranges, weights, [*first, BASELINE], difficult, medium, strategy, False, by, limit
-    )
+        return ranking.apply(rows, first)
+    daily = daily_destinations(ranking.apply(rows, first), day)
+    base = stage(destination_baseline(daily, window, min_flights, calendar, day))
+    based = with_baseline_values(rows, base, day, limit=limit)
+    second = with_day_scaling(based.drop("_day", "_flights"), stage(baseline_ranges(base, ranges, day)), [BASELINE], day)
+    return ranking.apply(second, [*first, BASELINE])

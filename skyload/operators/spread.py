@@ -10,26 +10,57 @@ from pyspark.sql import functions as F
 from skyload.functions.columns import day_number
 from skyload.operators.staging import stage
 
-# A key with more rows than this is split over several tasks.
+# A key with about this many rows or more is split over several tasks.
 HOT_ROWS = 2_000_000
 
+# Rows of a key at the limit that the search for such keys expects to see.
+SEEN_ROWS = 1_000
+
 # Width of the first-level bucket of an integer key in running totals: a bucket holds at most
 # this many distinct keys, and a key range of a billion has at most 30,518 buckets.
 BUCKET_WIDTH = 32_768
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int, rows: Column | None = None) -> DataFrame:
-    """Keys with more than ``limit`` rows and the number of parts to split them into.
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], limit: int | None = None, rows: Column | None = None
+) -> DataFrame | None:
+    """Keys with more than ``limit`` rows and the number of parts to split each into; None if there are none.
 
-    There are fewer than (all rows / limit) such keys, whatever the data, so the result may be broadcast.
+    Only the balance of later joins depends on the answer, never their result, so a large table is
+    searched by counting a random share of its key columns: it costs a narrow scan and hardly any
+    shuffle. With ``rows``, a column of counts, the answer is exact. There are at most
+    about (all rows / limit) such keys, so the table may be broadcast; it is written once, so that
+    both sides of a join use the same one.
     """
-    count = F.count(F.lit(1)) if rows is None else F.sum(rows)
-    return (
-        df.groupBy(*keys)
-        .agg(count.alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .select(*keys, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_parts"))
-    )
+    limit = limit or HOT_ROWS
+    if rows is None:
+        share = min(1.0, SEEN_ROWS / limit)
+        seen = df.select(*keys) if share == 1.0 else df.select(*keys).sample(fraction=share, seed=17)
+        counted = seen.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(share)).alias("_rows"))
+        least = limit if share == 1.0 else limit / 2
+    else:
+        counted, least = df.groupBy(*keys).agg(F.sum(rows).alias("_rows")), limit
+    heavy = counted.where(F.col("_rows") > least)
+    if heavy.isEmpty():
+        return None
+    return stage(heavy.select(*keys, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_parts")))
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, how: str, by: Sequence[str]
+) -> DataFrame:
+    """Join with the rows of the hot keys cut into parts.
+
+    A left row's part is a hash of the columns ``by`` and of its input partition, so exact copies are
+    split too and a repeated task repeats its choice. The right rows of hot keys are copied
+    once per part.
+    """
+    keys = list(keys)
+    part = F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.col("_parts")).cast("int")
+    parted = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.when(F.col("_parts") > 1, part).otherwise(0))
+    all_parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(all_parts)).drop("_parts")
+    return parted.drop("_parts").join(copied, [*keys, "_part"], how).drop("_part")
 
 
 def spread_join(
@@ -42,24 +73,40 @@ def spread_join(
     by: Sequence[str] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Join a large table to one with few rows per key; keys heavy on the left are split.
+    """Join a large table to one with few rows per key, splitting the keys heavy on the left.
+
+    ``sizes`` may name a cheaper table to search for heavy keys, or one with a count column ``rows``.
+    Without heavy keys this is a plain join.
+    """
+    hot = hot_keys(left if sizes is None else sizes, keys, limit, rows)
+    if hot is None:
+        return left.join(right, list(keys), how)
+    return salted_join(left, right, keys, hot, how, by or left.columns)
+
+
+def attach_all(
+    left: DataFrame,
+    rights: Sequence[DataFrame],
+    keys: Sequence[str],
+    sizes: DataFrame | None = None,
+    by: Sequence[str] | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """Left join several tables that have one row per key and are grouped by it.
 
-    Rows of a heavy key go to several tasks by a hash of the columns ``by`` (all by default) and of
-    the input partition (so exact copies are split too, and a repeated task repeats its choice); only
-    the right rows of heavy keys are copied, once per part. ``sizes`` may name a cheaper table
-    (or one with a count column ``rows``) to find the heavy keys in.
+    Without heavy keys the joins follow each other on the partitioning of the grouped tables, so only the
+    left table moves. Else the tables are put together first and joined once, in parts.
     """
     keys = list(keys)
-    hot = hot_keys(left if sizes is None else sizes, keys, limit or HOT_ROWS, rows)
-    part = F.pmod(F.xxhash64(*(by or left.columns), F.spark_partition_id()), F.col("_parts")).cast("int")
-    spread_left = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_part", F.when(F.col("_parts") > 1, part).otherwise(0)
-    )
-    all_parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
-    copied_right = (
-        right.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(all_parts)).drop("_parts")
-    )
-    return spread_left.drop("_parts").join(copied_right, [*keys, "_part"], how).drop("_part")
+    hot = hot_keys(left if sizes is None else sizes, keys, limit)
+    if hot is None:
+        for right in rights:
+            left = left.join(right, keys, "left")
+        return left
+    together = rights[0]
+    for right in rights[1:]:
+        together = together.join(right, keys, "full")
+    return salted_join(left, together, keys, hot, "left", by or left.columns)
 
 
 def prior_totals(
@@ -160,14 +207,12 @@ def chunk_borders(df: DataFrame, group: str, day: str, limit: int, rows: int) ->
     than (all rows / limit) entries, so they may be broadcast.
     """
     step = max(limit, 2 * rows)
-    daily = (
-        df.where(F.col(group).isNotNull())
-        .groupBy(group, day_number(F.col(day)).alias("_day"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    large = stage(daily.groupBy(group).agg(F.sum("_rows").alias("_all")).where(F.col("_all") > step).select(group))
+    known = df.where(F.col(group).isNotNull())
+    large = known.groupBy(group).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > step).select(group)
     if large.isEmpty():
         return None
+    large = stage(large)
+    daily = known.groupBy(group, day_number(F.col(day)).alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
     in_order = Window.partitionBy(group).orderBy("_day")
     passed = F.coalesce(F.sum("_rows").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = (

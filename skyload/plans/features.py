@@ -20,7 +20,7 @@ from skyload.operators.context import (
 from skyload.operators.history import with_volatility
 from skyload.operators.passengers import passenger_features, with_load
 from skyload.operators.service import service_features
-from skyload.operators.spread import spread_join
+from skyload.operators.spread import attach_all
 from skyload.operators.turn import with_extra_features, with_turn_features
 from skyload.sources.tables import Inputs
 
@@ -38,19 +38,15 @@ COUNTS = (
 RATIOS = ("transfer_ratio", "bag_issue_lead_mean", "bag_late_issue_ratio")
 
 
-def flight_aggregates(inputs: Inputs, settings: Settings, day: str = DAY, limit: int | None = None) -> DataFrame:
-    """Passenger, bag and service features, one row per flight key any of them has.
-
-    The three tables come out of their aggregates partitioned by the flight key,
-    so putting them together moves no data.
-    """
+def flight_aggregates(inputs: Inputs, settings: Settings, day: str = DAY, limit: int | None = None) -> list[DataFrame]:
+    """Passenger, bag and service features, each one row per flight key."""
     key = list(settings.key)
     passengers = passenger_features(inputs.bookings, key, settings.late_booking_days, day)
     bags = bag_features(inputs.bags, inputs.flights, key, limit=limit)
     requests = service_features(
         inputs.bookings, inputs.remarks, key, settings.mobility_keywords, settings.special_keywords, settings.ssr_mode, limit
     )
-    return passengers.join(bags, key, "full").join(requests, key, "full")
+    return [passengers, bags, requests]
 
 
 def with_interactions(master: DataFrame) -> DataFrame:
@@ -79,7 +75,7 @@ def build_features(
     flights = with_weather(inputs.flights, inputs.weather, limit=limit) if inputs.weather is not None else inputs.flights
     aggregates = flight_aggregates(inputs, settings, limit=limit)
     identity = [*key, *([DEPARTURE] if DEPARTURE in flights.columns else [])]
-    master = spread_join(flights, aggregates, key, sizes=inputs.flights, by=identity, limit=limit)
+    master = attach_all(flights, aggregates, key, sizes=inputs.flights, by=identity, limit=limit)
     master = master.fillna(0, subset=[*COUNTS, *RATIOS])
     master = with_load(with_turn_features(master))
     master = with_bags_per_seat(with_aircraft(master, settings.widebody_seats))

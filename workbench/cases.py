@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skyload.config import DAY, DEFAULT_WEIGHTS, DEPARTURE, DESTINATION, FULL_WEIGHTS, LIFT_FEATURES, ORIGIN, usable_features
 from skyload.functions.parsing import parse_date
 from skyload.operators import bags, charts, context, history, insights, measures, passengers, scoring, service, tuning, turn
-from skyload.operators.spread import spread_join
+from skyload.operators.spread import attach_all, spread_join
 from skyload.operators.staging import shared_folder, stage
 from skyload.plans import features as feature_plans
 from skyload.plans import reports
@@ -78,7 +78,7 @@ def slice_master(spark: SparkSession, folder: str) -> DataFrame:
     flights = tables.flights(spark, folder)
     counts = bags.bag_counts(tables.bags(spark, folder), KEY)
     pax = passengers.passenger_totals(tables.bookings(spark, folder), KEY)
-    joined = spread_join(flights, counts.join(pax, KEY, "full"), KEY, sizes=flights, by=[*KEY, DEPARTURE])
+    joined = attach_all(flights, [counts, pax], KEY, sizes=flights, by=[*KEY, DEPARTURE])
     joined = joined.fillna(0, subset=["hot_transfer_count", "total_transfer_bags", "total_bags", "transfer_ratio"])
     return context.with_aircraft(turn.with_turn_features(passengers.with_load(joined)))
 
@@ -94,12 +94,12 @@ def full_master(spark: SparkSession, folder: str) -> DataFrame:
 def default_master(spark: SparkSession, folder: str, delays: bool = False) -> DataFrame:
     """The features of the default weights, and no others."""
     source = tables.inputs(spark, folder, delays)
-    aggregates = (
-        passengers.passenger_features(source.bookings, KEY)
-        .join(bags.bag_counts(source.bags, KEY), KEY, "full")
-        .join(service.service_features(source.bookings, source.remarks, KEY, SETTINGS.mobility_keywords, SETTINGS.special_keywords), KEY, "full")
-    )
-    joined = spread_join(source.flights, aggregates, KEY, sizes=source.flights, by=[*KEY, DEPARTURE])
+    aggregates = [
+        passengers.passenger_features(source.bookings, KEY),
+        bags.bag_counts(source.bags, KEY),
+        service.service_features(source.bookings, source.remarks, KEY, SETTINGS.mobility_keywords, SETTINGS.special_keywords),
+    ]
+    joined = attach_all(source.flights, aggregates, KEY, sizes=source.flights, by=[*KEY, DEPARTURE])
     joined = joined.fillna(0, subset=[*feature_plans.COUNTS, "transfer_ratio"])
     joined = context.with_aircraft(turn.with_turn_features(passengers.with_load(joined)))
     return context.with_country(joined, source.airports, SETTINGS.home_country)
@@ -201,14 +201,14 @@ def input_row_counts(spark, folder):
 
 @case(
     "booking_lead",
-    {"flight_id": "i", "booking_lead_days_mean": 6, "booking_lead_days_median": 6, "late_booking_ratio": 6},
+    {"flight_id": "i", "booking_lead_days_mean": 9, "booking_lead_days_median": 9, "late_booking_ratio": 9},
     "passengers",
     ("passengers",),
 )
 @case(
     "passenger_agg",
     {"flight_id": "i", "total_pax": "i", "basic_economy_pax": "i", "children": "i", "stroller_users": "i",
-     "lap_children": "i", "booking_lead_days_mean": 6, "booking_lead_days_median": 6, "late_booking_ratio": 6},
+     "lap_children": "i", "booking_lead_days_mean": 9, "booking_lead_days_median": 9, "late_booking_ratio": 9},
     "passengers",
     ("passengers",),
 )
@@ -219,7 +219,7 @@ def passenger_agg(spark, folder):
 @case(
     "bag_features",
     {"flight_id": "i", "checked_bags": "i", "hot_transfer_count": "i", "total_transfer_bags": "i", "total_bags": "i",
-     "transfer_ratio": 6, "bag_per_seat_ratio": 6},
+     "transfer_ratio": 9, "bag_per_seat_ratio": 9},
     """(SELECT f.flight_id, coalesce(checked_bags, 0) AS checked_bags, coalesce(hot_transfer_count, 0) AS hot_transfer_count,
         coalesce(total_transfer_bags, 0) AS total_transfer_bags, coalesce(total_bags, 0) AS total_bags,
         coalesce(transfer_ratio, 0) AS transfer_ratio,
@@ -237,7 +237,7 @@ def bag_features(spark, folder):
 
 @case(
     "bag_ratio_eda",
-    {"flight_id": "i", "checked_bags": "i", "transfer_bags": "i", "total_bags": "i", "transfer_ratio": 6},
+    {"flight_id": "i", "checked_bags": "i", "transfer_bags": "i", "total_bags": "i", "transfer_ratio": 9},
     "bag_shares",
     ("bag_shares",),
 )
@@ -247,7 +247,7 @@ def bag_ratio_eda(spark, folder):
 
 @case(
     "bag_timing",
-    {"flight_id": "i", "total_bags": "i", "bag_issue_lead_mean": 6, "bag_late_issue_ratio": 6},
+    {"flight_id": "i", "total_bags": "i", "bag_issue_lead_mean": 9, "bag_late_issue_ratio": 9},
     "bag_timing JOIN bag_counts USING (flight_id)",
     ("bag_timing", "bag_counts"),
 )
@@ -257,7 +257,7 @@ def bag_timing(spark, folder):
 
 @case(
     "turn_features",
-    {"flight_id": "i", "ground_time_pressure": "i", "actual_turn_deficit": "i", "turn_deficit_ratio": 6},
+    {"flight_id": "i", "ground_time_pressure": "i", "actual_turn_deficit": "i", "turn_deficit_ratio": 9},
     "slice",
     ("slice",),
 )
@@ -278,7 +278,7 @@ def international_flag(spark, folder):
 
 @case(
     "load_factor",
-    {"flight_id": "i", "total_pax": "i", "load_factor": 6, "basic_economy_ratio": 6},
+    {"flight_id": "i", "total_pax": "i", "load_factor": 9, "basic_economy_ratio": 9},
     """(SELECT f.flight_id, coalesce(p.total_pax, 0) AS total_pax, coalesce(p.total_pax, 0) / nullif(CAST(total_seats AS DOUBLE), 0) AS load_factor,
         coalesce(basic_economy_pax / nullif(CAST(p.total_pax AS DOUBLE), 0), 0) AS basic_economy_ratio
         FROM flights f LEFT JOIN passengers p USING (flight_id))""",
@@ -308,8 +308,8 @@ def aircraft_size_bins(spark, folder):
 
 @case(
     "extra_features",
-    {"flight_id": "i", "turn_buffer_ratio": 6, "scheduled_block_minutes": 6, "long_haul_indicator": "i", "is_express": "i",
-     "bag_intensity": 6, "ssr_per_pax": 6, "pressure_index": 6},
+    {"flight_id": "i", "turn_buffer_ratio": 9, "scheduled_block_minutes": 9, "long_haul_indicator": "i", "is_express": "i",
+     "bag_intensity": 9, "ssr_per_pax": 9, "pressure_index": 9},
     """(SELECT *, scheduled_ground_time_minutes / CAST(minimum_turn_minutes AS DOUBLE) AS turn_buffer_ratio,
         (epoch_us(scheduled_arrival_datetime_local) - epoch_us(scheduled_departure_datetime_local)) / 60000000.0 AS scheduled_block_minutes,
         CASE WHEN epoch_us(scheduled_arrival_datetime_local) - epoch_us(scheduled_departure_datetime_local) >= 21600000000 THEN 1 ELSE 0 END AS long_haul_indicator,
@@ -324,7 +324,7 @@ def extra_features(spark, folder):
 
 @case(
     "interaction_terms",
-    {"flight_id": "i", "transfer_ground_interaction": 6, "load_pressure_interaction": 6},
+    {"flight_id": "i", "transfer_ground_interaction": 9, "load_pressure_interaction": 9},
     """(SELECT flight_id, transfer_ratio * ground_time_pressure AS transfer_ground_interaction,
         load_factor * ground_time_pressure AS load_pressure_interaction FROM slice)""",
     ("slice",),
@@ -403,9 +403,9 @@ def trailing_volatility(spark, folder):
 
 @case(
     "optional_columns",
-    {"flight_id": "i", "total_pax": "i", "basic_economy_ratio": 6, "booking_lead_days_mean": 6, "late_booking_ratio": 6,
+    {"flight_id": "i", "total_pax": "i", "basic_economy_ratio": 9, "booking_lead_days_mean": 9, "late_booking_ratio": 9,
      "total_bags": "i", "ssr_count": "i", "ssr_mobility_count": "i", "ground_time_pressure": "i", "actual_turn_deficit": "i",
-     "turn_deficit_ratio": 6, "bag_issue_lead_mean": 6, "slot_congestion_count": "i", "load_factor_volatility": 6,
+     "turn_deficit_ratio": 9, "bag_issue_lead_mean": 9, "slot_congestion_count": "i", "load_factor_volatility": 6,
      "weather_severity_index": 6, "widebody_flag": "i"},
     """(SELECT f.flight_id, coalesce(p.total_pax, 0) AS total_pax, CASE WHEN p.total_pax > 0 THEN 1 ELSE 0 END AS basic_economy_ratio,
         CAST(NULL AS DOUBLE) AS booking_lead_days_mean, CASE WHEN p.flight_id IS NULL THEN NULL ELSE 0 END AS late_booking_ratio,
@@ -427,7 +427,7 @@ def optional_columns(spark, folder):
     return feature_plans.build_features(bare, SETTINGS)
 
 
-FULL_COLUMNS = {"flight_id": "i", **{name: 6 for name in FIRST}}
+FULL_COLUMNS = {"flight_id": "i", **{name: 6 if name.endswith("volatility") else 9 for name in FIRST}}
 
 
 @case("flight_features", FULL_COLUMNS, "full_master", ("full_master",))
@@ -438,7 +438,7 @@ def flight_features(spark, folder):
 # Scores -----------------------------------------------------------------------------------------
 
 
-@case("daily_minmax_scale", {"flight_id": "i", DAY: "s", **{f"{name}_scaled": 6 for name in SLICE}}, "slice_scaled", ("slice_scaled",))
+@case("daily_minmax_scale", {"flight_id": "i", DAY: "s", **{f"{name}_scaled": 9 for name in SLICE}}, "slice_scaled", ("slice_scaled",))
 def daily_minmax_scale(spark, folder):
     master = stage(slice_master(spark, folder))
     return scoring.with_day_scaling(master, stage(scoring.day_ranges(master, SLICE)), SLICE)
@@ -475,7 +475,7 @@ def class_distribution(spark, folder):
     return charts.class_counts(slice_scored(spark, folder))
 
 
-BASELINE_COLUMNS = {DESTINATION: "s", DAY: "s", "flights": "i", "difficult": "i", "destination_base_difficulty": 6}
+BASELINE_COLUMNS = {DESTINATION: "s", DAY: "s", "flights": "i", "difficult": "i", "destination_base_difficulty": 9}
 
 
 @case("destination_baseline", BASELINE_COLUMNS, "slice_baseline", ("slice_baseline",))
@@ -490,7 +490,7 @@ def destination_baseline_calendar(spark, folder):
 
 @case(
     "rescore_two_pass",
-    {"flight_id": "i", "destination_base_difficulty": 6, "difficulty_score": 9, "daily_rank": "i", "difficulty_class": "s"},
+    {"flight_id": "i", "destination_base_difficulty": 9, "difficulty_score": 9, "daily_rank": "i", "difficulty_class": "s"},
     "second_scored",
     ("second_scored",),
 )
@@ -565,7 +565,7 @@ def recommendations(spark, folder):
 # Measures and chart tables ----------------------------------------------------------------------
 
 
-@case("delay_metrics", {"flight_id": "i", "dep_delay_minutes": 6}, "loads", ("loads",))
+@case("delay_metrics", {"flight_id": "i", "dep_delay_minutes": 9}, "loads", ("loads",))
 def delay_metrics(spark, folder):
     return turn.with_delay(tables.flights(spark, folder, delays=True))
 
@@ -696,7 +696,7 @@ def transfer_ratio_histogram(spark, folder):
 
 @case(
     "scatter_sample",
-    {"flight_id": "i", "ground_time_delta": "i", "dep_delay_minutes": 6},
+    {"flight_id": "i", "ground_time_delta": "i", "dep_delay_minutes": 9},
     "(SELECT * FROM loads ORDER BY (flight_id * 2654435761) % 4294967296, flight_id LIMIT 3000)",
     ("loads",),
 )
@@ -727,7 +727,7 @@ def tuning_design(spark, folder, delays: bool = False):
 
 @case(
     "global_minmax_scale",
-    {"flight_id": "i", **{f"x_{name}": 6 for name in SLICE}},
+    {"flight_id": "i", **{f"x_{name}": 9 for name in SLICE}},
     "(SELECT flight_id, "
     + ", ".join(
         f"coalesce((CAST({n} AS DOUBLE) - min(CAST({n} AS DOUBLE)) OVER ()) / nullif(max(CAST({n} AS DOUBLE)) OVER () - min(CAST({n} AS DOUBLE)) OVER (), 0), 0) AS x_{n}"
