@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from skyload.config import DAY, DEPARTURE, DESTINATION, ORIGIN
 from skyload.functions.columns import flag, hour_floor, or_zero, ratio
-from skyload.operators.spread import spread_join
+from skyload.operators.spread import lookup_join
 from skyload.operators.staging import stage
 
 # Fixed value: fleet names of wide-body aircraft.
 WIDEBODY_FLEETS = "(?i)767|777|787|330|350"
 
 
-def with_country(flights: DataFrame, airports: DataFrame, home: str = "US") -> DataFrame:
-    """Country of the arrival airport; anything but the home country, unknown included, is international.
-
-    The airport list has no broadcast hint: Spark broadcasts it by its file size.
-    """
+def with_country(
+    flights: DataFrame, airports: DataFrame, home: str = "US", sizes: DataFrame | None = None, small: int | None = None
+) -> DataFrame:
+    """Country of the arrival airport; anything but the home country, unknown included, is international."""
     pairs = airports.select("airport_iata_code", "iso_country_code").where("airport_iata_code IS NOT NULL").distinct()
-    joined = flights.join(pairs, F.col(DESTINATION) == F.col("airport_iata_code"), "left")
+    arrivals = stage(pairs.withColumn(DESTINATION, F.col("airport_iata_code")))
+    joined = lookup_join(flights, arrivals, [DESTINATION], sizes=sizes, small=small)
     return joined.withColumn("is_international", (~F.col("iso_country_code").eqNullSafe(home)).cast("int"))
 
 
@@ -49,20 +49,17 @@ def with_slot_congestion(
     departure: str = DEPARTURE,
     source: DataFrame | None = None,
     limit: int | None = None,
+    small: int | None = None,
 ) -> DataFrame:
     """Attach the slot counts. They are counted first, so no task ever holds a whole busy slot."""
     if not {ORIGIN, departure} <= set(flights.columns):
         return flights.withColumn("slot_congestion_count", F.lit(0).cast("bigint"))
     counts = slot_counts(flights if source is None else source, per_date, departure)
     hours = flights.withColumn("slot_hour", F.hour(departure))
-    if not per_date:
-        # At most 24 rows per station: a written table that small is broadcast by its size.
-        return hours.join(stage(counts), [ORIGIN, "slot_hour"], "left").drop("slot_hour")
     counts = stage(counts)
-    keys = [ORIGIN, "slot_hour", DAY]
-    return spread_join(
-        hours, counts, keys, sizes=counts, rows=F.col("slot_congestion_count"), by=[departure, *keys], limit=limit
-    ).drop("slot_hour")
+    keys = [ORIGIN, "slot_hour", *([DAY] if per_date else [])]
+    rows = counts.withColumn("_flights", F.col("slot_congestion_count"))
+    return lookup_join(hours, rows, keys, rows="_flights", by=[departure, *keys], limit=limit, small=small).drop("slot_hour")
 
 
 def hourly_weather(weather: DataFrame) -> DataFrame:
@@ -81,7 +78,11 @@ WEATHER_COLUMNS = {"station_code", "observation_time", "weather_severity_index"}
 
 
 def with_weather(
-    flights: DataFrame, weather: DataFrame | None, departure: str = DEPARTURE, limit: int | None = None
+    flights: DataFrame,
+    weather: DataFrame | None,
+    departure: str = DEPARTURE,
+    limit: int | None = None,
+    small: int | None = None,
 ) -> DataFrame:
     """Severity at the departure station in the hour of departure; 0 when there is none."""
     usable = weather is not None and WEATHER_COLUMNS <= set(weather.columns) and departure in flights.columns
@@ -90,7 +91,7 @@ def with_weather(
         return plain.withColumn("weather_severity_index", F.lit(0.0))
     timed = plain.withColumn("weather_hour", hour_floor(F.col(departure).cast("timestamp_ntz")))
     keys = [ORIGIN, "weather_hour"]
-    joined = spread_join(timed, hourly_weather(weather), keys, by=[*keys, departure], limit=limit)
+    joined = lookup_join(timed, stage(hourly_weather(weather)), keys, by=[*keys, departure], limit=limit, small=small)
     return joined.withColumn(
         "weather_severity_index", F.coalesce("weather_severity_index", F.lit(0.0))
     ).drop("weather_hour")

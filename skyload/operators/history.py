@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyload.config import DAY, DESTINATION
 from skyload.functions.columns import day_number
-from skyload.operators.spread import spread_join, trailing_window
+from skyload.operators.spread import lookup_join, trailing_window
 from skyload.operators.staging import stage
 
 DIFFICULT = "Difficult"
@@ -74,12 +74,17 @@ def destination_baseline(
 
 
 def with_baseline_values(
-    flights: DataFrame, base: DataFrame, day: str = DAY, destination: str = DESTINATION, limit: int | None = None
+    flights: DataFrame,
+    base: DataFrame,
+    day: str = DAY,
+    destination: str = DESTINATION,
+    limit: int | None = None,
+    small: int | None = None,
 ) -> DataFrame:
     """Attach the baseline of its destination and day to each flight; 0 where there is none."""
     keys = [destination, day]
-    values = base.select(*keys, "destination_base_difficulty")
-    joined = spread_join(flights, values, keys, sizes=base, rows=F.col("flights"), limit=limit)
+    values = base.select(*keys, "flights", "destination_base_difficulty")
+    joined = lookup_join(flights, values, keys, rows="flights", limit=limit, small=small)
     return joined.fillna(0.0, subset=["destination_base_difficulty"])
 
 
@@ -91,8 +96,9 @@ def with_destination_baseline(
     day: str = DAY,
     destination: str = DESTINATION,
     limit: int | None = None,
+    small: int | None = None,
 ) -> DataFrame:
     """The baseline from the classes of a scored table, attached to its flights."""
     daily = daily_destinations(scored, day, destination)
     base = stage(destination_baseline(daily, window, min_flights, calendar, day, destination))
-    return with_baseline_values(scored.drop("destination_base_difficulty"), base, day, destination, limit)
+    return with_baseline_values(scored.drop("destination_base_difficulty"), base, day, destination, limit, small)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyload.config import DAY, normalise_weights
 from skyload.functions.columns import day_number
 from skyload.operators.history import daily_destinations, destination_baseline, with_baseline_values
-from skyload.operators.spread import prior_totals, spread_join
+from skyload.operators.spread import lookup_join, prior_totals
 from skyload.operators.staging import stage
 
 # A day with more flights than this is ranked by counting, not in one window partition.
@@ -47,7 +47,7 @@ def scaled(name: str) -> Column:
 
 def with_day_scaling(master: DataFrame, ranges: DataFrame, features: Sequence[str], day: str = DAY) -> DataFrame:
     """Add ``<feature>_scaled``; keeps ``_day`` and ``_flights`` for the ranking."""
-    joined = master.withColumn("_day", day_number(F.col(day))).join(ranges, "_day")
+    joined = lookup_join(master.withColumn("_day", day_number(F.col(day))), ranges, ["_day"], "inner")
     bounds = [f"_{end}_{name}" for name in features for end in ("min", "max")]
     return joined.withColumns({f"{name}_scaled": scaled(name) for name in features}).drop(*bounds)
 
@@ -65,7 +65,9 @@ def weighted_points(
     return F.round(total * F.lit(float(POINTS))).cast("bigint")
 
 
-def with_daily_rank(scored: DataFrame, strategy: str, by: Sequence[str], limit: int | None = None) -> DataFrame:
+def with_daily_rank(
+    scored: DataFrame, strategy: str, by: Sequence[str], limit: int | None = None, small: int | None = None
+) -> DataFrame:
     """Dense rank of ``_points`` within ``_day``, best first.
 
     ``window`` sorts each day in one partition. ``spread`` counts distinct scores per day in
@@ -76,12 +78,10 @@ def with_daily_rank(scored: DataFrame, strategy: str, by: Sequence[str], limit:
         return scored.withColumn("daily_rank", F.dense_rank().over(order))
     if strategy != "spread":
         raise ValueError(f"unknown ranking strategy: {strategy}")
-    counted = {"_tied": F.count(F.lit(1))}
-    ranks = stage(prior_totals(scored, ["_day"], "_points", counted, descending=True))
-    ranked = ranks.select("_day", "_points", (F.col("keys_before") + 1).cast("int").alias("daily_rank"))
-    return spread_join(
-        scored, ranked, ["_day", "_points"], sizes=ranks, rows=F.col("_tied"), by=by, limit=limit
-    )
+    counted = prior_totals(scored, ["_day"], "_points", {"_tied": F.count(F.lit(1))}, descending=True)
+    rank = (F.col("keys_before") + 1).cast("int").alias("daily_rank")
+    ranks = stage(counted.select("_day", "_points", rank, "_tied"))
+    return lookup_join(scored, ranks, ["_day", "_points"], rows="_tied", by=by, limit=limit, small=small)
 
 
 def day_class(difficult: float = 0.25, medium: float = 0.75) -> Column:
@@ -108,11 +108,12 @@ class Ranking:
     strategy: str = "window"
     present_only: bool = False
     limit: int | None = None
+    small: int | None = None
 
     def apply(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
         pointed = rows.withColumn("_points", weighted_points(self.weights, features, self.present_only))
         by = [f"{name}_scaled" for name in features[:4]]
-        ranked = with_daily_rank(pointed, self.strategy, by, self.limit)
+        ranked = with_daily_rank(pointed, self.strategy, by, self.limit, self.small)
         score = F.col("_points") / F.lit(float(POINTS))
         classified = ranked.withColumns(
             {"difficulty_score": score, "difficulty_class": day_class(self.difficult, self.medium)}
@@ -130,18 +131,18 @@ def score_days(
     strategy: str = "auto",
     present_only: bool = False,
     limit: int | None = None,
+    small: int | None = None,
 ) -> DataFrame:
     """Add scaled features, score, daily rank and class to each flight.
 
     The table is read for the day extremes, then for the score; stage an expensive one first.
-    The extremes are one short row per calendar day, written and read back, so that Spark joins them
-    by their measured size. Weights are normalised over all keys, those of absent features too,
+    The extremes are one short row per calendar day, written, counted and then broadcast. Weights are normalised over all keys, those of absent features too,
     unless ``present_only``. ``auto`` ranks by window only if the busiest day is small enough.
     """
     features = list(weights if features is None else features)
     ranges = stage(day_ranges(master, features, day))
     rows = with_day_scaling(master, ranges, features, day)
-    ranking = Ranking(weights, difficult, medium, chosen_strategy(ranges, strategy), present_only, limit)
+    ranking = Ranking(weights, difficult, medium, chosen_strategy(ranges, strategy), present_only, limit, small)
     return ranking.apply(rows, features)
 
 
@@ -176,6 +177,7 @@ def score_twice(
     day: str = DAY,
     strategy: str = "auto",
     limit: int | None = None,
+    small: int | None = None,
 ) -> DataFrame:
     """Score, derive each destination's baseline from the classes, and score again with it.
 
@@ -185,12 +187,12 @@ def score_twice(
     first = [name for name in features if name != BASELINE]
     plain = master.drop(BASELINE)
     ranges = stage(day_ranges(plain, first, day))
-    ranking = Ranking(weights, difficult, medium, chosen_strategy(ranges, strategy), False, limit)
+    ranking = Ranking(weights, difficult, medium, chosen_strategy(ranges, strategy), False, limit, small)
     rows = with_day_scaling(plain, ranges, first, day)
     if BASELINE not in weights:
         return ranking.apply(rows, first)
     daily = daily_destinations(ranking.apply(rows, first), day)
     base = stage(destination_baseline(daily, window, min_flights, calendar, day))
-    based = with_baseline_values(rows, base, day, limit=limit)
+    based = with_baseline_values(rows, base, day, limit=limit, small=small)
     second = with_day_scaling(based.drop("_day", "_flights"), stage(baseline_ranges(base, ranges, day)), [BASELINE], day)
     return ranking.apply(second, [*first, BASELINE])

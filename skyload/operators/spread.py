@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -16,6 +17,12 @@ HOT_ROWS = 2_000_000
 # Rows of a key at the limit that the search for such keys expects to see.
 SEEN_ROWS = 1_000
 
+# Parts for left rows that lack a key.
+MISSING_PARTS = 10_000
+
+# A lookup table of up to this many rows is sent to every executor.
+LOOKUP_ROWS = 300_000
+
 # Width of the first-level bucket of an integer key in running totals: a bucket holds at most
 # this many distinct keys, and a key range of a billion has at most 30,518 buckets.
 BUCKET_WIDTH = 32_768
@@ -53,11 +60,15 @@ def salted_join(
 
     A left row's part is a hash of the columns ``by`` and of its input partition, so exact copies are
     split too and a repeated task repeats its choice. The right rows of hot keys are copied
-    once per part.
+    once per part. The hot table has at most (all rows / limit) rows.
     """
     keys = list(keys)
-    part = F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.col("_parts")).cast("int")
-    parted = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.when(F.col("_parts") > 1, part).otherwise(0))
+    mixed = F.xxhash64(*by, F.spark_partition_id())
+    part = F.when(F.col("_parts") > 1, F.pmod(mixed, F.col("_parts"))).otherwise(0)
+    # Rows with a missing key match nothing, so they may go anywhere.
+    unmatched = reduce(Column.__or__, [F.col(name).isNull() for name in keys])
+    part = F.when(unmatched, F.pmod(mixed, F.lit(MISSING_PARTS))).otherwise(part).cast("int")
+    parted = left.join(F.broadcast(hot), keys, "left").withColumn("_part", part)
     all_parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
     copied = right.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(all_parts)).drop("_parts")
     return parted.drop("_parts").join(copied, [*keys, "_part"], how).drop("_part")
@@ -84,6 +95,29 @@ def spread_join(
     return salted_join(left, right, keys, hot, how, by or left.columns)
 
 
+def lookup_join(
+    left: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    sizes: DataFrame | None = None,
+    rows: str | None = None,
+    by: Sequence[str] | None = None,
+    limit: int | None = None,
+    small: int | None = None,
+) -> DataFrame:
+    """Join a written table with one row per key: broadcast after counting it, or by :func:`spread_join`.
+
+    ``rows`` names the table's own column of matching left rows, if it has one.
+    """
+    values = table if rows is None else table.drop(rows)
+    if table.count() <= (LOOKUP_ROWS if small is None else small):
+        return left.join(F.broadcast(values), list(keys), how)
+    if rows is not None:
+        return spread_join(left, values, keys, how, table, F.col(rows), by, limit)
+    return spread_join(left, values, keys, how, sizes, None, by, limit)
+
+
 def attach_all(
     left: DataFrame,
     rights: Sequence[DataFrame],

@@ -1,8 +1,7 @@
 """Cutting lineage: write a table once to the shared folder of the cluster and read it back.
 
-A table read back has a measured size, so Spark itself broadcasts it below
-``spark.sql.autoBroadcastJoinThreshold`` and shuffles it above. The files are ordinary
-Parquet in shared storage, so a lost executor costs nothing but a re-read.
+A table read back has known rows and bytes, which decide how it is joined. The files are
+ordinary Parquet in shared storage, so a lost executor costs nothing but a re-read.
 """
 
 from __future__ import annotations

@@ -79,7 +79,7 @@ def build_features(
     master = master.fillna(0, subset=[*COUNTS, *RATIOS])
     master = with_load(with_turn_features(master))
     master = with_bags_per_seat(with_aircraft(master, settings.widebody_seats))
-    master = with_country(master, inputs.airports, settings.home_country)
+    master = with_country(master, inputs.airports, settings.home_country, inputs.flights)
     master = with_slot_congestion(master, per_date_slots, source=inputs.flights, limit=limit)
     order = [name for name in dict.fromkeys([*key, *ties]) if name not in (DAY, "flight_number")]
     master = with_volatility(

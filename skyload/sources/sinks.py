@@ -7,7 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyload.config import DAY
+from skyload.config import DAY, FULL_WEIGHTS
+from skyload.sources.tables import LAYOUTS, clean_headers, typed
+
+# Columns of a scores table that hold numbers, next to the scaled features.
+MEASURED = {
+    *FULL_WEIGHTS,
+    "basic_economy_pax",
+    "booking_lead_days_median",
+    "checked_bags",
+    "total_transfer_bags",
+    "dep_delay_minutes",
+    "turn_buffer_ratio",
+    "scheduled_block_minutes",
+    "long_haul_indicator",
+    "is_express",
+    "bag_intensity",
+    "ssr_per_pax",
+    "pressure_index",
+}
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
@@ -30,13 +48,19 @@ def write_scores(scored: DataFrame, path: str, day: str = DAY, per: str = "day",
     table.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
+def score_kinds(columns: Sequence[str]) -> dict[str, str]:
+    """Kinds of the columns of a scores table in text form, known by name, so no pass is spent on guessing."""
+    kinds = {name: "double" for name in columns if name.endswith("_scaled") or name in MEASURED}
+    return {**kinds, **LAYOUTS["flights"], "daily_rank": "int", "difficulty_score": "double"}
+
+
 def read_scores(
     spark: SparkSession, path: str, day: str = DAY, source: str = "parquet", needed: Sequence[str] = ("difficulty_class",)
 ) -> DataFrame:
     """Scores from an earlier run; the day as a date, bad ones as null."""
     if source == "csv":
-        df = spark.read.csv(path, header=True, inferSchema=True)
-        df = df.toDF(*[name.strip() for name in df.columns])
+        text = clean_headers(spark.read.csv(path, header=True, inferSchema=False))
+        df = typed(text, score_kinds(text.columns))
     else:
         df = spark.read.format(source).load(path)
     missing = [name for name in needed if name not in df.columns]
