@@ -26,9 +26,15 @@ def flight_loads(flights: DataFrame, bookings: DataFrame, key: Sequence[str] = F
     return loaded.withColumn("load_factor", F.when(seats > 0, F.col("total_pax") / seats))
 
 
-def with_request_counts(loads: DataFrame, requests: DataFrame, key: Sequence[str] = FLIGHT_KEY, limit: int | None = None) -> DataFrame:
+def with_request_counts(
+    loads: DataFrame,
+    requests: DataFrame,
+    key: Sequence[str] = FLIGHT_KEY,
+    sizes: DataFrame | None = None,
+    limit: int | None = None,
+) -> DataFrame:
     counts = requests.select(*key, "ssr_count")
-    return spread_join(loads, counts, key, by=list(key), limit=limit).fillna(0, subset=["ssr_count"])
+    return spread_join(loads, counts, key, sizes=sizes, by=list(key), limit=limit).fillna(0, subset=["ssr_count"])
 
 
 def percent(condition: Column) -> Column:

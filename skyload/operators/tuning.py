@@ -58,20 +58,28 @@ def with_fold(df: DataFrame, key: Sequence[str], k: int = 5) -> DataFrame:
 def product_sums(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows (…by, i, j, s): the sum of the product of each two of the constant 1, the features and the target.
 
-    A single aggregate computes all sums, combined before the shuffle, so the shuffle carries one row
-    per task and group. ``i`` comes before ``j`` in (one, features, target).
+    Each row is taken once per name i, inside the same task, and adds its products with all names j to
+    that name's sums. These are combined before the shuffle, which so carries one short row per task,
+    group and name. ``i`` comes before ``j`` in (one, features, target).
     """
     names = [ONE, *features, TARGET]
-    values: dict[str, Column] = {ONE: F.lit(1.0), TARGET: F.col(TARGET), **{n: F.col(f"x_{n}") for n in features}}
-    pairs = [(i, j) for at, i in enumerate(names) for j in names[at:]]
-    sums = df.groupBy(*by).agg(
-        *[F.sum(values[i] * values[j]).alias(f"s{number}") for number, (i, j) in enumerate(pairs)]
+    values = df.select(*by, *[design_value(name).alias(f"v{at}") for at, name in enumerate(names)])
+    columns = [F.col(f"v{at}") for at in range(len(names))]
+    sums = (
+        values.select(*by, *columns, F.posexplode(F.array(*columns)).alias("_i", "_x"))
+        .groupBy(*by, "_i")
+        .agg(*[F.sum(F.col("_x") * column).alias(f"s{at}") for at, column in enumerate(columns)])
     )
-    cells = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{number}").alias("s"))
-        for number, (i, j) in enumerate(pairs)
-    ]
-    return sums.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.i", "cell.j", "cell.s")
+    cells = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(name).alias("j"), F.col(f"s{at}").alias("s")) for at, name in enumerate(names)])
+    long = sums.select(*by, "_i", F.explode(cells).alias("cell")).where(F.col("cell.at") >= F.col("_i"))
+    first = F.element_at(F.array(*[F.lit(name) for name in names]), F.col("_i") + 1)
+    return long.select(*by, first.alias("i"), "cell.j", "cell.s")
+
+
+def design_value(name: str) -> Column:
+    if name == ONE:
+        return F.lit(1.0)
+    return F.col(TARGET) if name == TARGET else F.col(f"x_{name}")
 
 
 def fold_sums(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -339,3 +347,8 @@ def rank_quality(df: DataFrame, score: str = "blend", target: str = TARGET, poin
     return cells.agg(
         (wins / F.nullif(all_pairs, F.lit(0.0))).alias("auc"), F.sum("hits").alias("positives"), F.sum("misses").alias("negatives")
     )
+
+
+def top_weights(tuned: DataFrame, top_n: int = 15) -> DataFrame:
+    """The largest tuned weights."""
+    return tuned.orderBy(F.col("weight").desc(), "feature").limit(top_n)

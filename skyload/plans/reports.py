@@ -6,9 +6,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyload.config import ACTUAL_DEPARTURE, DEFAULT_WEIGHTS, DEPARTURE, DESTINATION, Settings, usable_features
-from skyload.operators.insights import destination_consistency, driver_lifts, recommendations
+from skyload.config import ACTUAL_DEPARTURE, DEFAULT_WEIGHTS, DEPARTURE, DESTINATION, FLIGHT_KEY, Settings, usable_features
+from skyload.operators.bags import bag_shares
+from skyload.operators.charts import class_counts, histogram, scatter_points, trend_line
+from skyload.operators.insights import destination_consistency, driver_lifts, mean_lifts, recommendations
 from skyload.operators.measures import (
     correlations,
     delay_regression,
@@ -20,7 +23,15 @@ from skyload.operators.measures import (
 from skyload.operators.scoring import BASELINE, score_days, score_twice
 from skyload.operators.service import service_features
 from skyload.operators.staging import stage
-from skyload.operators.tuning import correlation_matrix, design_columns, tune_weights, with_fold, with_target
+from skyload.operators.tuning import (
+    blend,
+    correlation_matrix,
+    design_columns,
+    rank_quality,
+    tune_weights,
+    with_fold,
+    with_target,
+)
 from skyload.operators.turn import with_delay
 from skyload.plans.features import build_extended_features, build_features
 from skyload.sources.sinks import read_scores, write_scores, write_table, write_weights
@@ -47,6 +58,7 @@ class Analysis:
 
     master: DataFrame
     scored: DataFrame
+    loads: DataFrame
     summary: DataFrame
     regression: DataFrame
     request_delay: DataFrame
@@ -111,13 +123,14 @@ def analyse(
     requests = service_features(
         inputs.bookings, inputs.remarks, key, settings.mobility_keywords, settings.special_keywords, settings.ssr_mode
     )
-    requested = stage(with_request_counts(loads, requests, key))
+    requested = stage(with_request_counts(loads, requests, key, sizes=inputs.flights))
     compared = [name for name in DEFAULT_WEIGHTS if f"{name}_scaled" in scored.columns]
     destinations = stage(destination_consistency(scored, top_n))
     drivers = stage(driver_lifts(scored, destinations))
     return Analysis(
         master=master,
         scored=scored,
+        loads=requested,
         summary=metric_table(loads, inputs.bags, key),
         regression=delay_regression(requested),
         request_delay=request_groups(requested),
@@ -130,6 +143,21 @@ def analyse(
     )
 
 
+def chart_tables(result: Analysis, inputs: Inputs, key: Sequence[str] = FLIGHT_KEY) -> dict[str, DataFrame]:
+    """The data behind each chart of the analysis."""
+    mixed = F.struct(F.xxhash64(*key), *key)
+    return {
+        "delay_distribution": histogram(result.loads, "dep_delay_minutes", 50),
+        "ground_vs_delay": scatter_points(result.loads, ["ground_time_delta", "dep_delay_minutes"], mixed),
+        "transfer_ratio_hist": histogram(bag_shares(inputs.bags, key), "transfer_ratio", 40),
+        "ssr_vs_delay": scatter_points(result.loads, ["ssr_count", "dep_delay_minutes"], mixed),
+        "ssr_delay_trend": trend_line(result.loads, "ssr_count", "dep_delay_minutes"),
+        "top_destination_consistency": result.destinations.select(DESTINATION, "consistency_index"),
+        "driver_feature_lift": mean_lifts(result.drivers, 12),
+        "class_distribution": class_counts(result.scored),
+    }
+
+
 def write_analysis(result: Analysis, folder: str, format: str = "parquet") -> None:
     """Scores by day, and the result tables, below one folder."""
     write_scores(result.scored, f"{folder}/scores")
@@ -157,7 +185,11 @@ def tune(
     method: str = "gradient",
     path: str | None = None,
 ) -> DataFrame:
-    """Weights tuned on the scores by cross-validation; written as JSON to ``path`` if given."""
+    """Weights tuned on the scores by cross-validation; written as JSON to ``path`` if given.
+
+    The search maximises correlation for either target. For the 0/1 target the rank quality (area under
+    the ROC curve) of the final weights is reported too.
+    """
     settings = settings or Settings()
     features = usable_features(settings.weights, scored.columns)
     if not features:
@@ -166,6 +198,10 @@ def tune(
     table, binary = with_target(with_delay(scored) if known else scored, target)
     design = with_fold(design_columns(table, features), list(settings.key), k)
     tuned = tune_weights(design, features, settings.weights, method)
+    if binary:
+        tuned = stage(tuned)
+        weights = {row["feature"]: row["weight"] for row in tuned.select("feature", "weight").collect()}
+        tuned = tuned.withColumn("auc", F.lit(rank_quality(blend(design, weights)).first()["auc"]).cast("double"))
     if path:
         write_weights(tuned, path, "difficulty" if binary else "delay")
     return tuned

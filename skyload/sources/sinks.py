@@ -76,10 +76,10 @@ def write_weights(tuned: DataFrame, path: str, target: str) -> DataFrame:
 
     The table has one row per feature.
     """
+    scores = {"cv_score": "train_corr", "held_out_score": "test_corr", "auc": "auc"}
     record = tuned.agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", "weight")))).alias("weights"),
-        F.max("train_corr").alias("cv_score"),
-        F.max("test_corr").alias("held_out_score"),
+        *[F.max(column).alias(name) for name, column in scores.items() if column in tuned.columns],
     ).withColumn("target", F.lit(target))
     record.write.mode("overwrite").json(path)
     return record

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyload.config import DAY
+from skyload.config import DAY, FLIGHT_KEY
 from skyload.functions.parsing import parse_as, text_or_null
 
 # Column kinds of the input tables. Other columns stay text.
@@ -142,13 +142,29 @@ def read_inputs(spark: SparkSession, paths: Mapping[str, str], source: str = "cs
     return Inputs(**tables, weather=read_weather(spark, paths.get("weather"), source))
 
 
-def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table, rows) for each table."""
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-        for name, df in tables.items()
-    ]
-    result = counts[0]
-    for one in counts[1:]:
-        result = result.unionByName(one)
+def row_counts(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(table_name, rows, rows_without_key) for each table; the last are the rows no join can match."""
+    result = None
+    for name, df in tables.items():
+        missing = F.lit(False)
+        for column in (keys or {}).get(name, ()):
+            missing = missing | F.col(column).isNull()
+        one = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(missing).alias("rows_without_key")).select(
+            F.lit(name).alias("table_name"), "rows", "rows_without_key"
+        )
+        result = one if result is None else result.unionByName(one)
     return result
+
+
+def input_counts(inputs: Inputs, key: Sequence[str] = FLIGHT_KEY) -> DataFrame:
+    """:func:`row_counts` of the input tables."""
+    keys = {
+        "flights": key,
+        "bags": key,
+        "bookings": [*key, "record_locator"],
+        "remarks": ["record_locator"],
+        "airports": ["airport_iata_code"],
+        "weather": ["station_code", "observation_time"],
+    }
+    found = {f.name: getattr(inputs, f.name) for f in fields(Inputs)}
+    return row_counts({name: df for name, df in found.items() if df is not None}, keys)

@@ -35,6 +35,15 @@ def test_measures_and_insights(result):
     assert {row["implemented"] for row in result.coverage.collect()} == {True}
 
 
+def test_chart_tables(spark, result):
+    charts = reports.chart_tables(result, airline(spark))
+    assert charts["delay_distribution"].agg(F.sum("rows")).first()[0] == 96
+    assert charts["ssr_vs_delay"].count() == 96 and charts["top_destination_consistency"].count() == 4
+    assert charts["ssr_delay_trend"].first()["slope"] is not None
+    assert charts["class_distribution"].agg(F.sum("flights")).first()[0] == 96
+    assert 0 < charts["driver_feature_lift"].count() <= 12 and charts["transfer_ratio_hist"].count() > 0
+
+
 def test_written_results_and_report(spark, result, tmp_path):
     reports.write_analysis(result, str(tmp_path))
     destinations, drivers, texts = reports.report_on_scores(spark, str(tmp_path / "scores"))
@@ -58,6 +67,7 @@ def test_tuning_job(result, tmp_path, target, method):
     tuned = reports.tune(result.scored, Settings(weights={"total_pax": 0.5, "ssr_count": 0.3, "load_factor": 0.2, "absent": 1.0}), target, method=method, path=str(tmp_path / "w"))
     assert tuned.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
     record = json.loads("".join(file.read_text() for file in (tmp_path / "w").glob("*.json")))
-    assert record["target"] == target and set(record["weights"]) == {"total_pax", "ssr_count", "load_factor"}
+    assert record["target"] == target and ("auc" in record) == (target == "difficulty")
+    assert set(record["weights"]) == {"total_pax", "ssr_count", "load_factor"}
     with pytest.raises(ValueError):
         reports.tune(result.scored, Settings(weights={"absent": 1.0}))

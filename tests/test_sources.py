@@ -8,7 +8,7 @@ from skyload.config import DAY
 from skyload.functions.parsing import parse_date, parse_utc_timestamp
 from skyload.operators.staging import shared_folder, stage
 from skyload.sources import sinks
-from skyload.sources.tables import LAYOUTS, read_csv, read_inputs, read_table, read_weather, row_counts
+from skyload.sources.tables import LAYOUTS, input_counts, read_csv, read_inputs, read_table, read_weather
 
 
 def test_dates_in_both_styles(spark):
@@ -79,8 +79,8 @@ def test_all_inputs(spark, tmp_path):
     inputs = read_inputs(spark, paths)
     assert inputs.weather is None
     assert inputs.bags.first()[DAY] == date(2025, 8, 1)
-    counts = row_counts({"flights": inputs.flights, "bags": inputs.bags})
-    assert {tuple(row) for row in counts.collect()} == {("flights", 3), ("bags", 1)}
+    counts = {tuple(row) for row in input_counts(inputs).collect()}
+    assert {("flights", 3, 1), ("bags", 1, 0), ("remarks", 1, 0)} <= counts and len(counts) == 5
     sinks.write_table(inputs.flights, str(tmp_path / "flights.parquet"))
     again = read_table(spark, str(tmp_path / "flights.parquet"), "flights", "parquet")
     assert again.dtypes == inputs.flights.dtypes

@@ -112,9 +112,10 @@ def default_scored(spark: SparkSession, folder: str, delays: bool = False) -> Da
 def requested_loads(spark: SparkSession, folder: str) -> DataFrame:
     """Flights with delay, load and request count."""
     booked = tables.bookings(spark, folder)
-    loads = measures.flight_loads(tables.flights(spark, folder, delays=True), booked, KEY)
+    flights = tables.flights(spark, folder, delays=True)
+    loads = measures.flight_loads(flights, booked, KEY)
     requests = service.service_features(booked, tables.remarks(spark, folder), KEY)
-    return measures.with_request_counts(loads, requests, KEY)
+    return measures.with_request_counts(loads, requests, KEY, sizes=tables.flights(spark, folder))
 
 
 # Sources and sinks ------------------------------------------------------------------------------
@@ -179,21 +180,13 @@ def sink_roundtrip(spark, folder):
 
 @case(
     "input_row_counts",
-    {"table_name": "s", "rows": "i"},
-    """(SELECT 'flights' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'bags', count(*) FROM lineitem
+    {"table_name": "s", "rows": "i", "rows_without_key": "i"},
+    """(SELECT *, 0 AS rows_without_key FROM (SELECT 'flights' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'bags', count(*) FROM lineitem
         UNION ALL SELECT 'bookings', count(*) FROM lineitem UNION ALL SELECT 'remarks', count(*) FROM part
-        UNION ALL SELECT 'airports', count(*) FROM nation)""",
+        UNION ALL SELECT 'airports', count(*) FROM nation))""",
 )
 def input_row_counts(spark, folder):
-    return readers.row_counts(
-        {
-            "flights": tables.flights(spark, folder),
-            "bags": tables.bags(spark, folder),
-            "bookings": tables.bookings(spark, folder),
-            "remarks": tables.remarks(spark, folder),
-            "airports": tables.airports(spark, folder),
-        }
-    )
+    return readers.input_counts(tables.inputs(spark, folder), KEY)
 
 
 # Features ---------------------------------------------------------------------------------------
@@ -718,8 +711,8 @@ def feature_coverage(spark, folder):
 TUNED = SLICE
 
 
-def tuning_design(spark, folder, delays: bool = False):
-    """Scaled slice features, the target 'late by more than the mean rank allows' or delay, fold by key."""
+def tuning_design(spark, folder):
+    """Scaled slice features, the difficult class as target, and a fold both engines can compute."""
     scored = slice_scored(spark, folder)
     table, _ = tuning.with_target(scored, "difficulty")
     return tuning.design_columns(table, TUNED).withColumn("fold", (F.col("flight_id") % 5).cast("int"))
@@ -846,3 +839,8 @@ def tuned_weights(spark, folder):
 @case("tuned_weights_candidates", {"feature": "s", "weight": 6, "train_corr": 6, "test_corr": 6}, None)
 def tuned_weights_candidates(spark, folder):
     return tuning.tune_weights(tuning_design(spark, folder), TUNED, DEFAULT_WEIGHTS, "candidates")
+
+
+@case("tuned_weights_auc", {"feature": "s", "weight": 6, "train_corr": 6, "test_corr": 6, "auc": 6}, None)
+def tuned_weights_auc(spark, folder):
+    return tuning.top_weights(reports.tune(stage(slice_scored(spark, folder)), SETTINGS, "difficulty"))
