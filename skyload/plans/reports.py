@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyload.config import ACTUAL_DEPARTURE, DEFAULT_WEIGHTS, DEPARTURE, DESTINATION, FLIGHT_KEY, Settings, usable_features
@@ -71,12 +72,18 @@ class Analysis:
 
 
 def feature_coverage(scored: DataFrame) -> DataFrame:
-    """Whether each area of the analysis has its features."""
+    """Whether each area of the analysis has its features, and for how many flights they are all known."""
     have = set(scored.columns)
-    rows = [
-        (area, have >= set(names) if every else bool(have & set(names))) for area, (names, every) in COVERAGE.items()
-    ]
-    return scored.sparkSession.createDataFrame(rows, "category string, implemented boolean")
+    counts, areas = [], []
+    for area, (names, every) in COVERAGE.items():
+        present = [name for name in names if name in have]
+        implemented = len(present) == len(names) if every else bool(present)
+        known = reduce(Column.__and__, [F.col(name).isNotNull() for name in present], F.lit(implemented))
+        counts.append(F.count_if(known).alias(area))
+        areas.append(
+            F.struct(F.lit(area).alias("category"), F.lit(implemented).alias("implemented"), F.col(area).alias("known_flights"))
+        )
+    return scored.agg(*counts).select(F.explode(F.array(*areas)).alias("area")).select("area.*")
 
 
 def score_flights(

@@ -699,9 +699,15 @@ def scatter_sample(spark, folder):
     return charts.scatter_points(measured, ["flight_id", "ground_time_delta", "dep_delay_minutes"], mixed)
 
 
-@case("feature_coverage", {"category": "s", "implemented": "i"},
-      """(VALUES ('ground_time_constraints', 1), ('flight_specific_characteristics', 1), ('passenger_service_needs', 1),
-          ('additional_exploration', 1)) AS t (category, implemented)""")
+@case(
+    "feature_coverage",
+    {"category": "s", "implemented": "i", "known_flights": "i"},
+    """(SELECT 'ground_time_constraints' AS category, 1 AS implemented, count(*) AS known_flights FROM master
+        UNION ALL SELECT 'flight_specific_characteristics', 1, count(load_factor) FROM master
+        UNION ALL SELECT 'passenger_service_needs', 1, count(*) FROM master
+        UNION ALL SELECT 'additional_exploration', 1, count(*) FILTER (WHERE total_pax > 0) FROM master)""",
+    ("master",),
+)
 def feature_coverage(spark, folder):
     return reports.feature_coverage(turn.with_extra_features(default_master(spark, folder)))
 
