@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyload.config import DAY, FLIGHT_KEY
@@ -34,8 +34,9 @@ def passenger_features(
 ) -> DataFrame:
     """One row per flight.
 
-    Bookings are first summed per flight and lead day, where Spark combines before it shuffles; the
-    exact median then works on (lead day, bookings) pairs, as many as a flight has lead days.
+    Bookings are first summed per flight and lead day, where Spark combines before it shuffles. The exact
+    median is read off the running count of a flight's bookings by lead day; its window sees as
+    many rows as a flight has lead days.
     """
     economy = "basic_economy_pax" if "basic_economy_pax" in bookings.columns else "total_pax"
     cells = (
@@ -52,15 +53,27 @@ def passenger_features(
         )
     )
     lead, rows = F.col("booking_lead_days"), F.col("bookings")
-    known_rows = F.sum(F.when(lead.isNotNull(), rows))
-    return cells.groupBy(*key).agg(
+    known = F.when(lead.isNotNull(), rows)
+    flight = Window.partitionBy(*key)
+    counted = cells.withColumns(
+        {
+            "_known": F.sum(known).over(flight),
+            "_passed": F.sum(known).over(flight.orderBy(lead).rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+
+    def lead_at(place: Column) -> Column:
+        return F.min(F.when(lead.isNotNull() & (F.col("_passed") >= place), lead))
+
+    below, above = lead_at(F.ceil(F.col("_known") / 2)), lead_at(F.floor(F.col("_known") / 2) + 1)
+    return counted.groupBy(*key).agg(
         F.sum("pax").cast("bigint").alias("total_pax"),
         F.sum("economy").cast("bigint").alias("basic_economy_pax"),
         F.sum("children").alias("children"),
         F.sum("strollers").alias("stroller_users"),
         F.sum("laps").cast("bigint").alias("lap_children"),
-        (F.sum(lead * rows) / known_rows).alias("booking_lead_days_mean"),
-        F.percentile(lead, 0.5, rows).alias("booking_lead_days_median"),
+        (F.sum(lead * rows) / F.sum(known)).alias("booking_lead_days_mean"),
+        ((below + above) / 2).alias("booking_lead_days_median"),
         (F.sum("late") / F.sum(rows)).alias("late_booking_ratio"),
     )
 

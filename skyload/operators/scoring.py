@@ -12,7 +12,7 @@ from skyload.config import DAY, normalise_weights
 from skyload.functions.columns import day_number
 from skyload.operators.history import daily_destinations, destination_baseline, with_baseline_values
 from skyload.operators.spread import lookup_join, prior_totals
-from skyload.operators.staging import stage
+from skyload.operators.staging import fit_generated_code, stage
 
 # A day with more flights than this is ranked by counting, not in one window partition.
 DAY_ROWS = 500_000
@@ -41,15 +41,23 @@ def day_ranges(master: DataFrame, features: Sequence[str], day: str = DAY) -> Da
 
 def scaled(name: str) -> Column:
     """Position of the value between its day's extremes; 0 when the feature does not vary or is missing."""
-    low, high = F.col(f"_min_{name}"), F.col(f"_max_{name}")
-    return F.coalesce((F.col(name).cast("double") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    return F.coalesce((F.col(name).cast("double") - F.col(f"_min_{name}")) / F.col(f"_span_{name}"), F.lit(0.0))
 
 
 def with_day_scaling(master: DataFrame, ranges: DataFrame, features: Sequence[str], day: str = DAY) -> DataFrame:
-    """Add ``<feature>_scaled``; keeps ``_day`` and ``_flights`` for the ranking."""
-    joined = lookup_join(master.withColumn("_day", day_number(F.col(day))), ranges, ["_day"], "inner")
-    bounds = [f"_{end}_{name}" for name in features for end in ("min", "max")]
-    return joined.withColumns({f"{name}_scaled": scaled(name) for name in features}).drop(*bounds)
+    """Add ``<feature>_scaled``; keeps ``_day`` and ``_flights`` for the ranking.
+
+    The width of each range, null where it is 0, is worked out once per day before the join.
+    """
+    fit_generated_code(master.sparkSession)
+    bounds = []
+    for name in features:
+        low, high = F.col(f"_min_{name}"), F.col(f"_max_{name}")
+        bounds += [low, F.nullif(high - low, F.lit(0.0)).alias(f"_span_{name}")]
+    spans = ranges.select("_day", "_flights", *bounds)
+    joined = lookup_join(master.withColumn("_day", day_number(F.col(day))), spans, ["_day"], "inner")
+    used = [f"_{end}_{name}" for name in features for end in ("min", "span")]
+    return joined.withColumns({f"{name}_scaled": scaled(name) for name in features}).drop(*used)
 
 
 def weighted_points(

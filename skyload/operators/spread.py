@@ -150,10 +150,11 @@ def prior_totals(
 
     ``totals`` maps names to aggregates (sums or counts). The result has, for each name, the column
     itself and ``<name>_before``, and ``keys_before``, the number of distinct keys ahead. Groups of any
-    size are fine: windows see at most one bucket, or the bucket list of one group.
+    size are fine: windows see at most one bucket, or the bucket list of one group. The totals are written
+    once, as they are read for the buckets and for the keys in them.
     """
     groups = list(groups)
-    cells = (
+    cells = stage(
         df.groupBy(*groups, key)
         .agg(*[value.alias(name) for name, value in totals.items()])
         .withColumn("_keys", F.lit(1).cast("bigint"))

@@ -27,9 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def fit_generated_code(spark: SparkSession) -> None:
+    """Let Spark split generated methods that are too long for the JVM to compile.
+
+    HotSpot leaves methods above 8000 bytes interpreted, Spark's default limit is 65535. Scaling some 30
+    features makes such methods and then runs twenty times slower. Any other value
+    that the session has is kept; results do not depend on it.
+    """
+    if spark.conf.get(METHOD_LIMIT) == "65535":
+        spark.conf.set(METHOD_LIMIT, "8000")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """The same rows, read from a table written now."""
     spark = df.sparkSession
+    fit_generated_code(spark)
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyload.functions.columns import flag, or_zero
 from skyload.operators.spread import prior_totals
-from skyload.operators.staging import stage
+from skyload.operators.staging import fit_generated_code, stage
 
 ONE, TARGET = "one", "target"
 
@@ -62,6 +62,7 @@ def product_sums(df: DataFrame, features: Sequence[str], by: Sequence[str] = ())
     that name's sums. These are combined before the shuffle, which so carries one short row per task,
     group and name. ``i`` comes before ``j`` in (one, features, target).
     """
+    fit_generated_code(df.sparkSession)
     names = [ONE, *features, TARGET]
     values = df.select(*by, *[design_value(name).alias(f"v{at}") for at, name in enumerate(names)])
     columns = [F.col(f"v{at}") for at in range(len(names))]

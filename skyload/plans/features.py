@@ -21,6 +21,7 @@ from skyload.operators.history import with_volatility
 from skyload.operators.passengers import passenger_features, with_load
 from skyload.operators.service import service_features
 from skyload.operators.spread import attach_all
+from skyload.operators.staging import fit_generated_code
 from skyload.operators.turn import with_extra_features, with_turn_features
 from skyload.sources.tables import Inputs
 
@@ -71,6 +72,7 @@ def build_features(
     ``ties`` orders flights of the same number and day, after the flight key.
     """
     settings = settings or Settings()
+    fit_generated_code(inputs.flights.sparkSession)
     key = list(settings.key)
     flights = with_weather(inputs.flights, inputs.weather, limit=limit) if inputs.weather is not None else inputs.flights
     aggregates = flight_aggregates(inputs, settings, limit=limit)
