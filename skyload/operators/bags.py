@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyload.config import DEPARTURE, FLIGHT_KEY
@@ -65,9 +65,26 @@ def bag_shares(bags: DataFrame, key: Sequence[str] = FLIGHT_KEY) -> DataFrame:
 
 
 def departure_times(flights: DataFrame, key: Sequence[str], departure: str) -> DataFrame:
-    """Distinct departure times per flight, each with the number of times its flight has."""
-    times = flights.dropna(subset=list(key)).select(*key, departure).distinct()
-    return times.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    """One row per flight: its first departure time and, should it have several, all of them.
+
+    ``_times`` counts a missing time too; ``_later`` is the mean distance from the first in days.
+    """
+    times = flights.dropna(subset=list(key)).select(*key, F.col(departure).cast("timestamp_ntz").alias("_time")).distinct()
+    listed = times.groupBy(*key).agg(
+        F.min("_time").alias("_first"),
+        F.count(F.lit(1)).alias("_times"),
+        F.collect_list("_time").alias("_all"),
+    )
+    days = F.transform("_all", lambda time: seconds_between(F.col("_first"), time) / 86400.0)
+    later = F.aggregate(days, F.lit(0.0), lambda total, day: total + day) / F.size("_all")
+    several = F.size("_all") > 1
+    return listed.select(
+        *key,
+        "_first",
+        "_times",
+        F.when(several, later).when(F.size("_all") == 1, 0.0).alias("_later"),
+        F.when(several, F.col("_all")).alias("_all"),
+    )
 
 
 def bag_features(
@@ -80,7 +97,8 @@ def bag_features(
     """Counts and issue timing per flight from one pass over the bags.
 
     Bags are counted per flight and issue time before the departure time is joined, so the join sees
-    combined rows, and flights with very many bags are split over several tasks.
+    combined rows, and flights with very many bags are split over several tasks. A flight listed with
+    several departure times compares each bag with all of them, inside the bag's row.
     """
     issued = first_present(bags.columns, ISSUE_COLUMNS)
     if issued is None or departure not in flights.columns:
@@ -88,21 +106,26 @@ def bag_features(
         return bag_counts(bags, key).withColumns(nothing)
 
     keyed = bags.dropna(subset=list(key))
+    moment = F.col("_issued")
     cells = (
         with_checked_type(keyed)
-        .groupBy(*key, F.col(issued).alias("_issued"))
+        .groupBy(*key, F.col(issued).cast("timestamp_ntz").alias("_issued"))
         .agg(*type_counts(), F.count(F.lit(1)).alias("_bags"))
     )
     timed = spread_join(
         cells, departure_times(flights, key, departure), key, sizes=keyed, by=[*key, "_issued"], limit=limit
-    ).withColumn("_lead", seconds_between(F.col("_issued"), F.col(departure)) / 86400.0)
+    )
+    late = F.when(F.col("_all").isNull(), flag(F.col("_first") <= moment)).otherwise(
+        F.size(F.filter("_all", lambda time: time <= moment))
+    )
+    timed = timed.withColumns(
+        {"_lead": seconds_between(moment, F.col("_first")) / 86400.0 + F.col("_later"), "_late": late}
+    )
     lead, rows = F.col("_lead"), F.col("_bags")
-    # A flight with several departure times sees each bag once per time.
-    times = F.max(F.coalesce("_times", F.lit(1)))
     sums = timed.groupBy(*key).agg(
-        *[(F.sum(name) / times).cast("bigint").alias(name) for name in ("checked", "transfer", "hot")],
+        *[F.sum(name).alias(name) for name in ("checked", "transfer", "hot")],
         (F.sum(lead * rows) / F.sum(F.when(lead.isNotNull(), rows))).alias("bag_issue_lead_mean"),
-        (F.sum(flag(lead <= 0) * rows) / F.sum(rows)).alias("bag_late_issue_ratio"),
+        (F.sum(F.col("_late") * rows) / F.sum(rows * F.coalesce("_times", F.lit(1)))).alias("bag_late_issue_ratio"),
     )
     return sums.select(
         *key,

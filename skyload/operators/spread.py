@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from skyload.functions.columns import day_number
 from skyload.operators.staging import stage
 
 # A key with about this many rows or more is split over several tasks.
@@ -17,6 +16,9 @@ HOT_ROWS = 2_000_000
 # Rows of a key at the limit that the search for such keys expects to see.
 SEEN_ROWS = 1_000
 
+# Rows of a chunk that the search for chunk borders expects to see.
+SEEN_PLACES = 100
+
 # Parts for left rows that lack a key.
 MISSING_PARTS = 10_000
 
@@ -194,12 +196,12 @@ def trailing_window(
     sizes: DataFrame | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Add columns computed over the ``rows`` rows before each row of its group, ordered by day.
+    """Add columns computed over the ``rows`` rows before each row of its group, ordered by day and ties.
 
     ``outputs`` maps a new column to a function of the window; rows without a group get null. A group
-    with more than ``limit`` rows is cut on day borders into chunks of about that size, and each chunk
-    gets copies of the last rows of the chunk before it, so that every row sees the same
-    frame as in one undivided window. ``sizes`` may name a cheaper table to count groups in.
+    with more than ``limit`` rows is cut into chunks of about that size, and each chunk gets
+    copies of the last rows of the chunk before it, so that every row sees the same frame as in one
+    undivided window. ``sizes`` may name a cheaper table to count groups in.
     """
     order = [day, *ties]
     grouped = F.col(group).isNotNull()
@@ -210,18 +212,12 @@ def trailing_window(
         frame = Window.partitionBy(*by, ungrouped).orderBy(*order).rowsBetween(-rows, -1)
         return table.withColumns({name: F.when(grouped, make(frame)) for name, make in outputs.items()})
 
-    borders = chunk_borders(df if sizes is None else sizes, group, day, limit or HOT_ROWS, rows)
+    source = df if sizes is None else sizes
+    borders = chunk_borders(source, group, order, limit or HOT_ROWS, rows)
     if borders is None:
         return framed(df, [group])
 
-    chunked = (
-        df.join(F.broadcast(borders), group, "left")
-        .withColumn("_chunk", F.coalesce(F.size(F.filter("_borders", lambda b: b <= day_number(F.col(day)))), F.lit(0)))
-        .withColumn("_chunk", F.greatest(F.col("_chunk"), F.lit(0)))
-        .withColumn("_large", F.col("_borders").isNotNull())
-        .withColumn("_carried", F.lit(False))
-        .drop("_borders")
-    )
+    chunked = with_chunk(df, borders, group, order).withColumn("_carried", F.lit(False))
     from_end = Window.partitionBy(group, "_chunk").orderBy(*[F.col(name).desc() for name in order])
     carried = (
         chunked.where("_large")
@@ -234,29 +230,41 @@ def trailing_window(
     return result.where(~F.col("_carried")).drop("_chunk", "_large", "_carried")
 
 
-def chunk_borders(df: DataFrame, group: str, day: str, limit: int, rows: int) -> DataFrame | None:
-    """First days of the chunks of large groups, one array per group; None when all groups are small.
+def with_chunk(df: DataFrame, borders: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """Add ``_chunk``, the number of its group's borders up to each row, and ``_large`` for cut groups."""
+    place = F.struct(*order)
+    passed = F.size(F.filter("_borders", lambda border: border <= place))
+    large = F.col("_borders").isNotNull()
+    joined = df.join(F.broadcast(borders), group, "left")
+    return joined.withColumns({"_chunk": F.when(large, passed).otherwise(0), "_large": large}).drop("_borders")
+
 
-    A chunk starts at the first day before which another ``limit`` rows have passed, unless the chunk
-    before it would then be shorter than a frame. All arrays together have fewer
-    than (all rows / limit) entries, so they may be broadcast.
+def chunk_borders(df: DataFrame, group: str, order: Sequence[str], limit: int, rows: int) -> DataFrame | None:
+    """Places where large groups are cut, one array per group; None when all groups are small.
+
+    Borders are evenly spaced rows of a random share of the large groups, so chunks are about ``limit``
+    long however the rows lie in time; equal places stay together. A border is
+    dropped when fewer than ``rows`` rows lie between it and the border before: every chunk that has a
+    successor fills a frame. All arrays together have about (all rows / limit) entries, so they may be
+    broadcast. They are written once; where they lie does not change any result.
     """
-    step = max(limit, 2 * rows)
-    known = df.where(F.col(group).isNotNull())
-    large = known.groupBy(group).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > step).select(group)
+    known = df.where(F.col(group).isNotNull()).select(group, *order)
+    large = known.groupBy(group).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > limit).select(group)
     if large.isEmpty():
         return None
-    large = stage(large)
-    daily = known.groupBy(group, day_number(F.col(day)).alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
-    in_order = Window.partitionBy(group).orderBy("_day")
-    passed = F.coalesce(F.sum("_rows").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = (
-        daily.join(F.broadcast(large), group, "left_semi")
-        .withColumn("_passed", passed)
-        .groupBy(group, F.floor(F.col("_passed") / F.lit(step)).alias("_step"))
-        .agg(F.min("_day").alias("_day"), F.min("_passed").alias("_passed"))
-        .where(F.col("_step") > 0)
-        .withColumn("_length", F.col("_passed") - F.lag("_passed", 1, 0).over(in_order))
-        .where(F.col("_length") >= rows)
+    members = known.join(F.broadcast(stage(large)), group, "left_semi")
+    share = min(1.0, SEEN_PLACES / limit)
+    seen = members if share == 1.0 else members.sample(fraction=share, seed=17)
+    every = max(round(limit * share), 1)
+    numbered = seen.select(group, F.struct(*order).alias("_place")).withColumn(
+        "_number", F.row_number().over(Window.partitionBy(group).orderBy("_place"))
+    )
+    places = numbered.where(F.col("_number") % every == 0).groupBy(group)
+    drawn = stage(places.agg(F.collect_set("_place").alias("_borders")))
+    lengths = with_chunk(members, drawn, group, order).groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
+    in_order = Window.partitionBy(group).orderBy("_place")
+    starts = drawn.select(group, F.explode("_borders").alias("_place")).withColumn(
+        "_chunk", F.row_number().over(in_order) - 1
     )
-    return stage(starts.groupBy(group).agg(F.collect_list("_day").alias("_borders")))
+    kept = starts.join(lengths, [group, "_chunk"]).where(F.col("_rows") >= rows)
+    return stage(kept.groupBy(group).agg(F.collect_list("_place").alias("_borders")))
