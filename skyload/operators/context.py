@@ -38,7 +38,7 @@ def with_bags_per_seat(master: DataFrame) -> DataFrame:
 
 def slot_counts(flights: DataFrame, per_date: bool = False, departure: str = DEPARTURE) -> DataFrame:
     """Departures per station and hour of day, over all dates or for each."""
-    by = [F.col(ORIGIN), F.hour(departure).alias("slot_hour"), *([F.col(DAY)] if per_date else [])]
+    by = [F.col(ORIGIN), F.hour(departure).alias("dep_hour"), *([F.col(DAY)] if per_date else [])]
     known = F.col(ORIGIN).isNotNull() & F.col(departure).isNotNull()
     return flights.where(known).groupBy(*by).agg(F.count(F.lit(1)).alias("slot_congestion_count"))
 
@@ -51,15 +51,15 @@ def with_slot_congestion(
     limit: int | None = None,
     small: int | None = None,
 ) -> DataFrame:
-    """Attach the slot counts. They are counted first, so no task ever holds a whole busy slot."""
+    """Attach the hour and its slot count. Slots are counted first, so no task ever holds a whole busy slot."""
     if not {ORIGIN, departure} <= set(flights.columns):
         return flights.withColumn("slot_congestion_count", F.lit(0).cast("bigint"))
     counts = slot_counts(flights if source is None else source, per_date, departure)
-    hours = flights.withColumn("slot_hour", F.hour(departure))
+    hours = flights.withColumn("dep_hour", F.hour(departure))
     counts = stage(counts)
-    keys = [ORIGIN, "slot_hour", *([DAY] if per_date else [])]
+    keys = [ORIGIN, "dep_hour", *([DAY] if per_date else [])]
     rows = counts.withColumn("_flights", F.col("slot_congestion_count"))
-    return lookup_join(hours, rows, keys, rows="_flights", by=[departure, *keys], limit=limit, small=small).drop("slot_hour")
+    return lookup_join(hours, rows, keys, rows="_flights", by=[departure, *keys], limit=limit, small=small)
 
 
 def hourly_weather(weather: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def with_weather(
     small: int | None = None,
 ) -> DataFrame:
     """Severity at the departure station in the hour of departure; 0 when there is none."""
-    usable = weather is not None and WEATHER_COLUMNS <= set(weather.columns) and departure in flights.columns
+    usable = weather is not None and WEATHER_COLUMNS <= set(weather.columns) and {ORIGIN, departure} <= set(flights.columns)
     plain = flights.drop("weather_severity_index")
     if not usable:
         return plain.withColumn("weather_severity_index", F.lit(0.0))
