@@ -27,6 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folders of the tables staged by this process.
+STAGED: list[str] = []
+
 METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
@@ -47,4 +50,16 @@ def stage(df: DataFrame) -> DataFrame:
     fit_generated_code(spark)
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far by this process; call it when all results are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    released = 0
+    while STAGED:
+        path = hadoop.Path(STAGED.pop())
+        released += bool(path.getFileSystem(configuration).delete(path, True))
+    return released

@@ -174,7 +174,7 @@ def test_all_features(spark, limit):
 def test_features_of_repeated_flight_keys(spark):
     """A flight listed many times gets its features on every listing."""
     inputs = airline(spark, days=2, numbers=3)
-    many = inputs.flights.unionByName(inputs.flights.where("flight_number = 1002").crossJoin(spark.range(40)).drop("id"))
+    many = inputs.flights.unionByName(inputs.flights.where("flight_number = 1002").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("n"))
     master = build_features(Inputs(many, inputs.bags, inputs.bookings, inputs.remarks, inputs.airports), limit=10)
     assert master.count() == many.count()
     found = master.where("flight_number = 1002").groupBy(DAY).agg(F.countDistinct("total_pax", "total_bags", "ssr_count").alias("n")).collect()

@@ -1,12 +1,16 @@
+import dataclasses
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import airline, rounded
 from skyload.config import DAY, FULL_WEIGHTS, Settings
+from skyload.operators import staging
 from skyload.plans import reports
 from skyload.sources import sinks
+from skyload.sources.tables import read_inputs
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +75,37 @@ def test_tuning_job(result, tmp_path, target, method):
     assert set(record["weights"]) == {"total_pax", "ssr_count", "load_factor"}
     with pytest.raises(ValueError):
         reports.tune(result.scored, Settings(weights={"absent": 1.0}))
+
+
+MESSY = {"company_id": " company_id ", "flight_number": "flight_number ", "total_seats": " total_seats"}
+
+
+def test_from_text_files_to_scores(spark, tmp_path):
+    """The same scores from messy text files, with weather, as from typed tables."""
+    inputs = airline(spark, days=4)
+    seen = [("ORD", datetime(2025, 8, 1 + n % 4, 6 + n % 5, n % 60), n / 40) for n in range(40)]
+    weather = spark.createDataFrame(seen, "station_code string, observation_time timestamp_ntz, weather_severity_index double")
+    inputs = dataclasses.replace(inputs, weather=weather)
+    paths = {}
+    for field in dataclasses.fields(inputs):
+        df = getattr(inputs, field.name)
+        paths[field.name] = str(tmp_path / field.name)
+        if DAY in df.columns and field.name == "bags":
+            df = df.withColumn(DAY, F.date_format(DAY, "M/d/yyyy"))
+        renamed = df.toDF(*[MESSY.get(name, name) for name in df.columns])
+        writer = renamed.write.option("header", True).option("nullValue", "NA").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths[field.name])
+    settings = Settings(weights=FULL_WEIGHTS)
+    names = ["flight_number", DAY, "weather_severity_index", "difficulty_score", "daily_rank", "difficulty_class"]
+    typed = reports.score_flights(inputs, settings)
+    text = reports.score_flights(read_inputs(spark, paths), settings)
+    assert rounded(text, names) == rounded(typed, names)
+    assert typed.agg(F.max("weather_severity_index")).first()[0] > 0
+
+
+def test_staged_tables_can_be_released(spark, monkeypatch):
+    monkeypatch.setattr(staging, "STAGED", [])
+    df = staging.stage(spark.range(3))
+    assert df.count() == 3 and staging.release_staged(spark) == 1 and staging.release_staged(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
