@@ -49,6 +49,7 @@ def metric_rows(wide: DataFrame) -> DataFrame:
 
 
 def flight_metrics(loads: DataFrame) -> DataFrame:
+    """The names of the measures."""
     measures = [F.avg("dep_delay_minutes").alias("avg_departure_delay_min")]
     measures.append(percent(F.col("dep_delay_minutes") > 0).alias("pct_flights_late"))
     if "ground_time_delta" in loads.columns:

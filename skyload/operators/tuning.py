@@ -313,7 +313,7 @@ def tune_weights(
         )
         .first()
     )
-    folds = sums.agg(F.count_distinct("fold")).first()[0]
+    folds = max(sums.agg(F.count_distinct("fold")).first()[0], 1)
     unused = spark.createDataFrame([(None, name, 0.0) for name in features], "fold int, feature string, weight double")
     return (
         found.unionByName(unused)

@@ -83,8 +83,18 @@ def slice_master(spark: SparkSession, folder: str) -> DataFrame:
     return context.with_aircraft(turn.with_turn_features(passengers.with_load(joined)))
 
 
+def scoring_columns(master: DataFrame, features: list[str]) -> DataFrame:
+    """What scoring and the queries after it read; nothing else is worth writing."""
+    wanted = {"flight_id", "flight_number", DAY, DESTINATION, DEPARTURE, "actual_departure_datetime_local", *features}
+    return master.select(*[name for name in master.columns if name in wanted])
+
+
+def staged_slice(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(scoring_columns(slice_master(spark, folder), SLICE))
+
+
 def slice_scored(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.score_days(stage(slice_master(spark, folder)), DEFAULT_WEIGHTS, SLICE)
+    return scoring.score_days(staged_slice(spark, folder), DEFAULT_WEIGHTS, SLICE)
 
 
 def full_master(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +116,7 @@ def default_master(spark: SparkSession, folder: str, delays: bool = False) -> Da
 
 
 def default_scored(spark: SparkSession, folder: str, delays: bool = False) -> DataFrame:
-    return scoring.score_days(stage(default_master(spark, folder, delays)), DEFAULT_WEIGHTS)
+    return scoring.score_days(stage(scoring_columns(default_master(spark, folder, delays), DEFAULTS)), DEFAULT_WEIGHTS)
 
 
 def requested_loads(spark: SparkSession, folder: str) -> DataFrame:
@@ -433,7 +443,7 @@ def flight_features(spark, folder):
 
 @case("daily_minmax_scale", {"flight_id": "i", DAY: "s", **{f"{name}_scaled": 9 for name in SLICE}}, "slice_scaled", ("slice_scaled",))
 def daily_minmax_scale(spark, folder):
-    master = stage(slice_master(spark, folder))
+    master = staged_slice(spark, folder)
     return scoring.with_day_scaling(master, stage(scoring.day_ranges(master, SLICE)), SLICE)
 
 
@@ -450,7 +460,7 @@ def daily_rank(spark, folder):
 @case("daily_rank_spread", {"flight_id": "i", "daily_rank": "i", "difficulty_class": "s"}, "slice_scored", ("slice_scored",))
 def daily_rank_spread(spark, folder):
     """The ranking used when a day is too large for one window."""
-    return scoring.score_days(stage(slice_master(spark, folder)), DEFAULT_WEIGHTS, SLICE, strategy="spread")
+    return scoring.score_days(staged_slice(spark, folder), DEFAULT_WEIGHTS, SLICE, strategy="spread")
 
 
 @case("difficulty_class", {"flight_id": "i", DAY: "s", "daily_rank": "i", "difficulty_class": "s"}, "scored", ("scored",))
@@ -488,7 +498,7 @@ def destination_baseline_calendar(spark, folder):
     ("second_scored",),
 )
 def rescore_two_pass(spark, folder):
-    master = stage(full_master(spark, folder))
+    master = stage(scoring_columns(full_master(spark, folder), FIRST))
     return scoring.score_twice(master, FULL_WEIGHTS, usable_features(FULL_WEIGHTS, master.columns))
 
 
@@ -736,7 +746,7 @@ def tuning_design(spark, folder):
     ("slice",),
 )
 def global_minmax_scale(spark, folder):
-    return tuning.design_columns(stage(slice_master(spark, folder)), SLICE)
+    return tuning.design_columns(staged_slice(spark, folder), SLICE)
 
 
 @case(
