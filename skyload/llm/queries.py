@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyload.llm import exact_dedup, mixing, packing, quality, secrets, simhash, substring_dedup
+from skyload.llm import exact_dedup, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,8 @@ def substring_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, folder, "documents"))
     spans = F.array_join(F.transform("removed", lambda cut: F.concat_ws(":", cut["start"], cut["end"])), ",")
     return found.select("doc_id", "n_chars", "n_removed", "removed_chars", spans.alias("removed_spans"), "kept_text")
+
+
+@query("op1_toxicity")
+def score_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
