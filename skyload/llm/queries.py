@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyload.llm import exact_dedup, html_text, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity
+from skyload.llm import exact_dedup, html_text, mixing, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,8 @@ def score_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     found = html_text.extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op7_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"), digest=True)
