@@ -17,8 +17,12 @@ WIDEBODY_FLEETS = "(?i)767|777|787|330|350"
 def with_country(
     flights: DataFrame, airports: DataFrame, home: str = "US", sizes: DataFrame | None = None, small: int | None = None
 ) -> DataFrame:
-    """Country of the arrival airport; anything but the home country, unknown included, is international."""
-    pairs = airports.select("airport_iata_code", "iso_country_code").where("airport_iata_code IS NOT NULL").distinct()
+    """Country of the arrival airport; anything but the home country, unknown included, is international.
+
+    A code listed with several countries has the first of them by name, so that no flight is counted twice.
+    """
+    known = airports.where("airport_iata_code IS NOT NULL").groupBy("airport_iata_code")
+    pairs = known.agg(F.min("iso_country_code").alias("iso_country_code"))
     arrivals = stage(pairs.withColumn(DESTINATION, F.col("airport_iata_code")))
     joined = lookup_join(flights, arrivals, [DESTINATION], sizes=sizes, small=small)
     return joined.withColumn("is_international", (~F.col("iso_country_code").eqNullSafe(home)).cast("int"))

@@ -111,26 +111,24 @@ OLS_SCHEMA = "intercept double, coef_ssr_count double, coef_load_factor double,
 def delay_regression(loads: DataFrame) -> DataFrame:
     """Least squares of delay on requests and load, over complete rows within a day's delay.
 
-    One pass gives the sums of products; the 3 x 3 system they form is solved on the driver
-    with the pseudo-inverse, which also answers when the two inputs are collinear.
+    One pass gives means and covariances, which Spark merges as central moments, so values far from zero keep their
+    digits. The 2 x 2 system they form is solved on the driver with the pseudo-inverse, which also answers
+    when the two inputs are collinear or one does not vary.
     """
     x1, x2, y = F.col("ssr_count").cast("double"), F.col("load_factor"), F.col("dep_delay_minutes")
     rows = loads.select(x1.alias("a"), x2.alias("b"), y.alias("y")).dropna().where(F.abs("y") < 1440)
-    sums = rows.agg(
+    pairs = ("aa", "ab", "bb", "ay", "by", "yy")
+    found = rows.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(name).alias(name) for name in ("a", "b", "y")],
-        *[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "ab", "bb", "ay", "by", "yy")],
+        *[F.avg(name).alias(name) for name in ("a", "b", "y")],
+        *[F.covar_pop(p, q).alias(p + q) for p, q in pairs],
     ).first()
     spark = loads.sparkSession
-    if sums["n"] < 10:
-        return spark.createDataFrame([(None, None, None, None, sums["n"], "not enough data")], OLS_SCHEMA)
-    gram = np.array(
-        [[sums["n"], sums["a"], sums["b"]], [sums["a"], sums["aa"], sums["ab"]], [sums["b"], sums["ab"], sums["bb"]]],
-        dtype=float,
-    )
-    moments = np.array([sums["y"], sums["ay"], sums["by"]], dtype=float)
-    beta = np.linalg.pinv(gram) @ moments
-    left_over = sums["yy"] - 2 * beta @ moments + beta @ gram @ beta
-    spread = sums["yy"] - sums["y"] ** 2 / sums["n"]
-    r2 = float(1 - left_over / spread) if spread > 0 else None
-    return spark.createDataFrame([(*map(float, beta), r2, sums["n"], None)], OLS_SCHEMA)
+    if found["n"] < 10:
+        return spark.createDataFrame([(None, None, None, None, found["n"], "not enough data")], OLS_SCHEMA)
+    spread = np.array([[found["aa"], found["ab"]], [found["ab"], found["bb"]]], dtype=float)
+    cross = np.array([found["ay"], found["by"]], dtype=float)
+    slopes = np.linalg.pinv(spread, hermitian=True) @ cross
+    intercept = found["y"] - slopes[0] * found["a"] - slopes[1] * found["b"]
+    r2 = float(slopes @ cross / found["yy"]) if found["yy"] > 0 else None
+    return spark.createDataFrame([(float(intercept), *map(float, slopes), r2, found["n"], None)], OLS_SCHEMA)

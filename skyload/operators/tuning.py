@@ -55,6 +55,28 @@ def with_fold(df: DataFrame, key: Sequence[str], k: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(*key), F.lit(k)).cast("int"))
 
 
+def centres(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """A value in the middle of each feature and of the target: the mean, or the value itself of a column with one value only.
+
+    Sums of products are taken of the distances from these, so that they keep their digits far from zero and are
+    exactly 0 for a column that does not vary. One number per feature reaches the driver.
+    """
+    names = [*features, TARGET]
+    ends = df.agg(*[end(design_value(n)).alias(f"{label}{at}") for at, n in enumerate(names) for label, end in (("a", F.min), ("b", F.max), ("c", F.avg))]).first()
+    return {n: (ends[f"a{at}"] if ends[f"a{at}"] == ends[f"b{at}"] else ends[f"c{at}"]) or 0.0 for at, n in enumerate(names)}
+
+
+def centred(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The design with all features and the target moved by their centres; correlations stay what they are."""
+    middle = centres(df, features)
+    moved = {f"x_{name}": F.col(f"x_{name}") - F.lit(middle[name]) for name in features}
+    return df.withColumns({**moved, TARGET: F.col(TARGET) - F.lit(middle[TARGET])})
+
+
+# A centred sum of squares below this share of the sum of squares is rounding.
+NOISE = 1e-12
+
+
 def product_sums(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows (…by, i, j, s): the sum of the product of each two of the constant 1, the features and the target.
 
@@ -96,7 +118,7 @@ def fold_sums(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def covariances(sums: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Centred sums (…by, i, j, c) in both orders, without the constant."""
+    """Centred sums (…by, i, j, c) in both orders, without the constant; exactly 0 for a column that does not vary in its group."""
     by = list(by)
     count = sums.where((F.col("i") == ONE) & (F.col("j") == ONE)).select(*by, F.col("s").alias("n"))
     totals = sums.where((F.col("i") == ONE) & (F.col("j") != ONE)).select(*by, F.col("j").alias("name"), F.col("s").alias("t"))
@@ -109,9 +131,11 @@ def covariances(sums: DataFrame, by: Sequence[str]) -> DataFrame:
 
     joined = attach(attach(pairs, left, [*by, "i"]), right, [*by, "j"])
     joined = attach(joined, count, by)
-    centred = joined.select(*by, "i", "j", (F.col("s") - F.col("ti") * F.col("tj") / F.col("n")).alias("c"))
-    mirrored = centred.where(F.col("i") != F.col("j")).select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "c")
-    return centred.unionByName(mirrored)
+    rest = F.col("s") - F.col("ti") * F.col("tj") / F.col("n")
+    flat = (F.col("i") == F.col("j")) & (rest <= NOISE * F.col("s"))
+    around = joined.select(*by, "i", "j", F.when(flat, 0.0).otherwise(rest).alias("c"))
+    mirrored = around.where(F.col("i") != F.col("j")).select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "c")
+    return around.unionByName(mirrored)
 
 
 def correlation_matrix(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -121,13 +145,12 @@ def correlation_matrix(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
         F.lit(0.0).alias(TARGET),
         *[F.col(column).cast("double").alias(f"x_{name}") for name, column in columns.items()],
     )
-    sums = stage(product_sums(named, list(columns), ["part"]))
+    sums = stage(product_sums(centred(named, list(columns)), list(columns), ["part"]))
     cells = stage(covariances(sums, ["part"]).where((F.col("i") != TARGET) & (F.col("j") != TARGET)))
     spread = cells.where(F.col("i") == F.col("j")).select(F.col("i").alias("name"), "c")
     a = spread.select(F.col("name").alias("i"), F.col("c").alias("ci"))
     b = spread.select(F.col("name").alias("j"), F.col("c").alias("cj"))
-    # A sum of squares this close to zero is rounding of a column that does not vary.
-    product = F.when((F.col("ci") > 1e-9) & (F.col("cj") > 1e-9), F.sqrt(F.col("ci") * F.col("cj")))
+    product = F.when((F.col("ci") > 0) & (F.col("cj") > 0), F.sqrt(F.col("ci")) * F.sqrt(F.col("cj")))
     return cells.join(a, "i").join(b, "j").select(
         F.col("i").alias("feature_a"), F.col("j").alias("feature_b"), (F.col("c") / product).alias("corr")
     )
@@ -167,10 +190,14 @@ def score_candidates(candidates: DataFrame, covariance: DataFrame, by: Sequence[
         .join(F.broadcast(left), "i")
         .join(F.broadcast(right), ["candidate", "j"])
         .groupBy(*by, "candidate")
-        .agg(F.sum(F.col("wi") * F.col("wj") * F.col("c")).alias("down"))
+        .agg(
+            F.sum(F.col("wi") * F.col("wj") * F.col("c")).alias("down"),
+            F.sum(F.abs(F.col("wi") * F.col("wj") * F.col("c"))).alias("size"),
+        )
     )
     joined = with_target_sum.join(spread, [*by, "candidate"]).join(F.broadcast(own), by)
-    below = F.when((F.col("down") > 1e-9) & (F.col("target_c") > 1e-9), F.sqrt(F.col("down") * F.col("target_c")))
+    varies = (F.col("down") > NOISE * F.col("size")) & (F.col("target_c") > 0)
+    below = F.when(varies, F.sqrt(F.col("down")) * F.sqrt(F.col("target_c")))
     return joined.select(*by, "candidate", (F.col("up") / below).alias("corr"))
 
 
@@ -294,7 +321,7 @@ def tune_weights(
     weights on the rows they were fitted to and on the rows held out.
     """
     spark = design.sparkSession
-    sums = stage(fold_sums(design, features))
+    sums = stage(fold_sums(centred(design, features), features))
     covariance = stage(covariances(sums, ["fold", "part"]))
     if method == "gradient":
         found = gradient_search(covariance, features, spark)

@@ -166,8 +166,8 @@ def chart_tables(result: Analysis, inputs: Inputs, key: Sequence[str] = FLIGHT_K
 
 
 def write_analysis(result: Analysis, folder: str, format: str = "parquet") -> None:
-    """Scores by day, and the result tables, below one folder."""
-    write_scores(result.scored, f"{folder}/scores")
+    """Scores by day, and the result tables, below one folder, all in one format."""
+    write_scores(result.scored, f"{folder}/scores", format=format)
     for name in ("feature_correlation", "destinations", "drivers", "summary"):
         write_table(getattr(result, name), f"{folder}/{name}", format)
 

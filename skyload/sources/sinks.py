@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from skyload.config import DAY, FULL_WEIGHTS
-from skyload.sources.tables import LAYOUTS, clean_headers, typed
+from skyload.sources.tables import CSV_STYLE, LAYOUTS, clean_headers, typed
 
 # Columns of a scores table that hold numbers, next to the scaled features.
 MEASURED = {
@@ -29,12 +29,16 @@ MEASURED = {
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
-    """Any result as Parquet, or as CSV with a header."""
-    writer = df.write.mode(mode).format(format)
-    (writer.option("header", True) if format == "csv" else writer).save(path)
+    """Any result as Parquet, or as CSV with a header, quotes in fields doubled."""
+    in_format(df.write.mode(mode), format).save(path)
 
 
-def write_scores(scored: DataFrame, path: str, day: str = DAY, per: str = "day", mode: str = "overwrite") -> None:
+def in_format(writer: DataFrameWriter, format: str) -> DataFrameWriter:
+    writer = writer.format(format)
+    return writer.options(header=True, quote='"', escape='"', timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]") if format == "csv" else writer
+
+
+def write_scores(scored: DataFrame, path: str, day: str = DAY, per: str = "day", mode: str = "overwrite", format: str = "parquet") -> None:
     """Scores partitioned by day (or month), so that one day can be written again by itself.
 
     The rebalance hint gives each partition its own files: small days are put together in one task,
@@ -45,7 +49,7 @@ def write_scores(scored: DataFrame, path: str, day: str = DAY, per: str = "day",
     label = unit.cast("string") if per == "day" else F.date_format(unit, "yyyy-MM")
     name = f"score_{per}"
     table = scored.withColumn(name, label).hint("rebalance", name)
-    table.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+    in_format(table.write.mode(mode), format).option("partitionOverwriteMode", "dynamic").partitionBy(name).save(path)
 
 
 def score_kinds(columns: Sequence[str]) -> dict[str, str]:
@@ -59,7 +63,7 @@ def read_scores(
 ) -> DataFrame:
     """Scores from an earlier run; the day as a date, bad ones as null."""
     if source == "csv":
-        text = clean_headers(spark.read.csv(path, header=True, inferSchema=False))
+        text = clean_headers(spark.read.options(**CSV_STYLE).csv(path, header=True, inferSchema=False))
         df = typed(text, score_kinds(text.columns))
     else:
         df = spark.read.format(source).load(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyload.config import DAY, FLIGHT_KEY
-from skyload.functions.parsing import parse_as, text_or_null
+from skyload.functions.parsing import finite, parse_as, text_or_null
 
 # Column kinds of the input tables. Other columns stay text.
 LAYOUTS = {
@@ -68,6 +68,9 @@ LAYOUTS = {
     },
 }
 
+# Quoted fields as most programs write them: a quote inside is doubled, line breaks may occur.
+CSV_STYLE = {"quote": '"', "escape": '"', "multiLine": True}
+
 # Columns without which a table is of no use.
 REQUIRED = {
     "flights": {DAY, "flight_number", "scheduled_arrival_station_code", "total_seats"},
@@ -96,7 +99,7 @@ def clean_headers(df: DataFrame) -> DataFrame:
 
 
 def typed(df: DataFrame, layout: Mapping[str, str]) -> DataFrame:
-    """Text columns to the kinds of the layout. Columns already typed keep their type, days become dates."""
+    """Text columns to the kinds of the layout. Columns already typed keep their type; days become dates, NaN and infinity null."""
     columns = []
     for name, kind in df.dtypes:
         value = F.col(name)
@@ -104,13 +107,19 @@ def typed(df: DataFrame, layout: Mapping[str, str]) -> DataFrame:
             value = parse_as(text_or_null(value), layout.get(name, "string"))
         elif layout.get(name) == "date":
             value = value.cast("date")
+        elif kind in ("double", "float"):
+            value = finite(value)
         columns.append(value.alias(name))
     return df.select(*columns)
 
 
 def read_csv(spark: SparkSession, path: str, layout: Mapping[str, str] | None = None) -> DataFrame:
-    """Delimited file with a header row. Everything is read as text, so no pass is spent on guessing types."""
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+    """Delimited file with a header row. Everything is read as text, so no pass is spent on guessing types.
+
+    Fields may be quoted and then hold commas, line breaks and doubled quotes. A file with line breaks in fields cannot be
+    split, so one file is one task: give large inputs as Parquet, or as many files.
+    """
+    raw = spark.read.options(**CSV_STYLE).csv(path, header=True, inferSchema=False)
     return typed(clean_headers(raw), layout or {})
 
 

@@ -12,10 +12,10 @@ from skyload.sources.tables import LAYOUTS, input_counts, read_csv, read_inputs,
 
 
 def test_dates_in_both_styles(spark):
-    texts = ["2025-08-01", "8/1/2025", "2025-08-01 10:30:00", " 2025-08-01 ", "13/45/2025", "soon", None]
+    texts = ["2025-08-01", "8/1/2025", "2025-08-01 10:30:00", " 2025-08-01 ", "8/1/2025 08:15", "8/1/2025 8:15:30", "13/45/2025", "soon", None]
     df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
     found = [row[0] for row in df.orderBy("n").select(parse_date(F.col("t"))).collect()]
-    assert found == [date(2025, 8, 1)] * 4 + [None] * 3
+    assert found == [date(2025, 8, 1)] * 6 + [None] * 3
 
 
 def test_issue_times_move_to_utc(spark):
@@ -51,6 +51,21 @@ def test_flight_file(spark, tmp_path):
     assert rows[1] == ("UA", 1002, date(2025, 8, 1), None, None, None, None)
 
 
+def test_quoted_fields_and_odd_numbers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('text,n,x\n"needs ""WCHR, ramp"" at gate",12, NaN\n"two\nlines",13,Infinity\nplain,14,-1.5\n')
+    df = read_csv(spark, str(tmp_path / "a.csv"), {"n": "bigint", "x": "double"})
+    assert sorted(map(tuple, df.collect()), key=str) == [('needs "WCHR, ramp" at gate', 12, None), ("plain", 14, -1.5), ("two\nlines", 13, None)]
+    sinks.write_table(df, str(tmp_path / "out"), "csv")
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "out"), {"n": "bigint", "x": "double"}).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+def test_typed_numbers_that_are_none(spark, tmp_path):
+    spark.createDataFrame([("A", float("nan")), ("B", float("inf")), ("C", 2.0)], "station_code string, weather_severity_index double").withColumn(
+        "observation_time", F.lit("2025-08-01 08:00:00").cast("timestamp_ntz")).write.parquet(str(tmp_path / "w"))
+    found = {r["station_code"]: r["weather_severity_index"] for r in read_table(spark, str(tmp_path / "w"), "weather", "parquet").collect()}
+    assert found == {"A": None, "B": None, "C": 2.0}
+
+
 def test_missing_columns_are_named(spark, tmp_path):
     (tmp_path / "airports.csv").write_text("airport_iata_code\nMIA\n")
     with pytest.raises(ValueError, match="iso_country_code"):

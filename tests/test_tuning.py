@@ -67,6 +67,20 @@ def test_correlation_matrix(spark):
             assert found[i, j] == pytest.approx(expected[p, q], abs=1e-9)
 
 
+@pytest.mark.parametrize("rows", [15_000, 1_000_000])
+def test_correlations_far_from_zero(spark, rows):
+    """A constant column has none at any number of rows; columns near ten million keep theirs."""
+    noise = F.col("id") * 7919 % 1000 / 1000
+    df = spark.range(rows).select(
+        F.lit(7.3).alias("flat"), (noise + 1e7).alias("far"), (noise + 1e7).alias("same"), (noise + F.col("id") * 104729 % 997 / 997).alias("mixed")
+    )
+    found = {(r["feature_a"], r["feature_b"]): r["corr"] for r in tuning.correlation_matrix(df, {n: n for n in df.columns}).collect()}
+    assert all(found["flat", name] is None for name in df.columns)
+    values = df.select("far", "mixed").toPandas()
+    expected = np.corrcoef(values["far"] - 1e7, values["mixed"])[0, 1]
+    assert found["far", "same"] == pytest.approx(1, abs=1e-9) and found["far", "mixed"] == pytest.approx(expected, abs=1e-7)
+
+
 def test_candidate_scores(spark):
     x, y = data()
     df = design(spark, x, y)

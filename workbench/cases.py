@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyload.config import DAY, DEFAULT_WEIGHTS, DEPARTURE, DESTINATION, FULL_WEIGHTS, LIFT_FEATURES, ORIGIN, usable_features
-from skyload.functions.parsing import parse_date
+from skyload.functions.parsing import parse_date, parse_timestamp, parse_utc_timestamp
 from skyload.operators import bags, charts, context, history, insights, measures, passengers, scoring, service, tuning, turn
 from skyload.operators.spread import attach_all, spread_join
 from skyload.operators.staging import shared_folder, stage
@@ -73,30 +73,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 # Shared Spark steps -----------------------------------------------------------------------------
 
 
-def slice_master(spark: SparkSession, folder: str) -> DataFrame:
-    """Bag, load, turn and aircraft features: the smallest set worth scoring."""
-    flights = tables.flights(spark, folder)
-    counts = bags.bag_counts(tables.bags(spark, folder), KEY)
-    pax = passengers.passenger_totals(tables.bookings(spark, folder), KEY)
-    joined = attach_all(flights, [counts, pax], KEY, sizes=flights, by=[*KEY, DEPARTURE])
-    joined = joined.fillna(0, subset=["hot_transfer_count", "total_transfer_bags", "total_bags", "transfer_ratio"])
-    return context.with_aircraft(turn.with_turn_features(passengers.with_load(joined)))
-
-
 def scoring_columns(master: DataFrame, features: list[str]) -> DataFrame:
     """What scoring and the queries after it read; nothing else is worth writing."""
     wanted = {"flight_id", "flight_number", DAY, DESTINATION, DEPARTURE, "actual_departure_datetime_local", *features}
     return master.select(*[name for name in master.columns if name in wanted])
 
 
-def staged_slice(spark: SparkSession, folder: str) -> DataFrame:
-    return stage(scoring_columns(slice_master(spark, folder), SLICE))
-
-
-def slice_scored(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.score_days(staged_slice(spark, folder), DEFAULT_WEIGHTS, SLICE)
-
-
 def full_master(spark: SparkSession, folder: str) -> DataFrame:
     return feature_plans.build_features(tables.inputs(spark, folder), SETTINGS)
 
@@ -119,6 +101,14 @@ def default_scored(spark: SparkSession, folder: str, delays: bool = False) -> Da
     return scoring.score_days(stage(scoring_columns(default_master(spark, folder, delays), DEFAULTS)), DEFAULT_WEIGHTS)
 
 
+def staged_slice(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(scoring_columns(default_master(spark, folder), DEFAULTS))
+
+
+def slice_scored(spark: SparkSession, folder: str) -> DataFrame:
+    return default_scored(spark, folder)
+
+
 def requested_loads(spark: SparkSession, folder: str) -> DataFrame:
     """Flights with delay, load and request count."""
     booked = tables.bookings(spark, folder)
@@ -133,9 +123,11 @@ def requested_loads(spark: SparkSession, folder: str) -> DataFrame:
 
 @case(
     "csv_scan_clean",
-    {"o_orderkey": "i", "o_orderstatus": "s", "o_orderpriority": "s", "o_totalprice": 2},
+    {"o_orderkey": "i", "o_orderstatus": "s", "o_orderpriority": "s", "o_totalprice": 2, "remark": "s"},
     """(SELECT o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus,
-        CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS o_orderpriority, o_totalprice FROM orders)""",
+        CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS o_orderpriority,
+        CASE WHEN o_orderkey % 10 > 1 THEN o_totalprice END AS o_totalprice,
+        'needs "' || o_orderpriority || '", at' || chr(10) || 'gate ' || CAST(o_orderkey AS VARCHAR) AS remark FROM orders)""",
 )
 def csv_scan_clean(spark, folder):
     path = scratch(spark, "orders-csv")
@@ -144,8 +136,10 @@ def csv_scan_clean(spark, folder):
         F.col("o_orderkey").alias(" o_orderkey"),
         F.when(F.col("o_orderstatus") == "P", missing).otherwise(F.col("o_orderstatus")).alias("o_orderstatus "),
         F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("o_orderpriority"),
-        F.col("o_totalprice").alias(" o_totalprice "),
-    ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        F.when(F.col("o_orderkey") % 10 == 0, " NaN").when(F.col("o_orderkey") % 10 == 1, "Infinity")
+        .otherwise(F.col("o_totalprice").cast("string")).alias(" o_totalprice "),
+        F.concat(F.lit('needs "'), "o_orderpriority", F.lit('", at\ngate '), "o_orderkey").alias("remark"),
+    ).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"').csv(path)
     return readers.read_csv(spark, path, {"o_orderkey": "bigint", "o_totalprice": "double"})
 
 
@@ -165,6 +159,30 @@ def parse_dates(spark, folder):
     return tables.table(spark, folder, "orders").select("o_orderkey", parse_date(text).alias("parsed"))
 
 
+@case(
+    "parse_timestamps",
+    {"o_orderkey": "i", "wall": "s", "utc": "s"},
+    """(SELECT o_orderkey, strftime(wall, '%Y-%m-%d %H:%M:%S') AS wall, strftime(utc, '%Y-%m-%d %H:%M:%S') AS utc FROM (SELECT o_orderkey,
+        CASE WHEN o_orderkey % 5 < 4 THEN t END AS wall, CASE WHEN o_orderkey % 5 = 1 THEN t - to_hours(2) WHEN o_orderkey % 5 < 4 THEN t END AS utc
+        FROM (SELECT o_orderkey, o_orderdate + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) AS t FROM orders)))""",
+)
+def parse_timestamps(spark, folder):
+    """Five styles: ISO, ISO with an offset, month first, the same with seconds and blanks, and no time at all."""
+    number = F.col("o_orderkey")
+    time = F.col("o_orderdate") + tables.minutes(number % 24 * 60 + number % 60)
+    text = (
+        F.when(number % 5 == 0, F.date_format(time, "yyyy-MM-dd HH:mm:ss"))
+        .when(number % 5 == 1, F.concat(F.date_format(time, "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00")))
+        .when(number % 5 == 2, F.date_format(time, "M/d/yyyy H:mm"))
+        .when(number % 5 == 3, F.concat(F.lit(" "), F.date_format(time, "M/d/yyyy HH:mm:ss"), F.lit(" ")))
+        .otherwise("13/45/1999 8:15")
+    )
+    shown = "yyyy-MM-dd HH:mm:ss"
+    return tables.table(spark, folder, "orders").select(
+        "o_orderkey", F.date_format(parse_timestamp(text), shown).alias("wall"), F.date_format(parse_utc_timestamp(text), shown).alias("utc")
+    )
+
+
 @case(
     "weather_absent_zero",
     {"flight_id": "i", "weather_severity_index": 6},
@@ -188,6 +206,18 @@ def sink_roundtrip(spark, folder):
     return sinks.read_scores(spark, path)
 
 
+@case(
+    "scores_csv_roundtrip",
+    {"flight_id": "i", DAY: "s", "difficulty_score": 9, "daily_rank": "i", "difficulty_class": "s", "load_factor_scaled": 9},
+    "slice_scored",
+    ("slice_scored",),
+)
+def scores_csv_roundtrip(spark, folder):
+    path = scratch(spark, "scores-csv")
+    sinks.write_scores(slice_scored(spark, folder), path, per="month", format="csv")
+    return sinks.read_scores(spark, path, source="csv")
+
+
 @case(
     "input_row_counts",
     {"table_name": "s", "rows": "i", "rows_without_key": "i"},
@@ -333,7 +363,7 @@ def extra_features(spark, folder):
     ("slice",),
 )
 def interaction_terms(spark, folder):
-    return feature_plans.with_interactions(slice_master(spark, folder))
+    return feature_plans.with_interactions(default_master(spark, folder))
 
 
 @case("distinct_booking_keys", {"flight_id": "i", "record_locator": "i"}, "pairs", ("pairs",))
@@ -401,7 +431,7 @@ def slot_congestion_per_date(spark, folder):
     ("full_master",),
 )
 def trailing_volatility(spark, folder):
-    return history.with_volatility(slice_master(spark, folder), ties=KEY, sizes=tables.flights(spark, folder))
+    return history.with_volatility(default_master(spark, folder), ties=KEY, sizes=tables.flights(spark, folder))
 
 
 @case(
@@ -551,7 +581,10 @@ def avg_feature_lift(spark, folder):
     return insights.mean_lifts(top_drivers(spark, folder), 12)
 
 
-RULES = ", ".join(f"('{feature}', '{text}')" for feature, text in insights.RECOMMENDATIONS.items())
+RULES = """('total_bags', 'prepare: baggage'), ('transfer_ratio', 'prepare: baggage'), ('hot_transfer_count', 'prepare: baggage'),
+    ('children', 'prepare: families'), ('lap_children', 'prepare: families'), ('stroller_users', 'prepare: families'),
+    ('ground_time_pressure', 'prepare: turnaround'), ('ssr_count', 'prepare: assistance'), ('load_factor', 'prepare: seating'),
+    ('is_international', 'prepare: border control')"""
 
 
 @case(
@@ -808,7 +841,7 @@ def uniform_blend(prefix: str = "", suffix: str = "_scaled") -> str:
 )
 def score_target_corr(spark, folder):
     design = tuning_design(spark, folder).withColumn("part", F.lit("all"))
-    covariance = tuning.covariances(stage(tuning.product_sums(design, TUNED, ["part"])), ["part"])
+    covariance = tuning.covariances(stage(tuning.product_sums(tuning.centred(design, TUNED), TUNED, ["part"])), ["part"])
     rows = [("uniform", name, 1.0 / len(TUNED)) for name in TUNED]
     uniform = spark.createDataFrame(rows, tuning.CANDIDATE_SCHEMA)
     return tuning.score_candidates(uniform, covariance, ["part"])
@@ -828,19 +861,26 @@ def score_auc(spark, folder):
     return tuning.rank_quality(tuning.blend(tuning_design(spark, folder), weights))
 
 
+def start_mixes(names: list[str]) -> dict[str, dict[str, float]]:
+    """The candidates a search starts from, written out again for the SQL."""
+    total = sum(DEFAULT_WEIGHTS[name] for name in names)
+    mixes = {"uniform": {name: 1.0 / len(names) for name in names}, "default": {name: DEFAULT_WEIGHTS[name] / total for name in names}}
+    mixes |= {f"only:{name}": {name: 1.0} for name in names}
+    return mixes | {f"mix:{a}+{b}": {a: 0.5, b: 0.5} for at, a in enumerate(names) for b in names[at + 1 :]}
+
+
 def candidate_sql() -> str:
-    rows = tuning.start_candidates(TUNED, DEFAULT_WEIGHTS)
-    mixes: dict[str, list] = {}
-    for label, name, weight in rows:
-        mixes.setdefault(label, []).append(f"{name}_scaled * {number(weight)}")
-    parts = [f"SELECT f.fold, '{label}' AS candidate, corr(target, {' + '.join(terms)}) AS corr FROM t JOIN f ON t.fold <> f.fold GROUP BY 1"
-             for label, terms in mixes.items()]
-    return f"""(WITH t AS (SELECT * FROM {TARGETED}), f AS (SELECT unnest(range(5)) AS fold) {' UNION ALL '.join(parts)})"""
+    mixes = start_mixes(TUNED)
+    sums = [" + ".join(f"{name}_scaled * {number(weight)}" for name, weight in mix.items()) for mix in mixes.values()]
+    columns = ", ".join(f"corr(target, {total}) AS c{at}" for at, total in enumerate(sums))
+    cells = ", ".join(f"('{label}', c{at})" for at, label in enumerate(mixes))
+    return f"""(SELECT fold, candidate, corr FROM (SELECT f.fold, {columns} FROM {TARGETED} t JOIN (SELECT unnest(range(5)) AS fold) f
+        ON t.fold <> f.fold GROUP BY 1) g, LATERAL (VALUES {cells}) AS c (candidate, corr))"""
 
 
 @case("candidate_weight_search", {"fold": "i", "candidate": "s", "corr": 6}, candidate_sql(), ("slice_scored",))
 def candidate_weight_search(spark, folder):
-    sums = stage(tuning.fold_sums(tuning_design(spark, folder), TUNED))
+    sums = stage(tuning.fold_sums(tuning.centred(tuning_design(spark, folder), TUNED), TUNED))
     covariance = tuning.covariances(sums.where("part = 'train'").drop("part"), ["fold"])
     candidates = spark.createDataFrame(tuning.start_candidates(TUNED, DEFAULT_WEIGHTS), tuning.CANDIDATE_SCHEMA)
     return tuning.score_candidates(candidates, stage(covariance), ["fold"])

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from skyload.config import DEFAULT_WEIGHTS, FULL_WEIGHTS, normalise_weights
-
 DAY = "scheduled_departure_date_local"
 DEST = "scheduled_arrival_station_code"
 
-SLICE = [
-    "ground_time_pressure", "actual_turn_deficit", "turn_deficit_ratio", "total_bags", "transfer_ratio",
-    "hot_transfer_count", "total_pax", "load_factor", "widebody_flag",
-]
+# Written out here, not imported, so that a wrong value in the package shows.
+DEFAULT_WEIGHTS = {
+    "ground_time_pressure": 0.15, "actual_turn_deficit": 0.07, "turn_deficit_ratio": 0.05, "total_bags": 0.06, "transfer_ratio": 0.06,
+    "hot_transfer_count": 0.04, "total_pax": 0.08, "load_factor": 0.06, "basic_economy_ratio": 0.05, "booking_lead_days_mean": 0.04,
+    "late_booking_ratio": 0.04, "children": 0.04, "lap_children": 0.03, "stroller_users": 0.03, "ssr_count": 0.10, "is_international": 0.04,
+    "widebody_flag": 0.06,
+}
+FULL_WEIGHTS = {
+    "ground_time_pressure": 0.13, "actual_turn_deficit": 0.06, "turn_deficit_ratio": 0.05, "total_bags": 0.05, "transfer_ratio": 0.05,
+    "hot_transfer_count": 0.03, "total_pax": 0.07, "load_factor": 0.05, "basic_economy_ratio": 0.04, "booking_lead_days_mean": 0.04,
+    "late_booking_ratio": 0.04, "children": 0.03, "lap_children": 0.02, "stroller_users": 0.02, "ssr_count": 0.08, "is_international": 0.04,
+    "widebody_flag": 0.05, "ssr_mobility_count": 0.02, "ssr_special_handling_count": 0.02, "bag_issue_lead_mean": 0.02,
+    "bag_late_issue_ratio": 0.02, "bag_per_seat_ratio": 0.02, "destination_base_difficulty": 0.02, "load_factor_volatility": 0.015,
+    "ground_time_pressure_volatility": 0.015, "slot_congestion_count": 0.015, "transfer_ground_interaction": 0.015,
+    "load_pressure_interaction": 0.015, "weather_severity_index": 0.01,
+}
 
 CTES: dict[str, tuple[list[str], str]] = {}
 
@@ -97,13 +108,13 @@ cte(
     "event_flights",
     [],
     """SELECT event_id AS flight_id, 'S' || CAST(user_id % 10 AS VARCHAR) AS scheduled_departure_station_code,
-    ts AS scheduled_departure_datetime_local FROM events WHERE event_type = 'purchase'""",
+    ts AS scheduled_departure_datetime_local FROM events""",
 )
 cte(
     "hourly_weather",
     [],
     """SELECT 'S' || CAST(user_id % 10 AS VARCHAR) AS station_code, date_trunc('hour', ts) AS weather_hour,
-    avg(value) AS weather_severity_index FROM events WHERE event_type = 'error' GROUP BY 1, 2""",
+    avg(value) AS weather_severity_index FROM events GROUP BY 1, 2""",
 )
 cte(
     "passengers",
@@ -189,13 +200,13 @@ def master_sql(source: str) -> str:
 MASTER_NEEDS = ["passengers", "bag_counts", "requests", "airports"]
 cte("master", ["flights", *MASTER_NEEDS], master_sql("flights"))
 cte("late_master", ["late_flights", *MASTER_NEEDS], master_sql("late_flights"))
+cte("slice", ["master"], "SELECT * FROM master")
 cte(
-    "slice",
-    ["flights", "bookings", "bag_counts"],
-    f"""SELECT f.*, coalesce(hot_transfer_count, 0) AS hot_transfer_count, coalesce(total_bags, 0) AS total_bags,
-    coalesce(transfer_ratio, 0) AS transfer_ratio, coalesce(pax, 0) AS total_pax, coalesce(pax, 0) / {SEATS} AS load_factor, {TURN}, {WIDE}
-    FROM flights f LEFT JOIN (SELECT flight_id, sum(total_pax) AS pax FROM bookings GROUP BY 1) USING (flight_id)
-    LEFT JOIN bag_counts USING (flight_id)""",
+    "flight_weather",
+    [],
+    """SELECT 'S' || CAST(user_id % 40 AS VARCHAR) AS station_code,
+    date_trunc('hour', TIMESTAMP '1995-01-01' + to_hours(CAST(event_id * 37 % 60000 AS INTEGER)) + to_minutes(CAST(event_id % 60 AS INTEGER))) AS weather_hour,
+    avg(value) AS severity FROM events GROUP BY 1, 2""",
 )
 
 
@@ -207,12 +218,13 @@ def deviation(name: str) -> str:
 SLOTS = "count(*) OVER (PARTITION BY scheduled_departure_station_code, hour(scheduled_departure_datetime_local)) AS slot_congestion_count"
 cte(
     "full_master",
-    ["master", "bag_timing"],
+    ["master", "bag_timing", "flight_weather"],
     f"""SELECT m.*, coalesce(bag_issue_lead_mean, 0) AS bag_issue_lead_mean, coalesce(bag_late_issue_ratio, 0) AS bag_late_issue_ratio,
     coalesce(total_bags / {SEATS}, 0) AS bag_per_seat_ratio, {SLOTS}, {deviation('load_factor')}, {deviation('ground_time_pressure')},
     transfer_ratio * ground_time_pressure AS transfer_ground_interaction,
-    load_factor * ground_time_pressure AS load_pressure_interaction, CAST(0 AS DOUBLE) AS weather_severity_index
-    FROM master m LEFT JOIN bag_timing USING (flight_id)""",
+    load_factor * ground_time_pressure AS load_pressure_interaction, coalesce(severity, 0) AS weather_severity_index
+    FROM master m LEFT JOIN bag_timing USING (flight_id) LEFT JOIN flight_weather w ON w.station_code = scheduled_departure_station_code
+    AND w.weather_hour = date_trunc('hour', scheduled_departure_datetime_local)""",
 )
 
 
@@ -225,7 +237,8 @@ def scaled_sql(source: str, features: Sequence[str]) -> str:
 
 
 def scored_sql(source: str, features: Sequence[str], weights: Mapping[str, float]) -> str:
-    shares = normalise_weights(weights)
+    total_weight = math.fsum(weights.values())
+    shares = {name: weight / total_weight for name, weight in weights.items()}
     total = " + ".join(["CAST(0 AS DOUBLE)", *[f"{name}_scaled * {number(shares[name])}" for name in features]])
     share = f"(daily_rank - 1) / CAST(greatest(count(*) OVER (PARTITION BY {DAY}) - 1, 1) AS DOUBLE)"
     return f"""SELECT *, CASE WHEN {share} < 0.25 THEN 'Difficult' WHEN {share} < 0.75 THEN 'Medium' ELSE 'Easy' END AS difficulty_class
@@ -234,7 +247,7 @@ def scored_sql(source: str, features: Sequence[str], weights: Mapping[str, float
                 FROM {source}))"""
 
 
-DEFAULTS = list(DEFAULT_WEIGHTS)
+DEFAULTS = SLICE = list(DEFAULT_WEIGHTS)
 FIRST = [name for name in FULL_WEIGHTS if name != "destination_base_difficulty"]
 cte("slice_scaled", ["slice"], scaled_sql("slice", SLICE))
 cte("slice_scored", ["slice_scaled"], scored_sql("slice_scaled", SLICE, DEFAULT_WEIGHTS))

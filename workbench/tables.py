@@ -101,8 +101,8 @@ def airports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_flights(spark: SparkSession, folder: str) -> DataFrame:
-    """Purchases as departures, for the join with the weather."""
-    return table(spark, folder, "events").where("event_type = 'purchase'").select(
+    """Every event as a departure, for the join with the weather."""
+    return table(spark, folder, "events").select(
         F.col("event_id").alias("flight_id"),
         F.concat(F.lit("S"), F.col("user_id") % 10).alias("scheduled_departure_station_code"),
         F.col("ts").alias("scheduled_departure_datetime_local"),
@@ -110,14 +110,25 @@ def event_flights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, folder: str) -> DataFrame:
-    """Errors as weather reports."""
-    return table(spark, folder, "events").where("event_type = 'error'").select(
+    """Every event as a weather report."""
+    return table(spark, folder, "events").select(
         F.concat(F.lit("S"), F.col("user_id") % 10).alias("station_code"),
         F.col("ts").alias("observation_time"),
         F.col("value").alias("weather_severity_index"),
     )
 
 
+def flight_weather(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a weather report at the stations and in the years of the flights."""
+    number = F.col("event_id")
+    first = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
+    return table(spark, folder, "events").select(
+        F.concat(F.lit("S"), F.col("user_id") % 40).alias("station_code"),
+        (first + F.make_dt_interval(hours=(number * 37 % 60000).cast("int"), mins=(number % 60).cast("int"))).alias("observation_time"),
+        F.col("value").alias("weather_severity_index"),
+    )
+
+
 def inputs(spark: SparkSession, folder: str, delays: bool = False) -> Inputs:
     return Inputs(
         flights=flights(spark, folder, delays),
@@ -125,4 +136,5 @@ def inputs(spark: SparkSession, folder: str, delays: bool = False) -> Inputs:
         bookings=bookings(spark, folder, dates=True),
         remarks=remarks(spark, folder),
         airports=airports(spark, folder),
+        weather=flight_weather(spark, folder),
     )
