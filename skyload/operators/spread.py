@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from skyload.operators.staging import stage
+from skyload.operators.staging import remembered, stage
 
 # A key with about this many rows or more is split over several tasks.
 HOT_ROWS = 2_000_000
@@ -22,9 +22,6 @@ SEEN_PLACES = 100
 # Parts for left rows that lack a key.
 MISSING_PARTS = 10_000
 
-# A lookup table of up to this many rows is sent to every executor.
-LOOKUP_ROWS = 300_000
-
 # Width of the first-level bucket of an integer key in running totals: a bucket holds at most
 # this many distinct keys, and a key range of a billion has at most 30,518 buckets.
 BUCKET_WIDTH = 32_768
@@ -38,10 +35,14 @@ def hot_keys(
     Only the balance of later joins depends on the answer, never their result, so a large table is
     searched by counting a random share of its key columns: it costs a narrow scan and hardly any
     shuffle. With ``rows``, a column of counts, the answer is exact. There are at most
-    about (all rows / limit) such keys, so the table may be broadcast; it is written once, so that
-    both sides of a join use the same one.
+    about (all rows / limit) such keys, so the table is small beside the data; it is written once, so that
+    both sides of a join use the same one, and remembered for later joins of the same table on the same keys.
     """
     limit = limit or HOT_ROWS
+    return remembered("keys", df, [*keys, limit, rows], lambda: counted_hot_keys(df, keys, limit, rows))
+
+
+def counted_hot_keys(df: DataFrame, keys: Sequence[str], limit: int, rows: Column | None) -> DataFrame | None:
     if rows is None:
         share = min(1.0, SEEN_ROWS / limit)
         seen = df.select(*keys) if share == 1.0 else df.select(*keys).sample(fraction=share, seed=17)
@@ -62,7 +63,8 @@ def salted_join(
 
     A left row's part is a hash of the columns ``by`` and of its input partition, so exact copies are
     split too and a repeated task repeats its choice. The right rows of hot keys are copied
-    once per part. The hot table has at most (all rows / limit) rows.
+    once per part. The hot table has at most (all rows / limit) rows; it is a written table, so Spark knows its bytes
+    and sends it to every executor only below its broadcast limit.
     """
     keys = list(keys)
     mixed = F.xxhash64(*by, F.spark_partition_id())
@@ -70,9 +72,9 @@ def salted_join(
     # Rows with a missing key match nothing, so they may go anywhere.
     unmatched = reduce(Column.__or__, [F.col(name).isNull() for name in keys])
     part = F.when(unmatched, F.pmod(mixed, F.lit(MISSING_PARTS))).otherwise(part).cast("int")
-    parted = left.join(F.broadcast(hot), keys, "left").withColumn("_part", part)
+    parted = left.join(hot, keys, "left").withColumn("_part", part)
     all_parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
-    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(all_parts)).drop("_parts")
+    copied = right.join(hot, keys, "left").withColumn("_part", F.explode(all_parts)).drop("_parts")
     return parted.drop("_parts").join(copied, [*keys, "_part"], how).drop("_part")
 
 
@@ -108,13 +110,16 @@ def lookup_join(
     limit: int | None = None,
     small: int | None = None,
 ) -> DataFrame:
-    """Join a written table with one row per key: broadcast after counting it, or by :func:`spread_join`.
+    """Join a written table with one row per key.
 
-    ``rows`` names the table's own column of matching left rows, if it has one.
+    Spark knows the bytes of a written table and sends it to every executor below its broadcast limit. Beyond it, this is
+    a shuffle join of two tables, whose heavy keys adaptive execution splits. With ``small`` set, tables of more rows than that are
+    joined by :func:`spread_join`, which needs no adaptive execution; ``rows`` then names the table's own column of
+    matching left rows, if it has one.
     """
     values = table if rows is None else table.drop(rows)
-    if table.count() <= (LOOKUP_ROWS if small is None else small):
-        return left.join(F.broadcast(values), list(keys), how)
+    if small is None or table.count() <= small:
+        return left.join(values, list(keys), how)
     if rows is not None:
         return spread_join(left, values, keys, how, table, F.col(rows), by, limit)
     return spread_join(left, values, keys, how, sizes, None, by, limit)
@@ -235,7 +240,7 @@ def with_chunk(df: DataFrame, borders: DataFrame, group: str, order: Sequence[st
     place = F.struct(*order)
     passed = F.size(F.filter("_borders", lambda border: border <= place))
     large = F.col("_borders").isNotNull()
-    joined = df.join(F.broadcast(borders), group, "left")
+    joined = df.join(borders, group, "left")
     return joined.withColumns({"_chunk": F.when(large, passed).otherwise(0), "_large": large}).drop("_borders")
 
 
@@ -245,14 +250,18 @@ def chunk_borders(df: DataFrame, group: str, order: Sequence[str], limit: int, r
     Borders are evenly spaced rows of a random share of the large groups, so chunks are about ``limit``
     long however the rows lie in time; equal places stay together. A border is
     dropped when fewer than ``rows`` rows lie between it and the border before: every chunk that has a
-    successor fills a frame. All arrays together have about (all rows / limit) entries, so they may be
-    broadcast. They are written once; where they lie does not change any result.
+    successor fills a frame. All arrays together have about (all rows / limit) entries. They are written once and remembered;
+    where they lie does not change any result.
     """
+    return remembered("borders", df, [group, *order, limit, rows], lambda: drawn_borders(df, group, order, limit, rows))
+
+
+def drawn_borders(df: DataFrame, group: str, order: Sequence[str], limit: int, rows: int) -> DataFrame | None:
     known = df.where(F.col(group).isNotNull()).select(group, *order)
     large = known.groupBy(group).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > limit).select(group)
     if large.isEmpty():
         return None
-    members = known.join(F.broadcast(stage(large)), group, "left_semi")
+    members = known.join(stage(large), group, "left_semi")
     share = min(1.0, SEEN_PLACES / limit)
     seen = members if share == 1.0 else members.sample(fraction=share, seed=17)
     every = max(round(limit * share), 1)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
 # Folders of the tables staged by this process.
 STAGED: list[str] = []
 
+# What is known of the heavy keys of tables, by plan; the tables of heavy keys are staged tables too.
+PROFILES: dict[tuple, DataFrame | None] = {}
+
 METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
@@ -54,11 +58,23 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remembered(kind: str, df: DataFrame, parts: Sequence, make: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """The answer of ``make`` for the plan of ``df``, found once per session and plan.
+
+    Only for what steers the balance of a job and never its result: the files behind a plan may change meanwhile.
+    """
+    label = (kind, df.sparkSession.sparkContext.applicationId, df.semanticHash(), *map(str, parts))
+    if label not in PROFILES:
+        PROFILES[label] = make()
+    return PROFILES[label]
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables staged so far by this process; call it when all results are written."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     configuration = spark.sparkContext._jsc.hadoopConfiguration()
     released = 0
+    PROFILES.clear()
     while STAGED:
         path = hadoop.Path(STAGED.pop())
         released += bool(path.getFileSystem(configuration).delete(path, True))

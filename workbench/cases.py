@@ -886,13 +886,66 @@ def candidate_weight_search(spark, folder):
     return tuning.score_candidates(candidates, stage(covariance), ["fold"])
 
 
+@case(
+    "hash_folds",
+    {"folds": "i", "rows": "i", "fair": "i", "stable": "i"},
+    "(SELECT 5 AS folds, count(*) AS rows, 1 AS fair, 1 AS stable FROM orders)",
+)
+def hash_folds(spark, folder):
+    """Folds of the key's hash: all rows in one of five folds of about a fifth each, and the same ones however rows lie."""
+    flights = tables.flights(spark, folder).select("flight_id")
+    once = tuning.with_fold(flights, KEY).select("flight_id", "fold")
+    again = tuning.with_fold(flights.repartition(7, "flight_id"), KEY).select("flight_id", F.col("fold").alias("other"))
+    sizes = once.join(again, "flight_id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fold") == F.col("other")).alias("same"))
+    share = F.max(F.abs(F.col("n") / F.lit(flights.count()) - 0.2)) < 0.05
+    return sizes.agg(
+        F.count(F.lit(1)).alias("folds"), F.sum("n").alias("rows"), share.cast("int").alias("fair"), (F.sum("n") == F.sum("same")).cast("int").alias("stable")
+    )
+
+
 @case("tuned_weights", {"feature": "s", "weight": 6, "train_corr": 6, "test_corr": 6}, None)
 def tuned_weights(spark, folder):
     scored = stage(default_scored(spark, folder, delays=True))
     return reports.tune(scored, SETTINGS, "delay")
 
 
-@case("tuned_weights_candidates", {"feature": "s", "weight": 6, "train_corr": 6, "test_corr": 6}, None)
+def weighted(weights: str, share: float | None = None, name: str = "") -> str:
+    """The weighted sum of the scaled features with weights in columns ``<weights>0…``, some share of it moved to one feature."""
+    total = " + ".join(f"{weights}{at} * {feature}_scaled" for at, feature in enumerate(TUNED))
+    return f"({total})" if share is None else f"({number(1 - share)} * ({total}) + {number(share)} * {name}_scaled)"
+
+
+def search_sql() -> str:
+    """The search of ``tuned_weights_candidates`` written out: the best start per fold, then two rounds of mixes with one feature."""
+    mixes = start_mixes(TUNED)
+    values = ", ".join(f"('{label}', {', '.join(number(mix.get(name, 0.0)) for name in TUNED)})" for label, mix in mixes.items())
+    names = ", ".join(f"w{at}" for at in range(len(TUNED)))
+    steps = [
+        f"t AS MATERIALIZED (SELECT * FROM {TARGETED})",
+        "f AS (SELECT unnest(range(5)) AS fold)",
+        f"starts AS (SELECT * FROM {candidate_sql()})",
+        "best0 AS (SELECT * FROM starts QUALIFY row_number() OVER (PARTITION BY fold ORDER BY corr DESC NULLS LAST, candidate) = 1)",
+        f"weights0 AS MATERIALIZED (SELECT fold, {names} FROM best0 JOIN (VALUES {values}) AS v (candidate, {names}) USING (candidate))",
+    ]
+    for turn, share in enumerate((0.25, 0.125)):
+        tried = [weighted("w"), *[weighted("w", share, name) for name in TUNED]]
+        corrs = ", ".join(f"corr(target, {total}) AS c{at}" for at, total in enumerate(tried))
+        cells = ", ".join([f"('keep:' || fold, -1, c0)", *[f"('mix:' || fold || ':{name}', {at}, c{at + 1})" for at, name in enumerate(TUNED)]])
+        moved = ", ".join(f"CASE WHEN pick < 0 THEN w{at} ELSE {number(1 - share)} * w{at} + CASE WHEN pick = {at} THEN {number(share)} ELSE 0 END END AS w{at}" for at in range(len(TUNED)))
+        steps += [
+            f"""tried{turn + 1} AS (SELECT fold, candidate, pick, corr FROM (SELECT w.fold, {corrs} FROM t JOIN weights{turn} w ON t.fold <> w.fold GROUP BY 1) g,
+                LATERAL (VALUES {cells}) AS c (candidate, pick, corr))""",
+            f"""best{turn + 1} AS (SELECT * FROM tried{turn + 1}
+                QUALIFY row_number() OVER (PARTITION BY fold ORDER BY corr DESC NULLS LAST, candidate) = 1)""",
+            f"weights{turn + 1} AS MATERIALIZED (SELECT fold, {moved} FROM weights{turn} JOIN best{turn + 1} USING (fold))",
+        ]
+    ends = f"""(SELECT avg(train) AS train_corr, avg(test) AS test_corr FROM (SELECT w.fold, corr(target, {weighted('w')}) FILTER (WHERE t.fold <> w.fold) AS train,
+        corr(target, {weighted('w')}) FILTER (WHERE t.fold = w.fold) AS test FROM t JOIN weights2 w ON true GROUP BY 1))"""
+    means = " UNION ALL ".join(f"SELECT '{name}' AS feature, sum(w{at}) / 5 AS weight FROM weights2" for at, name in enumerate(TUNED))
+    return f"(WITH {', '.join(steps)} SELECT feature, weight, train_corr, test_corr FROM ({means}) JOIN {ends} ON true)"
+
+
+@case("tuned_weights_candidates", {"feature": "s", "weight": 6, "train_corr": 6, "test_corr": 6}, search_sql(), ("slice_scored",))
 def tuned_weights_candidates(spark, folder):
     return tuning.tune_weights(tuning_design(spark, folder), TUNED, DEFAULT_WEIGHTS, "candidates")
 
