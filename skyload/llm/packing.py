@@ -4,59 +4,77 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyload.llm.common import per_text
+from skyload.llm.common import arrow_function, texts
 from skyload.operators.staging import stage
 
 CAPACITY = 2048
 #: Ranks inside one length are counted in so many shares, so a frequent length is spread over tasks.
 SHARES = 4096
 #: Words whose ids a task remembers at a time.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 ARROW_PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
 
-class WordIds(dict):
-    """Ids of words as little-endian 32-bit bytes; the tokenizer runs on new words only and never looks across white space."""
+class WordIds:
+    """Ids of words as little-endian 32-bit bytes. The tokenizer drops white space first and never looks across it, so
+    it runs on new words only, many at a time, and a text is put together from its words."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Tokenise the words in one text and tell by the offsets which ids belong to which."""
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4")
+        begins = np.fromiter((begin for begin, _ in encoded.offsets), np.int64, len(ids))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        cuts = np.searchsorted(begins, np.cumsum(sizes)) * 4
+        raw, at = ids.tobytes(), 0
+        for word, cut in zip(words, cuts.tolist()):
+            self.known[word] = raw[at:cut]
+            at = cut
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        split = [text.decode().replace("\n", " ").split(" ") for text in texts]
+        known = self.known
+        words = set().union(*split)
+        new = [word for word in words if word not in known]
+        if new and len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(words)
+        if new:
+            self.learn(new)
+        get = known.__getitem__
+        return [b"".join(map(get, own)) for own in split]
 
 
 _WORDS: dict[str, WordIds] = {}
 
 
-def token_bytes(text: bytes, path: str) -> bytes:
-    """The ids of a text, each as 4 bytes: word by word, as the tokenizer's first step drops white space."""
-    words = _WORDS.get(path)
-    if words is None:
-        words = _WORDS[path] = WordIds(path)
-    return b"".join(map(words.__getitem__, text.decode().replace("\n", " ").split(" ")))
+def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
+    """The ids of texts, each id as 4 bytes."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path].encode(texts)
 
 
-def cut(text: bytes, path: str, capacity: int) -> list[tuple[int, int, int, int]]:
+def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32 of the ids) of a document: its ids and a closing 0, cut only above the capacity."""
-    ids = token_bytes(text, path) + b"\0\0\0\0"
+    ids += b"\0\0\0\0"
     whole, step = len(ids) // 4, capacity * 4
     return [
         (number, number * capacity, min(capacity, whole - number * capacity), zlib.crc32(ids[number * step : (number + 1) * step]))
@@ -64,6 +82,19 @@ def cut(text: bytes, path: str, capacity: int) -> list[tuple[int, int, int, int]
     ]
 
 
+def in_groups(column: pa.Array, most: int = 1 << 18) -> Iterator[list[bytes]]:
+    """Texts in groups of about ``most`` bytes."""
+    group, filled = [], 0
+    for text in texts(column):
+        group.append(text)
+        filled += len(text)
+        if filled >= most:
+            yield group
+            group, filled = [], 0
+    if group:
+        yield group
+
+
 @dataclass
 class Slot:
     """So many consecutive pieces of one length: ``each`` per sequence, from ``first`` on, at ``offset`` in each."""
@@ -144,8 +175,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[Slot]:
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; a null text is empty and gives one piece of one id."""
-    pieces = per_text(lambda text: cut(text, tokenizer, capacity), PIECES, ARROW_PIECES)
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.explode(pieces(text_column)).alias("p"))
+
+    def pieces(column: pa.Array) -> pa.Array:
+        return pa.array([cut(ids, capacity) for group in in_groups(column) for ids in token_bytes(group, tokenizer)], ARROW_PIECES)
+
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.explode(arrow_function(pieces, PIECES)(text_column)).alias("p"))
     return rows.select("doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32")
 
 
