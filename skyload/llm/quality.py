@@ -16,10 +16,10 @@ ERROR = 0.01
 LEAST_ROWS = 200
 #: Rule: (quantile in the middle, upper quantile, spreads above the middle that are still normal, least margin).
 RULES = {
-    "symbol_share": (0.5, 0.75, 12.0, 0.3),
-    "repeat_share": (0.5, 0.75, 12.0, 0.15),
-    "word_length": (0.5, 0.75, 8.0, 3.0),
-    "line_share": (0.5, 0.75, 12.0, 0.3),
+    "symbol_share": (0.5, 0.75, 12.0, 0.2),
+    "repeat_share": (0.5, 0.75, 12.0, 0.35),
+    "word_length": (0.5, 0.75, 8.0, 4.0),
+    "line_share": (0.5, 0.75, 12.0, 0.5),
 }
 
 COUNTS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_lines:long>"
