@@ -20,6 +20,7 @@ from skyload.sources import sinks
 from skyload.sources import tables as readers
 from workbench import tables
 from workbench.ctes import CALENDAR_FRAME, DEFAULTS, DEST, FIRST, SLICE, corr, number, scaled_sql, with_ctes
+from workbench.ctes import DEFAULT_WEIGHTS as SQL_WEIGHTS
 from workbench.tables import KEY, SETTINGS
 
 
@@ -863,8 +864,8 @@ def score_auc(spark, folder):
 
 def start_mixes(names: list[str]) -> dict[str, dict[str, float]]:
     """The candidates a search starts from, written out again for the SQL."""
-    total = sum(DEFAULT_WEIGHTS[name] for name in names)
-    mixes = {"uniform": {name: 1.0 / len(names) for name in names}, "default": {name: DEFAULT_WEIGHTS[name] / total for name in names}}
+    total = sum(SQL_WEIGHTS[name] for name in names)
+    mixes = {"uniform": {name: 1.0 / len(names) for name in names}, "default": {name: SQL_WEIGHTS[name] / total for name in names}}
     mixes |= {f"only:{name}": {name: 1.0} for name in names}
     return mixes | {f"mix:{a}+{b}": {a: 0.5, b: 0.5} for at, a in enumerate(names) for b in names[at + 1 :]}
 
