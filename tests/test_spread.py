@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skyload.operators.spread import attach_all, hot_keys, lookup_join, prior_totals, spread_join
+from skyload.operators.staging import stage
 
 
 def test_join_of_heavy_keys_and_copies(spark):
@@ -48,7 +49,7 @@ def test_lookup_by_broadcast_or_spread(spark):
         joined = lookup_join(left, table, ["k"], rows="n", limit=10, small=small)
         assert joined.columns == ["k", "v", "w"]
         assert joined.agg(F.sum("w"), F.count("*")).first() == (420, 42)
-    assert "BroadcastHashJoin" in explained(lookup_join(left, table, ["k"], rows="n"))
+    assert "BroadcastHashJoin" in explained(lookup_join(left, stage(table), ["k"], rows="n"))
 
 
 def explained(df):
