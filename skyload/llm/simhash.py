@@ -12,8 +12,10 @@ from skyload.llm.common import per_text
 from skyload.operators.staging import stage
 
 SEED = 42
-#: 16 segments of 4 bits: the embedding of a fingerprint counts the set bits of each.
-SEGMENTS, SEGMENT_BITS = 16, 4
+#: Segments of 3 bits, the last of 1: the embedding of a fingerprint counts the set bits of each, in two bits of a number.
+#: Shorter segments tell more fingerprints apart: two random ones are within distance 2 once in 100 million pairs.
+SEGMENT_BITS = 3
+STARTS = range(0, 64, SEGMENT_BITS)
 #: So many hash values are taken apart into bits at a time.
 CHUNK = 1 << 15
 
@@ -45,7 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
 
 def popcounts(fp: Column) -> list[Column]:
     mask = (1 << SEGMENT_BITS) - 1
-    return [F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(F.lit(mask))).cast("long") for i in range(SEGMENTS)]
+    return [F.bit_count(F.shiftrightunsigned(fp, start).bitwiseAND(F.lit(mask))).cast("long") for start in STARTS]
 
 
 def cells(fp: Column) -> Column:
@@ -56,14 +58,19 @@ def cells(fp: Column) -> Column:
     counts = popcounts(fp)
     home = counts[0]
     for i, count in enumerate(counts[1:], 1):
-        home = home.bitwiseOR(F.shiftleft(count, 3 * i))
+        home = home.bitwiseOR(F.shiftleft(count, 2 * i))
     around = [home]
-    for i, count in enumerate(counts):
-        step = F.lit(1 << (3 * i))
-        around += [F.when(count < SEGMENT_BITS, home + step), F.when(count > 0, home - step)]
+    for i, (start, count) in enumerate(zip(STARTS, counts)):
+        step = F.lit(1 << (2 * i))
+        around += [F.when(count < min(SEGMENT_BITS, 64 - start), home + step), F.when(count > 0, home - step)]
     return F.array_compact(F.array(*around))
 
 
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """The rows over all shuffle partitions: many rows are made of each next, which Spark cannot know when it sizes tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
 def near_values(fp: Column) -> Column:
     """The 64-bit numbers at one bit or none: two fingerprints share one exactly if they differ in two bits at most."""
     flips = [(1 << i) if i < 63 else -(1 << 63) for i in range(64)]
@@ -77,9 +84,10 @@ def candidates(distinct: DataFrame) -> DataFrame:
     distance in bits. The range join of radius 2 is an equality on shared cells of radius 1; as only the
     question matters whether a cell has a second fingerprint, pairs are never listed, however many meet.
     """
-    placed = distinct.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
+    placed = dealt(distinct, "fp").select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
     shared = placed.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
-    return placed.join(shared, "cell", "left_semi").select("fp").distinct()
+    # Spark sizes an exploded table like the table before, so it is told not to broadcast one.
+    return placed.hint("merge").join(shared, "cell", "left_semi").select("fp").distinct()
 
 
 def links(found: DataFrame, distance: int) -> DataFrame:
@@ -90,7 +98,7 @@ def links(found: DataFrame, distance: int) -> DataFrame:
     """
     if distance not in (1, 2):
         raise ValueError("the distance must be 1 or 2 bits; at 0 only equal fingerprints are linked, which needs no search")
-    near = found.select(F.col("fp").alias("a"), F.explode(near_values(F.col("fp"))).alias("value"))
+    near = dealt(found, "fp").select(F.col("fp").alias("a"), F.explode(near_values(F.col("fp"))).alias("value")).hint("merge")
     if distance == 1:
         return near.join(found.select(F.col("fp").alias("value")), "value").where("a > value").select("a", F.col("value").alias("b"))
     hubs = near.groupBy("value").agg(F.min("a").alias("b"), F.max("a").alias("high")).where("b <> high").select("value", "b")
