@@ -38,7 +38,37 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@query("op2_secret_scan")
+# The patterns once more, for the SQL: (kind, pattern, group whose length counts, its least length).
+SECRET_PATTERNS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("bearer", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+    ("hosted", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+)
+
+
+def secret_sql() -> str:
+    kinds = []
+    for nth, (kind, pattern, group, least) in enumerate(SECRET_PATTERNS):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        kinds.append(
+            f"""SELECT doc_id, '{kind}' AS kind, {nth} AS nth, start_at, start_at + length(found) AS end_at FROM (
+                SELECT doc_id, m[i] AS found, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS start_at
+                FROM (SELECT doc_id, m, s, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {quoted}) AS m,
+                string_split_regex(text, {quoted}) AS s FROM d))) WHERE length(regexp_extract(found, {quoted}, {group})) >= {least}"""
+        )
+    span = "kind || ':' || CAST(start_at AS BIGINT) || ':' || CAST(end_at AS BIGINT)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({' UNION ALL '.join(kinds)}),
+        listed AS (SELECT doc_id, count(*) FILTER (WHERE nth = 0) AS n_assign, count(*) FILTER (WHERE nth = 1) AS n_access, count(*) FILTER (WHERE nth = 2) AS n_hex,
+        coalesce(string_agg({span}, ',' ORDER BY start_at, nth) FILTER (WHERE nth < 3), '') AS base, string_agg({span}, ',' ORDER BY start_at, nth) AS spans
+        FROM found GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+@query("op2_secret_scan", secret_sql())
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan_paths(table(spark, folder, "documents").select("doc_id", "text"))
     base = ("assign", "access", "hex")
