@@ -224,7 +224,7 @@ def scores_csv_roundtrip(spark, folder):
     {"table_name": "s", "rows": "i", "rows_without_key": "i"},
     """(SELECT *, 0 AS rows_without_key FROM (SELECT 'flights' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'bags', count(*) FROM lineitem
         UNION ALL SELECT 'bookings', count(*) FROM lineitem UNION ALL SELECT 'remarks', count(*) FROM part
-        UNION ALL SELECT 'airports', count(*) FROM nation))""",
+        UNION ALL SELECT 'airports', count(*) FROM nation UNION ALL SELECT 'weather', count(*) FROM events))""",
 )
 def input_row_counts(spark, folder):
     return readers.input_counts(tables.inputs(spark, folder), KEY)
