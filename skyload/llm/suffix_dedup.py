@@ -84,6 +84,36 @@ def cut_block(block: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
     return pieces, places[heads], numbers, hashes[anchors[heads]]
 
 
+def settle_block(keys: np.ndarray, marks: np.ndarray, docs: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+    """The fragments of a block with copies settled before the shuffle: of equal ones the first in (doc, start) stays.
+
+    The others are repeated as a whole. Runs of them are joined and go on with a negative number, under a key that
+    depends on their document, so that neither very common passages nor one word said over and over fill a key.
+    """
+    order = np.argsort(marks, kind="stable")
+    equal = marks[order][1:] == marks[order][:-1]
+    if not equal.any():
+        return [keys, marks, docs, starts, numbers]
+    several = order[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]
+    several = several[np.lexsort((starts[several], docs[several], marks[several]))]
+    copy = np.zeros(len(marks), bool)
+    copy[several[1:][marks[several][1:] == marks[several][:-1]]] = True
+    at = np.flatnonzero(copy)
+    ends = starts[at] + numbers[at]
+    joins = (at[1:] == at[:-1] + 1) & (docs[at][1:] == docs[at][:-1]) & (starts[at][1:] == ends[:-1])
+    heads, tails = np.flatnonzero(np.concatenate([[True], ~joins])), np.flatnonzero(np.concatenate([~joins, [True]]))
+    owner, begin = docs[at][heads], starts[at][heads]
+    spread = owner * np.int64(-7046029254386353131) + begin
+    live = ~copy
+    return [
+        np.concatenate(pair)
+        for pair in (
+            (keys[live], spread), (marks[live], np.zeros(len(heads), np.int64)), (docs[live], owner), (starts[live], begin),
+            (numbers[live], begin - ends[tails]),
+        )
+    ]
+
+
 def cut_texts(docs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     """The fragments of whole texts; a text longer than a block is cut into parts that overlap by all but one byte of a string."""
     parts: list[tuple[int, int, bytes]] = []
@@ -98,8 +128,8 @@ def cut_texts(docs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         ends = places + numbers + (LENGTH - 1)
         marks = np.fromiter((mark(whole[a:b]) for a, b in zip(places.tolist(), ends.tolist())), np.uint64, len(places))
         ids, offsets = np.array([doc for doc, _, _ in parts]), np.array([offset for _, offset, _ in parts])
-        columns = [keys.view(np.int64), marks.view(np.int64), ids[pieces], (places - starts[pieces] + offsets[pieces]).astype(np.int32), numbers.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], schema=ARROW_FRAGMENTS)
+        columns = settle_block(keys.view(np.int64), marks.view(np.int64), ids[pieces], places - starts[pieces] + offsets[pieces], numbers)
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, ARROW_FRAGMENTS.types)], schema=ARROW_FRAGMENTS)
 
     for doc, text in docs:
         for at in range(0, max(len(text) - LENGTH + 1, 0), BLOCK):
@@ -114,7 +144,10 @@ def cut_texts(docs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def fragments(numbered: DataFrame) -> DataFrame:
-    """(key, mark, doc, start, number): runs of ``number`` string starts filed under ``key``, with a hash of all their bytes."""
+    """(key, mark, doc, start, number): runs of ``number`` string starts filed under ``key``, with a hash of all their bytes.
+
+    Runs with a negative number are known to be repeated as a whole already.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +157,7 @@ def fragments(numbered: DataFrame) -> DataFrame:
 
 
 def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments in the order of key, mark, doc, start to (key, doc, start, number).
+    """Fragments in the order of key, mark, doc, start to (key, doc, start, number); settled ones pass.
 
     Every copy of a fragment but the first is repeated as a whole: key null. A first copy whose key has other
     fragments may share strings with them: it keeps its key. A fragment alone under its key has no repeated string. Only the
@@ -137,13 +170,17 @@ def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not size:
             continue
         key, mark, doc, start, number = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        new = np.ones(size, bool)
+        settled = number < 0
+        out = [(pa.nulls(int(settled.sum()), pa.int64()), doc[settled], start[settled], -number[settled])]
+        key, mark, doc, start, number = (column[~settled] for column in (key, mark, doc, start, number))
+        new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
-        if last is not None:
+        if last is not None and len(key):
             new[0] = (key[0], mark[0]) != last
-        last = (key[-1], mark[-1])
+        if len(key):
+            last = (key[-1], mark[-1])
         copies, heads = np.flatnonzero(~new), np.flatnonzero(new)
-        out = [(pa.nulls(len(copies), pa.int64()), doc[copies], start[copies], number[copies])]
+        out.append((pa.nulls(len(copies), pa.int64()), doc[copies], start[copies], number[copies]))
         if len(heads):
             keys = key[heads]
             same = np.zeros(len(heads) + 1, bool)
@@ -240,14 +277,16 @@ def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered_docs(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
-    """(doc, doc_id, text), and whether numbers may repeat, with a number per row in the order of the ids: the id itself if ids are unique and not null.
+    """(doc, text), or (doc, doc_id, text) and True, with a number per row in the order of the ids.
 
-    Else rows are ordered by id, null first, then by a hash of the text, range by range; equal rows share a number.
+    The number is the id itself if ids are whole numbers, unique and not null. Else rows are ordered by id, null first, then
+    by a hash of the text, range by range; equal rows share a number.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text"))
     odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1 OR doc_id IS NULL")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").cast("long").alias("doc"), "doc_id", "text"), False
+    if dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") and odd.isEmpty():
+        # The filter drops nothing. It makes the two joins below read the same plan, so that Spark shuffles texts once for both.
+        return rows.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL"), False
     marked = rows.withColumn("hash", F.xxhash64("text"))
     ids = marked.select(F.col("doc_id").alias("id_"), F.col("hash").alias("hash_")).distinct()
     ordered = ids.repartitionByRange(F.col("id_").asc_nulls_first(), "hash_").sortWithinPartitions(F.col("id_").asc_nulls_first(), "hash_")
@@ -330,4 +369,5 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def apply(text: pa.Array, found: pa.Array) -> pa.Array:
         return pa.array([whole(value, runs) for value, runs in zip(texts(text), found.to_pylist())], arrow)
 
-    return joined.select("doc_id", arrow_function(apply, kind)("text", "spans").alias("r")).select("doc_id", "r.*")
+    kept_id = F.col("doc_id") if repeats else F.col("doc").cast(docs.schema[id_column].dataType).alias("doc_id")
+    return joined.select(kept_id, arrow_function(apply, kind)("text", "spans").alias("r")).select("doc_id", "r.*")
