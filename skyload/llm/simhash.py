@@ -68,7 +68,7 @@ def cells(fp: Column) -> Column:
 
 def dealt(df: DataFrame, column: str) -> DataFrame:
     """The rows over all shuffle partitions: many rows are made of each next, which Spark cannot know when it sizes tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(column))
 
 
 def near_values(fp: Column) -> Column:
