@@ -15,8 +15,8 @@ from skyload.operators.staging import stage
 WEIGHTS = (5, 2, 1)
 #: A source is repeated three times at most.
 MOST_EPOCHS = 3
-#: Keys are spread over so many ranges per source, so no task sorts a whole source.
-RANGES = 1 << 16
+#: Keys are spread over so many ranges per source, so no task sorts a whole source; one task sums the ranges of a source.
+RANGES = 1 << 12
 
 NOT_LETTERS = bytes(c for c in range(128) if chr(c) not in string.ascii_letters)
 
