@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyload.llm.common import WHITE, per_text
+from skyload.operators.staging import stage
 
 SYMBOLS = b"#*$%&|<>"
 #: Relative error of a sketch: a value is off by this share at most.
@@ -63,12 +64,6 @@ def count(text: bytes) -> dict:
     }
 
 
-def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(row, c): the columns of ``docs`` as a struct, and the counts of the whole text; a null text has none."""
-    counted = per_text(count, COUNTS, ARROW_COUNTS)(text_column)
-    return docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), counted.alias("c"))
-
-
 def measures(c: Column) -> dict[str, Column]:
     words = F.greatest(c["n_words"], F.lit(1))
     return {
@@ -137,26 +132,39 @@ def adaptive_thresholds(rows: DataFrame) -> DataFrame:
     return joined.select(F.col("lang").alias("own_lang"), F.col("source").alias("own_source"), *limits)
 
 
-def judge_quality(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
+def judge_quality(
+    docs: DataFrame,
+    text_column: str = "text",
+    lang_column: str = "lang",
+    source_column: str = "source",
+    keep: list[str] | None = None,
+) -> DataFrame:
     """(row, c, base_failed, failed, kept), one row per row of ``docs``.
 
     base_failed is the fixed rule: fewer than 50 words, or more than half of them in repeated windows. Other documents
     are kept unless a measure lies above the threshold of their language and source; ``failed`` names such measures. The
     thresholds come from sketches over all documents that pass the fixed rule. Null languages and sources are
     groups of their own; a null text has no words and fails. Repeated rows count as often as they occur, an empty table
-    gives an empty result, and the columns of ``docs`` stay inside ``row``.
+    gives an empty result, and the columns of ``docs``, or those that ``keep`` names, stay inside ``row``. The thresholds are a
+    written table of one row per language and source, so Spark knows its bytes and need not move the documents for it.
     """
-    counted = with_counts(docs, text_column)
+    columns = docs.columns if keep is None else keep
+    counted = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in columns]).alias("row"),
+        F.col(lang_column).alias("lang"),
+        F.col(source_column).alias("source"),
+        per_text(count, COUNTS, ARROW_COUNTS)(text_column).alias("c"),
+    )
     words = F.col("c.n_words")
     flat = counted.select(
         "row",
         "c",
-        F.col(f"row.`{lang_column}`").alias("lang"),
-        F.col(f"row.`{source_column}`").alias("source"),
+        "lang",
+        "source",
         ((words < 50) | (100 * F.col("c.n_repeat_words") > 50 * words)).alias("base_failed"),
         *[value.alias(name) for name, value in measures(F.col("c")).items()],
     )
-    limits = adaptive_thresholds(flat.where("NOT base_failed").select("lang", "source", *RULES))
+    limits = stage(adaptive_thresholds(flat.where("NOT base_failed").select("lang", "source", *RULES)))
     same = F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source"))
     judged = flat.join(limits, same, "left").withColumn(
         "failed", F.array_compact(F.array(*[F.when(F.col(name) > F.col(f"most_{name}"), F.lit(name)) for name in RULES]))

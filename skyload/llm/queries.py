@@ -87,7 +87,7 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    judged = quality.judge_quality(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+    judged = quality.judge_quality(table(spark, folder, "documents"), keep=["doc_id"])
     counts = [F.col(f"c.{name}") for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("row.doc_id", *counts, "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
