@@ -166,20 +166,25 @@ def near_classes(
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of ``docs`` per component of :func:`near_classes`, with all columns: the one with the smallest id.
+    """One row of ``docs`` per component of linked fingerprints, with all columns: the one with the smallest id, null ids last.
 
-    If ids repeat, the row with the smallest text hash of that id stays.
+    Components are told apart by the smallest fingerprint in them, never by an id, so rows that share an id (or have none) but lie
+    in different components all stay. Of several rows with the smallest id of a component the one with the smallest SHA-256 of
+    the text stays; if a table holds a kept id and text several times, one of these rows does.
     """
-    kept = near_classes(docs, shingle, distance, id_column, text_column).where("representative")
-    kept = stage(kept.groupBy(F.col("doc_id").alias("keep_id")).agg(F.count(F.lit(1)).alias("times")))
-    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), F.col(id_column).alias("doc_id"))
-    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    if kept.where("times > 1").isEmpty() and docs.groupBy(id_column).count().where("count > 1").isEmpty():
+    text_sha256 = F.unhex(F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
+    fp = per_text(lambda text: fingerprint(text, shingle), "long", pa.int64())(text_column)
+    prints = stage(docs.select(F.col(id_column).alias("doc_id"), text_sha256.alias("text_sha256"), fp.alias("fp")))
+    roots = fingerprint_classes(prints, distance).select("fp", "root")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256", "times")
+    texts = prints.groupBy("fp", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
+    first = texts.groupBy("fp").agg(F.min(rank).alias("best")).join(roots, "fp", "left")
+    best = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    kept = stage(best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.text_sha256").alias("keep_sha256"), F.col("best.times").alias("times")))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), F.col(id_column).alias("doc_id"), text_sha256.alias("text_sha256")
+    )
+    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha256")))
+    if kept.where("times > 1").isEmpty():
         return found.select("row.*")
-    return one_per_id(found, text_column)
-
-
-def one_per_id(found: DataFrame, text_column: str) -> DataFrame:
-    best = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(F.col(f"row.`{text_column}`")).alias("hash"), "row")).alias("best"))
-    return best.select("best.row.*")
-
+    return found.groupBy("keep_id", "keep_sha256").agg(F.min("row").alias("row")).select("row.*")

@@ -224,3 +224,15 @@ def test_near_copies_of_odd_rows(spark, odd, nothing):
     assert {r["component_id"] for r in rows if r["fp"] == 0} == {3}
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns and kept.count() == len({r["component_id"] for r in rows})
+
+
+def test_near_copies_with_shared_ids(spark):
+    """Rows that share an id, or have none, but no component: every component keeps one row, by id, then by hash of the text."""
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcde"]
+    a, b, c, d, e = texts
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, d.upper()), (None, d + " "), (9, e), (9, e + "\n"), (7, c)]
+    docs = spark.createDataFrame([(*row, n % 2) for n, row in enumerate(rows)], "doc_id long, text string, side int")
+    kept = simhash.drop_near_copies(docs)
+    least = min((e, e + "\n"), key=lambda text: hashlib.sha256(text.encode()).digest())
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (9, least)], key=str)
