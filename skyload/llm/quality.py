@@ -13,14 +13,15 @@ from skyload.operators.staging import stage
 SYMBOLS = b"#*$%&|<>"
 #: Relative error of a sketch: a value is off by this share at most.
 ERROR = 0.01
-#: Smaller groups borrow the sketch of their language, and small languages that of all documents.
-LEAST_ROWS = 200
+#: The sketch of a language weighs as much as so many documents in that of its groups, and the sketch of all in that of a language.
+PRIOR = 200
 #: Rule: (quantile in the middle, upper quantile, spreads above the middle that are still normal, least margin).
+#: Repeats are zero in most documents, so their spread is read at a quantile that is not. The margin is for groups without spread.
 RULES = {
     "symbol_share": (0.5, 0.75, 12.0, 0.2),
-    "repeat_share": (0.5, 0.75, 12.0, 0.35),
-    "word_length": (0.5, 0.75, 8.0, 4.0),
-    "line_share": (0.5, 0.75, 12.0, 0.5),
+    "repeat_share": (0.5, 0.99, 3.0, 0.2),
+    "word_length": (0.5, 0.75, 12.0, 0.5),
+    "line_share": (0.5, 0.99, 3.0, 0.3),
 }
 
 COUNTS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_lines:long>"
@@ -104,32 +105,46 @@ def merged(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys, "measure", "bucket").agg(F.sum("amount").alias("amount"))
 
 
-def thresholds(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, one threshold per measure) of merged sketches: the middle plus some spreads, and a least margin."""
-    group = Window.partitionBy(*keys, "measure")
+def pooled(counts: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, share): the share of a group at or below each bucket, drawn towards its language.
+
+    The language's own sketch is drawn towards that of all documents in the same way, so no number of rows switches anything.
+    Counts are added up as whole numbers and only then divided, so reruns agree.
+    """
+    groups = counts.select("lang", "source").distinct()
+    wide = merged(counts, ["lang"]).withColumnRenamed("lang", "wide_lang")
+    levels = {
+        "own": counts,
+        "wide": groups.join(wide, F.col("lang").eqNullSafe(F.col("wide_lang"))).drop("wide_lang"),
+        "every": groups.crossJoin(merged(counts, [])),
+    }
+    rows = None
+    for level, table in levels.items():
+        part = table.select("lang", "source", "measure", "bucket", *[(F.col("amount") if name == level else F.lit(0).cast("long")).alias(name) for name in levels])
+        rows = part if rows is None else rows.unionByName(part)
+    group = Window.partitionBy("lang", "source", "measure")
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("until", F.sum("amount").over(running)).withColumn("n", F.sum("amount").over(group))
-    # Every measure counts each document of a group once, so n is the number of its documents.
-    columns = []
-    for name, (middle, upper, spreads, margin) in RULES.items():
-        at = [F.min(F.when((F.col("measure") == name) & (F.col("until") >= q * F.col("n")), F.col("bucket"))) for q in (middle, upper)]
-        low, high = bucket_value(at[0]), bucket_value(at[1])
-        columns.append((low + F.greatest(spreads * (high - low), F.lit(margin))).alias(name))
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *columns)
+    sums = rows.groupBy("lang", "source", "measure", "bucket").agg(*[F.sum(name).alias(name) for name in levels])
+    ranked = sums.select(
+        "lang", "source", "measure", "bucket",
+        *[F.sum(name).over(running).alias(f"{name}_until") for name in levels],
+        *[F.sum(name).over(group).alias(f"{name}_n") for name in levels],
+    )
+    prior = F.lit(float(PRIOR))
+    language = (F.col("wide_until") + prior * F.col("every_until") / F.col("every_n")) / (F.col("wide_n") + prior)
+    share = (F.col("own_until") + prior * language) / (F.col("own_n") + prior)
+    return ranked.select("lang", "source", "measure", "bucket", share.alias("share"))
 
 
 def adaptive_thresholds(rows: DataFrame) -> DataFrame:
-    """(lang, source, one threshold per measure): of the group itself, or of its language, or of all, as soon as there are enough rows."""
-    counts = sketches(rows)
-    own = thresholds(counts, ["lang", "source"])
-    lang = thresholds(merged(counts, ["lang"]), ["lang"]).select(F.col("lang").alias("wide_lang"), F.col("n").alias("wide_n"), *[F.col(m).alias(f"wide_{m}") for m in RULES])
-    every = thresholds(merged(counts.withColumn("all", F.lit(1)), ["all"]), ["all"]).select("all", *[F.col(m).alias(f"every_{m}") for m in RULES])
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("wide_lang"))).withColumn("all", F.lit(1)).join(F.broadcast(every), "all")
-    limits = [
-        F.when(F.col("n") >= LEAST_ROWS, F.col(m)).when(F.col("wide_n") >= LEAST_ROWS, F.col(f"wide_{m}")).otherwise(F.col(f"every_{m}")).alias(f"most_{m}")
-        for m in RULES
-    ]
-    return joined.select(F.col("lang").alias("own_lang"), F.col("source").alias("own_source"), *limits)
+    """(own_lang, own_source, one threshold per measure): the middle plus some spreads of the pooled sketch, and a least margin."""
+    columns = []
+    for name, (middle, upper, spreads, margin) in RULES.items():
+        at = [F.min(F.when((F.col("measure") == name) & (F.col("share") >= q), F.col("bucket"))) for q in (middle, upper)]
+        low, high = bucket_value(at[0]), bucket_value(at[1])
+        columns.append((low + F.greatest(spreads * (high - low), F.lit(margin))).alias(f"most_{name}"))
+    shares = pooled(stage(sketches(rows)))
+    return shares.groupBy(F.col("lang").alias("own_lang"), F.col("source").alias("own_source")).agg(*columns)
 
 
 def judge_quality(

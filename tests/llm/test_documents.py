@@ -214,6 +214,21 @@ def test_sketch_quantiles_and_merge(spark):
         assert found == pytest.approx(np.sort(values)[int(np.ceil(q * 4000)) - 1], rel=0.0201)
 
 
+def test_thresholds_follow_the_group(spark):
+    """Groups of longer and shorter words get other thresholds, and the same text another verdict."""
+    draw = np.random.default_rng(3)
+
+    def text(size):
+        return " ".join("".join(draw.choice(list("abcdefghijklmnop"), size + int(draw.integers(-1, 2)))) for _ in range(100))
+
+    rows = [(text(5), "short") for _ in range(400)] + [(text(8), "long") for _ in range(400)]
+    probe = text(8)
+    rows += [(probe, "short"), (probe, "long")]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    judged = {r["row"]["doc_id"]: r["failed"] for r in quality.judge_quality(docs, keep=["doc_id"]).collect()}
+    assert judged[800] == ["word_length"] and judged[801] == []
+
+
 def test_odd_rows(spark, odd, nothing):
     assert secrets.scan_paths(odd).count() == 13 and secrets.scan_paths(nothing).count() == 0
     judged = quality.judge_quality(odd).collect()
