@@ -149,7 +149,7 @@ def near_classes(
 ) -> DataFrame:
     """(doc_id, fp, component_id, representative), one row per row of ``docs``.
 
-    Documents are linked if their fingerprints differ in at most ``distance`` bits; component_id is the smallest doc_id
+    Documents are linked if their fingerprints differ in at most ``distance`` bits, 1 or 2 (others raise ValueError); component_id is the smallest doc_id
     that can be reached. Copies share a fingerprint, and only distinct fingerprints are searched, so a group of copies
     costs one row. Documents without words have fingerprint 0 and are linked like others. Null ids come last; a component
     of null ids only has a null id. Repeated rows get the same component; ``representative`` is true for rows with its id.
