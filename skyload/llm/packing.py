@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,58 +21,119 @@ from skyload.operators.staging import stage
 CAPACITY = 2048
 #: Ranks inside one length are counted in so many shares, so a frequent length is spread over tasks.
 SHARES = 4096
-#: Words whose ids a task remembers at a time.
-REMEMBERED = 800_000
+#: Bytes of words and ids, with what Python adds to each, that a task remembers in one generation; it keeps two.
+REMEMBERED = 32 << 20
+#: Bytes that a dictionary entry of two short objects takes beside their content.
+ENTRY = 200
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 ARROW_PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
 
+# Fixed values of the vocabulary's own split pattern, for printable ASCII and the letters from U+00C0 to U+017F. These
+# letters are composed and, but for U+0130, have one lower-case letter each, so lower-casing and composing cannot differ.
+ODD = re.compile("[^ -~À-ÖØ-öø-įı-ſ]")
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ a-z0-9ß-öø-ſ]+")
+
+
+class Recent(dict):
+    """A mapping that forgets: when a generation has grown to ``most`` bytes, the one before it goes."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.filled = most, 0
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that are not known; known ones are in the young generation until the next call."""
+        if self.filled > self.most:
+            self.old, self.filled = dict(self), 0
+            self.clear()
+        absent, old = keys.difference(self), self.old
+        if not old:
+            return list(absent)
+        again = absent.intersection(old)
+        self.learn(again, map(old.__getitem__, again))
+        return list(absent - again)
+
+    def learn(self, keys: Iterable[str], values: Iterable[bytes]) -> None:
+        for key, value in zip(keys, values):
+            self[key] = value
+            self.filled += ENTRY + len(key) + len(value)
+
+
 class WordIds:
-    """Ids of words as little-endian 32-bit bytes. The tokenizer drops white space first and never looks across it, so
-    it runs on new words only, many at a time, and a text is put together from its words."""
+    """Ids of texts as little-endian 32-bit bytes.
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    The tokenizer drops white space first and never looks across it. Plain words are cut by the vocabulary's split pattern, and
+    parts that are new go straight to the model; words with any other character, or where an added token may begin, go through
+    the whole tokenizer, many at a time. What is remembered belongs to one task and is bounded in bytes, whatever a word's length.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+    def __init__(self, path: str) -> None:
+        self.tokenizer = tokenizer_of(path)
+        self.model = self.tokenizer.model
+        added = {token.content[:2] for token in self.tokenizer.get_added_tokens_decoder().values()}
+        self.odd = re.compile("|".join([ODD.pattern, *map(re.escape, sorted(added))]))
+        self.parts, self.words = Recent(REMEMBERED), Recent(REMEMBERED)
 
-    def learn(self, words: list[str]) -> None:
+    def ids_of_words(self, words: list[str]) -> Iterator[bytes]:
         """Tokenise the words in one text and tell by the offsets which ids belong to which."""
         encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(encoded.ids, "<u4")
         begins = np.fromiter((begin for begin, _ in encoded.offsets), np.int64, len(ids))
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        cuts = np.searchsorted(begins, np.cumsum(sizes)) * 4
         raw, at = ids.tobytes(), 0
-        for word, cut in zip(words, cuts.tolist()):
-            self.known[word] = raw[at:cut]
+        for cut in (np.searchsorted(begins, np.cumsum(sizes)) * 4).tolist():
+            yield raw[at:cut]
             at = cut
 
+    def ids_of_part(self, part: str) -> bytes:
+        ids = [token.id for token in self.model.tokenize(byte_signs(part))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def cut(self, text: str) -> list[tuple[list[str], str]]:
+        """The text as runs of plain parts, each with the odd word that follows it (empty after the last)."""
+        runs, at = [], 0
+        for found in self.odd.finditer(text):
+            if found.start() >= at:
+                start = text.rfind(" ", at, found.start()) + 1 or at
+                end = text.find(" ", found.start())
+                end = len(text) if end < 0 else end
+                runs.append((SPLIT.findall(text[at:start].lower()), text[start:end]))
+                at = end
+        runs.append((SPLIT.findall(text[at:].lower()), ""))
+        return runs
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        split = [text.decode().replace("\n", " ").split(" ") for text in texts]
-        known = self.known
-        words = set().union(*split)
-        new = [word for word in words if word not in known]
-        if new and len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(words)
-        if new:
-            self.learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, own)) for own in split]
+        split = [self.cut(text.decode().replace("\n", " ")) for text in texts]
+        new = self.parts.missing(set().union(*(parts for runs in split for parts, _ in runs)))
+        self.parts.learn(new, map(self.ids_of_part, new))
+        new = self.words.missing({word for runs in split for _, word in runs})
+        self.words.learn(new, self.ids_of_words(new))
+        part, word = self.parts.__getitem__, self.words.__getitem__
+        return [b"".join([b"".join(map(part, parts)) + word(odd) for parts, odd in runs]) for runs in split]
+
+
+@cache
+def tokenizer_of(path: str):
+    """The tokenizer, loaded once per process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
 
+@cache
+def byte_sign(sign: str) -> str:
+    """How the vocabulary writes the bytes of a character."""
+    from tokenizers.pre_tokenizers import ByteLevel
 
-_WORDS: dict[str, WordIds] = {}
+    return ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(sign)[0][0]
 
 
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
-    """The ids of texts, each id as 4 bytes."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path].encode(texts)
+def byte_signs(part: str) -> str:
+    return part if part.isascii() else "".join(map(byte_sign, part))
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -82,7 +146,7 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     ]
 
 
-def in_groups(column: pa.Array, most: int = 1 << 18) -> Iterator[list[bytes]]:
+def in_groups(column: pa.Array, most: int = 1 << 20) -> Iterator[list[bytes]]:
     """Texts in groups of about ``most`` bytes."""
     group, filled = [], 0
     for text in texts(column):
@@ -176,8 +240,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[Slot]:
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; a null text is empty and gives one piece of one id."""
 
-    def pieces(column: pa.Array) -> pa.Array:
-        return pa.array([cut(ids, capacity) for group in in_groups(column) for ids in token_bytes(group, tokenizer)], ARROW_PIECES)
+    def pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = WordIds(tokenizer)  # goes with the task
+        for column in columns:
+            yield pa.array([cut(ids, capacity) for group in in_groups(column) for ids in words.encode(group)], ARROW_PIECES)
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.explode(arrow_function(pieces, PIECES)(text_column)).alias("p"))
     return rows.select("doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32")

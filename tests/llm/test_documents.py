@@ -95,13 +95,35 @@ def check_sequences(rows, capacity=2048):
         assert sum(3 * length > capacity for _, length in parts) <= 2
 
 
-def test_odd_texts_tokenise_alike():
+ODD_TEXTS = [
+    "It's we'll\x1ca\tb\r\nc", "x<|endoftext|>y <|startoftext|> z", "é ́e Å", "日本 語　text", "ΑΣ ΣΑ", "a\x0bb\x0cc  \n\n d", " x\u0085y", "1234 5%&'s 's",
+    "İstanbul ıI Straße ŉa ſſ Ĳ ÀÖØ×÷ naïve's2x9 DON'T", "<| a<|b <|endoftext|", "", " ", "'s's''ll'LL", "x" * 5000 + "é" * 5000 + "…", "… a … b…c\x7f d",
+]
+
+
+def test_texts_and_words_tokenise_alike(documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    for text in ["It's we'll\x1ca\tb\r\nc", "x<|endoftext|>y <|startoftext|> z", "é ́e Å", "日本 語　text", "ΑΣ ΣΑ", "a\x0bb\x0cc  \n\n d", " x\u0085y", "1234 5%&'s 's"]:
-        ids = tokenizer.encode(text, add_special_tokens=False).ids
-        assert packing.token_bytes([b"a", text.encode()], tokenizer_path())[1] == np.array(ids, "<u4").tobytes(), text
+    words = sorted({word for _, text, *_ in documents for word in (text or "").split()})
+    texts = [*ODD_TEXTS, *(text or "" for _, text, *_ in documents), *words]
+    ids = packing.WordIds(tokenizer_path())
+    for text, got in zip(texts, ids.encode([text.encode() for text in texts]), strict=True):
+        assert got == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_what_a_task_remembers_is_bounded(monkeypatch, documents):
+    monkeypatch.setattr(packing, "REMEMBERED", 20_000)
+    short, whole = packing.WordIds(tokenizer_path()), [(text or "").encode() for _, text, *_ in documents]
+    monkeypatch.undo()
+    expected = packing.WordIds(tokenizer_path()).encode(whole)
+    most = 0
+    for text, ids in zip(whole, expected):
+        assert short.encode([text]) == [ids]
+        new = packing.ENTRY * 2 * (len(text.split()) * 8 + 8)
+        assert short.parts.filled <= 20_000 + new
+        most = max(most, len(short.parts) + len(short.parts.old))
+    assert most < len({word for text in whole for word in text.lower().split()})
 
 
 @pytest.mark.parametrize("seed", range(6))

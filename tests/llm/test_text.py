@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from skyload.llm import html_text, mixing, packing, simhash, toxicity
@@ -148,8 +149,10 @@ def test_pipeline(spark, folder, documents):
     assert Counter(r["doc_id"] for r in seen["mixing"]) == times
     of = {d: t for d, t, *_ in documents}
     expected = Counter()
-    for doc_id, ids in zip(times, packing.token_bytes([(of[d] or "").encode() for d in times], tokenizer_path())):
-        for piece, _, length, crc in packing.cut(ids, 2048):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    for doc_id in times:
+        ids = tokenizer.encode(of[doc_id] or "", add_special_tokens=False).ids
+        for piece, _, length, crc in packing.cut(np.array(ids, "<u4").tobytes(), 2048):
             expected[doc_id, piece, length, crc] += times[doc_id]
     assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in seen["packing"]) == expected
     assert corpus_pipeline.run(spark, folder).count() == len(seen["packing"])
