@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyload.llm import exact_dedup, html_text, mixing, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, toxicity
+from skyload.llm import (
+    centroids,
+    exact_dedup,
+    html_text,
+    mixing,
+    packing,
+    prefix_trie,
+    quality,
+    secrets,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +188,101 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"), digest=True)
+
+
+URL_RULES = (
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+
+
+@query("op11_url_filter")
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+
+
+def centroid_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds one after another, on one row per vector and component."""
+    steps = [
+        """WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id,
+                   list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), x AS MATERIALIZED (SELECT r, unnest(v) AS x, unnest(range(64)) AS i FROM kept)""",
+        f"""c0 AS MATERIALIZED (
+            SELECT k, unnest(v) AS c, unnest(range(64)) AS i FROM (
+                SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) - 1 AS k, v FROM kept
+            ) WHERE k < {clusters}
+        )""",
+    ]
+    for nth in range(rounds + 1):
+        steps.append(
+            f"""a{nth} AS MATERIALIZED (
+                SELECT r, min({{'d': d, 'k': k}}) AS best FROM (
+                    SELECT r, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c{nth} USING (i) GROUP BY r, k
+                ) GROUP BY r
+            )"""
+        )
+        if nth < rounds:
+            steps.append(
+                f"""c{nth + 1} AS MATERIALIZED (
+                    SELECT o.k, o.i, coalesce(m.c, o.c) AS c FROM c{nth} o LEFT JOIN (
+                        SELECT k, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS c FROM (
+                            SELECT a.best.k AS k, i, sum(x) AS s, CAST(count(*) AS HUGEINT) AS n FROM a{nth} a JOIN x USING (r) GROUP BY a.best.k, i
+                        )
+                    ) m ON m.k = o.k AND m.i = o.i
+                )"""
+            )
+    return ", ".join(steps) + f"""
+        , named AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k),
+        found AS (SELECT vec_id, a.best.k AS k, a.best.d AS d FROM a{rounds} a JOIN kept USING (r))
+        SELECT vec_id, CAST(f.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY f.k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM found f JOIN named USING (k)"""
+
+
+@query("op12_centroid_clustering", centroid_sql())
+def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op13_prefix_trie",
+    r"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+    ), own AS (
+        SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS turns
+        FROM t GROUP BY conv_id
+    ), hashed AS (  -- CRC-32, bit by bit
+        SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))),
+            lambda state, byte: list_reduce(list_prepend(xor(state, byte), range(8)), lambda c, bit: xor(c // 2, (c % 2) * 3988292384))), 4294967295) % 4 AS h
+        FROM own
+    ), built AS (
+        SELECT c.conv_id, list_concat(coalesce(p.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+        FROM hashed c LEFT JOIN own p ON p.conv_id = c.conv_id - c.conv_id % 20
+    ), prefix AS (
+        SELECT conv_id, depth, turns[1:depth] AS path, len(turns) = depth AS ends
+        FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM built)
+    ), node AS (
+        SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+        FROM prefix GROUP BY path, depth
+    ), children AS (
+        SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1
+    ), facts AS (
+        SELECT n.*, coalesce(n_children, 0) AS n_children,
+               CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.path[depth].text, '[^ 	-]+')) END AS saved
+        FROM node n LEFT JOIN children c ON c.path = n.path
+    ), subtree AS (
+        SELECT path[1:above] AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+        FROM (SELECT path, saved, n_children, unnest(range(depth + 1)) AS above FROM facts) GROUP BY 1
+    )
+    SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+    FROM facts f JOIN subtree s ON s.path = f.path LEFT JOIN node p ON f.depth > 0 AND p.path = f.path[1:f.depth - 1]
+    """,
+)
+def conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, folder, "conversations"))
