@@ -148,30 +148,52 @@ def exact_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     ), numbered AS (
         SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS nth FROM lines
     ), placed AS (
-        SELECT doc_id, nth, line, length(line) AS size,
-               coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at,
-               trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal
+        SELECT doc_id, nth, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at
         FROM numbered
+    ), split AS (
+        SELECT *, CASE WHEN length(line) >= 200 THEN string_split_regex(line, '[.!?]+[ \t]+|[。！？]+') ELSE [line] END AS texts,
+               CASE WHEN length(line) >= 200 THEN regexp_extract_all(line, '[.!?]+[ \t]+|[。！？]+') ELSE [] END AS ends
+        FROM placed
+    ), sentences AS (
+        SELECT doc_id, nth, start_at, i, texts[i] || coalesce(ends[i], '') AS sentence FROM (SELECT *, unnest(range(1, len(texts) + 1)) AS i FROM split)
+    ), joined AS (
+        SELECT *, coalesce(sum(CASE WHEN length(sentence) >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, nth ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+        FROM sentences
+    ), parts AS (
+        SELECT doc_id, nth, part, any_value(start_at) AS line_at, string_agg(sentence, '' ORDER BY i) AS unit FROM joined GROUP BY doc_id, nth, part
     ), units AS (
-        SELECT *, row_number() OVER (PARTITION BY normal ORDER BY doc_id, start_at) AS occurrence
-        FROM placed WHERE len(string_split(normal, ' ')) >= 5
+        SELECT doc_id, nth, part, unit, length(unit) AS size,
+               CAST(line_at + coalesce(sum(length(unit)) OVER (PARTITION BY doc_id, nth ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at,
+               trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal
+        FROM parts
+    ), judged AS (
+        SELECT *, normal <> '' AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, start_at) > 1 AS repeated FROM units
+    ), gone AS (
+        SELECT *, start_at - lag(start_at + size, 1, -9) OVER (PARTITION BY doc_id ORDER BY start_at) > 1 AS fresh FROM judged WHERE repeated
+    ), runs AS (
+        SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start_at) AS run FROM gone
+    ), passages AS (
+        SELECT doc_id, sum(length) AS passage_chars FROM (SELECT doc_id, max(start_at + size) - min(start_at) AS length FROM runs GROUP BY doc_id, run)
+        WHERE length >= 100 GROUP BY doc_id
     ), removed AS (
         SELECT doc_id, count(*) AS n_removed, sum(size) AS removed_chars,
-               string_agg(CAST(start_at AS BIGINT) || ':' || CAST(start_at + size AS BIGINT), ',' ORDER BY start_at) AS spans
-        FROM units WHERE occurrence > 1 GROUP BY doc_id
+               string_agg(start_at || ':' || (start_at + size), ',' ORDER BY start_at) AS spans
+        FROM gone GROUP BY doc_id
+    ), kept_lines AS (
+        SELECT doc_id, nth, string_agg(CASE WHEN repeated THEN '' ELSE unit END, '' ORDER BY part) AS line FROM judged GROUP BY doc_id, nth
     ), kept AS (
-        SELECT p.doc_id, string_agg(CASE WHEN u.occurrence > 1 THEN '' ELSE p.line END, chr(10) ORDER BY p.nth) AS kept_text
-        FROM placed p LEFT JOIN units u ON p.doc_id = u.doc_id AND p.nth = u.nth GROUP BY p.doc_id
+        SELECT doc_id, string_agg(line, chr(10) ORDER BY nth) AS kept_text FROM kept_lines GROUP BY doc_id
     )
     SELECT d.doc_id, CAST(length(coalesce(d.text, '')) AS BIGINT) AS n_chars, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed,
-           CAST(coalesce(r.removed_chars, 0) AS BIGINT) AS removed_chars, coalesce(r.spans, '') AS removed_spans, k.kept_text
-    FROM documents d LEFT JOIN removed r ON d.doc_id = r.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+           CAST(coalesce(r.removed_chars, 0) AS BIGINT) AS removed_chars, CAST(coalesce(l.passage_chars, 0) AS BIGINT) AS passage_chars,
+           coalesce(r.spans, '') AS removed_spans, k.kept_text
+    FROM documents d LEFT JOIN removed r ON d.doc_id = r.doc_id LEFT JOIN passages l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
     """,
 )
 def substring_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, folder, "documents"))
     spans = F.array_join(F.transform("removed", lambda cut: F.concat_ws(":", cut["start"], cut["end"])), ",")
-    return found.select("doc_id", "n_chars", "n_removed", "removed_chars", spans.alias("removed_spans"), "kept_text")
+    return found.select("doc_id", "n_chars", "n_removed", "removed_chars", "passage_chars", spans.alias("removed_spans"), "kept_text")
 
 
 @query("op1_toxicity")
@@ -274,7 +296,8 @@ def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
         SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1
     ), facts AS (
         SELECT n.*, coalesce(n_children, 0) AS n_children,
-               CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.path[depth].text, '[^ 	-]+')) END AS saved
+               CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.path[depth].text, '[^ 	-
+]+')) END AS saved
         FROM node n LEFT JOIN children c ON c.path = n.path
     ), subtree AS (
         SELECT path[1:above] AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves

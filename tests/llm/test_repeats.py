@@ -152,14 +152,27 @@ def test_lines(spark, odd, nothing):
     for r in rows:
         by_id[r["doc_id"]].append(r)
     assert [r["n_removed"] for r in by_id[7]] == [3999] and [r["n_removed"] for r in by_id[6]] == [2] and [r["n_removed"] for r in by_id[3]] == [0]
-    assert [r["n_removed"] for r in by_id[-5]] == [0]
+    assert [r["passage_chars"] for r in by_id[7]] == [3999 * 55 - 1] and [r["n_removed"] for r in by_id[-5]] == [0]
     docs = spark.createDataFrame([(1, "One  two three four FIVE\nkeep me\n\nx"), (2, "a\none two three four five\nb"), (3, "p q r s t\nu\n\np q r s t\nu")], "doc_id long, text string")
     found = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()}
     assert found[2]["kept_text"] == "a\n\nb" and [(c["start"], c["end"], c["first_id"]) for c in found[2]["removed"]] == [(2, 25, 1)]
+    assert found[3]["kept_text"] == "p q r s t\nu\n\n\n"
     paragraphs = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, unit="paragraph").collect()}
     assert paragraphs[3]["kept_text"] == "p q r s t\nu\n\n" and paragraphs[2]["n_removed"] == 0
 
 
+def test_sentences_of_long_lines(spark):
+    inner = "".join(f"This is sentence number {n} of the copied passage. " for n in range(8)) + "Yes. " + "所有权利保留，未经书面许可不得以任何方式复制或转载本页内容。"
+    texts = {"a": "Some words ahead. " + inner + " And the end of a line that nobody else has.", "b": "Quite another start that is long enough to count, " + inner + "no end", "c": "今天天气很好", "d": "今天天气很好"}
+    docs = spark.createDataFrame([(k, v, {"a": 1}, "u", 1) for k, v in texts.items()], "doc_id string, text string, removed map<string,int>, unit string, start int")
+    for table in (docs, docs.select(F.encode("doc_id", "utf-8").alias("doc_id"), "text")):
+        found = {r["doc_id"] if isinstance(r["doc_id"], str) else bytes(r["doc_id"]).decode(): r for r in substring_dedup.remove_repeats(table).collect()}
+        assert found["a"]["n_removed"] == 0 and found["c"]["kept_text"] == texts["c"] and found["d"]["kept_text"] == "" and found["d"]["passage_chars"] == 0
+        first = "This is sentence number 0 of the copied passage. "  # stays with the words before it, which are too short to end a part in a but not in b
+        assert found["b"]["kept_text"] == "Quite another start that is long enough to count, " + first + "no end"
+        assert found["b"]["passage_chars"] == len(inner) - len(first) and found["b"]["n_removed"] == 8
+
+
 def plain_print(text, shingle=3):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split()
     if not words:
