@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyload.operators.staging import stage
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -120,14 +122,16 @@ def scan_paths(
 
     ``versions`` holds every historical version of every path. Equal texts are one blob and are scanned once;
     ``seen`` and ``known`` are ledger and findings of earlier scans, whose pairs are skipped and whose findings are joined
-    back like new ones. All of it is Spark SQL. Null texts are the empty blob. Repeated rows are returned as often as they
+    back like new ones, those of rules or rule versions no longer in use left out. All of it is Spark SQL. Null texts are the empty blob. Repeated rows are returned as often as they
     occur, null ids like others; an empty table gives an empty result.
     """
     paths, blobs = address(versions, text_column)
     findings = scan_blobs(blobs, seen, rules)
     if known is not None:
-        findings = findings.unionByName(known.select(*findings.columns))
-    spans = summarise(findings, rules)
+        current = F.concat_ws(":", "kind", "version").isin([f"{rule.kind}:{rule.version}" for rule in rules])
+        findings = findings.unionByName(known.where(current).select(*findings.columns))
+    # Only blobs with findings are written; the join is one of two plain tables, so a blob of very many paths can be split.
+    spans = stage(summarise(findings, rules))
     none = F.array().cast("array<struct<start:bigint,nth:bigint,kind:string,end:bigint,match:string>>")
     return paths.join(spans, "blob", "left").select("row", "blob", F.coalesce("spans", none).alias("spans"))
 
