@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,14 +38,33 @@ def texts(column: pa.Array) -> Iterable[bytes]:
         yield value.as_py() or b""
 
 
+def in_groups(column: pa.Array, most: int) -> Iterator[list[bytes]]:
+    """The texts in groups of about ``most`` bytes, one text at least."""
+    group, filled = [], 0
+    for text in texts(column):
+        group.append(text)
+        filled += len(text)
+        if filled >= most:
+            yield group
+            group, filled = [], 0
+    if group:
+        yield group
+
+
+#: Bytes of text whose results a Python worker holds as Python objects at a time; a batch holds up to 10,000 texts.
+GROUP = 1 << 18
+
+
 def per_text(function: Callable[[bytes], object], kind: str, arrow: pa.DataType) -> Callable[[Column | str], Column]:
     """A column function from ``function``, which takes one whole text as bytes.
 
-    Spark hands over the text column alone, in Arrow batches; the other columns stay in the JVM.
+    Spark hands over the text column alone, in Arrow batches; the other columns stay in the JVM. Results become Arrow
+    data group by group, so that many or long results do not pile up as Python objects.
     """
 
     def apply(column: pa.Array) -> pa.Array:
-        return pa.array([function(text) for text in texts(column)], arrow)
+        groups = [pa.array([function(text) for text in group], arrow) for group in in_groups(column, GROUP)]
+        return pa.concat_arrays(groups) if groups else pa.array([], arrow)
 
     return arrow_function(apply, kind)
 

@@ -15,8 +15,9 @@ from skyload.operators.staging import stage
 WEIGHTS = (5, 2, 1)
 #: A source is repeated three times at most.
 MOST_EPOCHS = 3
-#: Keys are spread over so many ranges per source, so no task sorts a whole source; one task sums the ranges of a source.
-RANGES = 1 << 12
+#: Keys are cut into so many ranges per doubling of the key. Whatever the quality, exponential keys spread over many doublings and no
+#: range holds more than a two-thousandth of the rows of one quality, so no task sorts a whole source; one task sums the ranges of a source.
+RANGES = 512
 
 NOT_LETTERS = bytes(c for c in range(128) if chr(c) not in string.ascii_letters)
 
@@ -53,8 +54,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
 
 
 def sample_keys(seed: int, *identity: Column) -> Column:
-    """A number in 0..1 that orders rows like -ln(u) / quality: smaller is drawn earlier."""
-    return 1 - F.pow(uniform(*identity, seed=seed), 1 / F.col("quality"))
+    """-ln(u) / quality, an exponential key: smaller is drawn earlier."""
+    return F.greatest(-F.log(uniform(*identity, seed=seed)) / F.col("quality"), F.lit(1e-300))
 
 
 def mix_sources(
@@ -90,7 +91,7 @@ def mix_sources(
     keyed = (
         named.select("row", "doc_id", "source", "text_hash", "measured.size", "measured.quality")
         .withColumn("key", key)
-        .withColumn("range", F.least((F.col("key") * RANGES).cast("int"), F.lit(RANGES - 1)))
+        .withColumn("range", F.floor(F.log2("key") * RANGES).cast("int"))
     )
     # Written once, so that sums and rows come from the very same numbers and the texts are split once.
     ranges = stage(keyed.groupBy("source", "range").agg(F.sum("size").alias("words")))
@@ -119,4 +120,4 @@ def mix_sources(
 def draw_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with the columns of ``docs``: each row as often as it is taken."""
     mixed = mix_sources(docs, **options).where("mix.times > 0")
-    return mixed.select("row.*", F.explode(F.sequence(F.lit(1), F.col("mix.times").cast("int"))).alias("epoch_")).drop("epoch_")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.times").cast("int")))).select("row.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyload.llm.common import arrow_function, texts
+from skyload.llm.common import arrow_function, in_groups
 from skyload.operators.staging import stage
 
 CAPACITY = 2048
@@ -26,6 +26,9 @@ REMEMBERED = 32 << 20
 #: Bytes that a dictionary entry of two short objects takes beside their content.
 ENTRY = 200
 
+#: Bytes of text whose words are looked up together.
+GROUP = 1 << 20
+
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 ARROW_PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
@@ -146,19 +149,6 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     ]
 
 
-def in_groups(column: pa.Array, most: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Texts in groups of about ``most`` bytes."""
-    group, filled = [], 0
-    for text in texts(column):
-        group.append(text)
-        filled += len(text)
-        if filled >= most:
-            yield group
-            group, filled = [], 0
-    if group:
-        yield group
-
-
 @dataclass
 class Slot:
     """So many consecutive pieces of one length: ``each`` per sequence, from ``first`` on, at ``offset`` in each."""
@@ -243,7 +233,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_colu
     def pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = WordIds(tokenizer)  # goes with the task
         for column in columns:
-            yield pa.array([cut(ids, capacity) for group in in_groups(column) for ids in words.encode(group)], ARROW_PIECES)
+            groups = [pa.array([cut(ids, capacity) for ids in words.encode(group)], ARROW_PIECES) for group in in_groups(column, GROUP)]
+            yield pa.concat_arrays(groups) if groups else pa.array([], ARROW_PIECES)
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.explode(arrow_function(pieces, PIECES)(text_column)).alias("p"))
     return rows.select("doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32")

@@ -187,4 +187,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, id_co
     found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha256")))
     if kept.where("times > 1").isEmpty():
         return found.select("row.*")
-    return found.groupBy("keep_id", "keep_sha256").agg(F.min("row").alias("row")).select("row.*")
+    one = F.min_by("row", F.xxhash64(F.to_json("row")))
+    return found.groupBy("keep_id", "keep_sha256").agg(one.alias("row")).select("row.*")
