@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyload.llm.common import per_text
+from skyload.operators.staging import stage
 
 #: Pages that the field is trained on, at most, chosen by a hash of the page; each is also rendered in so many other layouts.
 TRAINING_PAGES, LAYOUTS = 160, 3
@@ -21,16 +22,20 @@ EPOCHS = 8
 # Fixed values of HTML: elements inside a line of text, elements without content, elements whose content is no text of the page,
 # and for some elements those whose start ends them.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle mpadded object".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas select annotation annotation-xml".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
     "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
 }
 SCOPES = frozenset("ul ol dl table article section div aside nav main body header footer form".split())
 
+# Words that make of a class a state of the page ("page-with-comments", "menu-open") and not the name of a part.
+STATES = frozenset("has with without no is are show hide shows hides open opened closed enabled disabled hidden visible active layout".split())
+
 PARTS = frozenset("article main section nav aside header footer form div ul body".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
@@ -40,7 +45,8 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Block:
-    """A leaf block: its text, the letters inside links, the tags above it from the outside in, and words of their classes and ids."""
+    """A leaf block: its text, the letters inside links, the tags above it from the outside in, and words of the classes and ids of
+    those that are parts of the page, see :func:`blocks_of`."""
 
     text: str
     linked: int
@@ -53,14 +59,30 @@ def names_of(attributes: str) -> frozenset[str]:
         return frozenset()
     found = set()
     for match in ATTRIBUTE.finditer(attributes):
-        found.update(part.lower() for part in PART.findall(match.group(1) or match.group(2) or match.group(3) or ""))
+        for name in (match.group(1) or match.group(2) or match.group(3) or "").split():
+            words = {part.lower() for part in PART.findall(name)}
+            if not words & STATES:
+                found |= words
     return frozenset(found)
 
 
+class Element:
+    """An open element: its tag, the words of its classes, the letters in it, and whether it holds an article, main part or first heading."""
+
+    __slots__ = ("tag", "names", "size", "holds")
+
+    def __init__(self, tag: str, names: frozenset[str]) -> None:
+        self.tag, self.names, self.size, self.holds = tag, names, 0, False
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page in order. Markup need not be well formed; text is decoded, its white space made single."""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    """The leaf blocks of a page in order. Markup need not be well formed; text is decoded, its white space made single.
+
+    Classes of an element say nothing of the blocks in it if it is a wrapper: the body, or one that holds the article, main part or first
+    heading and at least half of the page's letters.
+    """
+    found: list[tuple[str, int, tuple[Element, ...]]] = []
+    stack: list[Element] = []
     texts: list[str] = []
     linked = links = 0
 
@@ -69,14 +91,16 @@ def blocks_of(page: str) -> list[Block]:
         if texts:
             text = " ".join(entities.unescape("".join(texts)).split())
             if text:
-                out.append(Block(text, linked, tuple(tag for tag, _ in stack), frozenset().union(*(names for _, names in stack))))
+                found.append((text, linked, tuple(stack)))
+                for element in stack:
+                    element.size += len(text)
             texts.clear()
         linked = links = 0
 
     def leave(tag: str) -> None:
         """End the nearest open element of this name, if there is one."""
         for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] == tag:
+            if stack[at].tag == tag:
                 del stack[at:]
                 return
 
@@ -115,19 +139,30 @@ def blocks_of(page: str) -> list[Block]:
                 at = end.end() if end else size
         else:
             close()
-            if stack and stack[-1][0] == "p":
+            if stack and stack[-1].tag == "p":
                 stack.pop()
             if tag in CLOSED_BY:
                 for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in CLOSED_BY[tag]:
+                    if stack[depth].tag in CLOSED_BY[tag]:
                         del stack[depth:]
                         break
-                    if stack[depth][0] in SCOPES:
+                    if stack[depth].tag in SCOPES:
                         break
+            if tag in ("article", "main", "h1"):
+                for element in stack:
+                    element.holds = True
             if not token.group(3).endswith("/"):
-                stack.append((tag, names_of(token.group(3))))
+                stack.append(Element(tag, names_of(token.group(3))))
     close()
-    return out
+    total = sum(len(text) for text, *_ in found)
+
+    def wrapper(element: Element) -> bool:
+        return element.tag in ("html", "body") or (element.holds and 2 * element.size >= total)
+
+    return [
+        Block(text, linked, tuple(element.tag for element in above), frozenset().union(*(element.names for element in above if not wrapper(element))))
+        for text, linked, above in found
+    ]
 
 
 def features_of(blocks: list[Block]) -> list[list[str]]:
@@ -223,7 +258,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS,
 # The labelled pages. ---------------------------------------------------------------------------------------------------
 
 #: Words in classes and ids, and elements, of parts that are not the article, wherever they stand.
-ASIDE_TAGS = frozenset("nav aside footer form header menu dialog button figure figcaption".split())
+ASIDE_TAGS = frozenset("nav aside footer form header menu dialog button".split())
 ASIDE_NAMES = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer form header login menu nav navigation newsletter "
     "notice popup promo promoted related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
@@ -340,8 +375,11 @@ def learn_field(pages: DataFrame, html_column: str = "html") -> Field:
     """
     rows = pages.select(F.col(html_column).alias("html")).where("html IS NOT NULL")
     named = rows.where(F.lower("html").contains("<article") | F.lower("html").contains("<main"))
-    chosen = named.select("html", F.xxhash64("html").alias("mark")).orderBy("mark").limit(TRAINING_PAGES)
-    found = labelled_pages([row["html"] for row in chosen.select("html").collect()])
+    # The marks are chosen first, so that no whole page leaves its task but those of the chosen ones, each once.
+    mark = F.xxhash64("html").alias("mark")
+    marks = stage(named.select(mark).distinct().orderBy("mark").limit(TRAINING_PAGES))
+    chosen = named.select("html", mark).join(F.broadcast(marks), "mark", "left_semi").dropDuplicates(["mark"])
+    found = labelled_pages([row["html"] for row in chosen.orderBy("mark").select("html").collect()])
     return train(found or labelled_pages(FALLBACK))
 
 

@@ -112,6 +112,38 @@ def test_extraction(spark):
     assert wrong < 0.02 * size
 
 
+def article_page(wrap: str, inner: str) -> str:
+    """A page of the tables' layout inside a wrapper."""
+    words = " ".join(f"word{n} and more" for n in range(30)) + "."
+    return (
+        f"<html>{wrap}<nav><a href='#'>Home</a> <a href='#'>News</a></nav><article><h1>The title</h1><p>First: {words}</p>{inner}<p>Last: {words}</p></article>"
+        "<aside>Related things</aside><footer>© someone</footer></body></html>"
+    )
+
+
+@pytest.mark.parametrize("wrap", [
+    "<body class='page-with-comments'>", "<body class='menu-open'>", "<body class='has-sidebar'>", "<body><div class='sidebar-layout'><div id='comments-page'>",
+    "<body class='newsletter'><div class='widget'>", "<body><main class='no-sidebar'>",
+])
+def test_names_of_outer_elements_lose_no_paragraph(wrap):
+    folder = "/root/testdata/sf0.01"
+    pages = [page for (page,) in duckdb.execute(f"SELECT html FROM '{folder}/pages.parquet' ORDER BY page_id LIMIT 120").fetchall()]
+    field = html_text.train(html_text.labelled_pages(pages))
+    inner = "<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> stands, and an <object><b>object</b></object> with a text of its own.</p><figure><figcaption>A caption of some words, in the article.</figcaption></figure>"
+    found = html_text.main_text(article_page(wrap, inner).encode(), field)
+    for part in ("The title", "First: word0", "Here x=2 stands, and an object with", "A caption of some words", "Last: word0"):
+        assert part in found, (part, found)
+    for part in ("Home", "Related things", "someone"):
+        assert part not in found, (part, found)
+    blocks = html_text.blocks_of(article_page(wrap, inner))
+    assert [html_text.label_of(block) for block in blocks] == [0, 1, 1, 1, 1, 1, 0, 0][: len(blocks)]
+
+
+def test_reader_comments_are_no_article():
+    page = "<body><article><h1>T</h1><p>Some text of the article, long enough.</p><div class='comments'><article class='comment-body'><p>I say so.</p></article></div></article></body>"
+    assert [html_text.label_of(block) for block in html_text.blocks_of(page)] == [1, 1, 0]
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>Some words, as they are.</p></article>"), (None, "u", "<p" * 20_000), (3, "u", "<div>" * 5000 + "deep"), (3, "u", "plain")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit("r"))
