@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,13 +17,35 @@ SYMBOLS = b"#*$%&|<>"
 ERROR = 0.01
 #: The sketch of a language weighs as much as so many documents in that of its groups, and the sketch of all in that of a language.
 PRIOR = 200
-#: Rule: (quantile in the middle, upper quantile, spreads above the middle that are still normal, least margin).
-#: Repeats are zero in most documents, so their spread is read at a quantile that is not. The margin is for groups without spread.
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A threshold from two quantiles of a group's sketch: the middle, and so many of its distances to the upper one above it.
+
+    On a scale of ratios a distance is a factor. ``margin`` is the least distance, for groups where both quantiles are equal.
+    """
+
+    middle: float
+    upper: float
+    spreads: float
+    margin: float = 0.0
+    ratios: bool = False
+
+    def threshold(self, low: Column, high: Column) -> Column:
+        if self.ratios:
+            return low * F.pow(high / low, F.lit(self.spreads))
+        return low + F.greatest(self.spreads * (high - low), F.lit(self.margin))
+
+
+#: Repeats are zero in most documents, so their spread is read at a quantile that is not. Symbols are counted with half a symbol
+#: added: a document without any then has a share that falls with its length, which is how finely shares can be told apart in a group, and
+#: the threshold is so many factors above that.
 RULES = {
-    "symbol_share": (0.5, 0.75, 12.0, 0.2),
-    "repeat_share": (0.5, 0.99, 3.0, 0.2),
-    "word_length": (0.5, 0.75, 12.0, 0.5),
-    "line_share": (0.5, 0.99, 3.0, 0.3),
+    "symbol_share": Rule(0.5, 0.75, 6.0, ratios=True),
+    "repeat_share": Rule(0.5, 0.99, 3.0, 0.2),
+    "word_length": Rule(0.5, 0.75, 12.0, 0.5),
+    "line_share": Rule(0.5, 0.99, 3.0, 0.3),
 }
 
 COUNTS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_lines:long>"
@@ -68,7 +92,7 @@ def count(text: bytes) -> dict:
 def measures(c: Column) -> dict[str, Column]:
     words = F.greatest(c["n_words"], F.lit(1))
     return {
-        "symbol_share": c["n_symbols"] / words,
+        "symbol_share": (c["n_symbols"] + 0.5) / words,
         "repeat_share": c["n_repeat_words"] / words,
         "word_length": c["word_chars"] / words,
         "line_share": c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)),
@@ -111,12 +135,12 @@ def pooled(counts: DataFrame) -> DataFrame:
     The language's own sketch is drawn towards that of all documents in the same way, so no number of rows switches anything.
     Counts are added up as whole numbers and only then divided, so reruns agree.
     """
-    groups = counts.select("lang", "source").distinct()
-    wide = merged(counts, ["lang"]).withColumnRenamed("lang", "wide_lang")
+    groups = counts.select("lang", "source", "measure").distinct()
+    wide = merged(counts, ["lang"]).withColumnsRenamed({"lang": "wide_lang", "measure": "wide_measure"})
     levels = {
         "own": counts,
-        "wide": groups.join(wide, F.col("lang").eqNullSafe(F.col("wide_lang"))).drop("wide_lang"),
-        "every": groups.crossJoin(merged(counts, [])),
+        "wide": groups.join(wide, F.col("lang").eqNullSafe(F.col("wide_lang")) & (F.col("measure") == F.col("wide_measure"))).drop("wide_lang", "wide_measure"),
+        "every": groups.join(merged(counts, []).withColumnRenamed("measure", "every_measure"), F.col("measure") == F.col("every_measure")).drop("every_measure"),
     }
     rows = None
     for level, table in levels.items():
@@ -137,12 +161,11 @@ def pooled(counts: DataFrame) -> DataFrame:
 
 
 def adaptive_thresholds(rows: DataFrame) -> DataFrame:
-    """(own_lang, own_source, one threshold per measure): the middle plus some spreads of the pooled sketch, and a least margin."""
+    """(own_lang, own_source, one threshold per measure) from the pooled sketches, see :class:`Rule`."""
     columns = []
-    for name, (middle, upper, spreads, margin) in RULES.items():
-        at = [F.min(F.when((F.col("measure") == name) & (F.col("share") >= q), F.col("bucket"))) for q in (middle, upper)]
-        low, high = bucket_value(at[0]), bucket_value(at[1])
-        columns.append((low + F.greatest(spreads * (high - low), F.lit(margin))).alias(f"most_{name}"))
+    for name, rule in RULES.items():
+        at = [F.min(F.when((F.col("measure") == name) & (F.col("share") >= q), F.col("bucket"))) for q in (rule.middle, rule.upper)]
+        columns.append(rule.threshold(bucket_value(at[0]), bucket_value(at[1])).alias(f"most_{name}"))
     shares = pooled(stage(sketches(rows)))
     return shares.groupBy(F.col("lang").alias("own_lang"), F.col("source").alias("own_source")).agg(*columns)
 
