@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyload.config import DEPARTURE, FLIGHT_KEY
-from skyload.functions.columns import first_present, flag, ratio, seconds_between
-from skyload.operators.spread import spread_join
+from skyload.functions.columns import first_present, flag, ratio, wall_micros
+from skyload.operators.spread import WIDE_BUCKETS, prior_totals, spread_join
 
 # Bag types, and the columns that may hold the time of issue, best first.
 CHECKED, TRANSFER, HOT_TRANSFER, ORIGIN_BAG = "Checked", "Transfer", "Hot Transfer", "Origin"
@@ -64,27 +64,33 @@ def bag_shares(bags: DataFrame, key: Sequence[str] = FLIGHT_KEY) -> DataFrame:
     )
 
 
-def departure_times(flights: DataFrame, key: Sequence[str], departure: str) -> DataFrame:
-    """One row per flight: its first departure time and, should it have several, all of them.
+def departure_times(flights: DataFrame, key: Sequence[str], departure: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct departure times per flight, and one row per flight with its first, their number and mean.
 
-    ``_times`` counts a missing time too; ``_later`` is the mean distance from the first in days.
+    ``_times`` counts a missing time too, ``_known`` does not; ``_mean`` is in microseconds.
     """
     times = flights.dropna(subset=list(key)).select(*key, F.col(departure).cast("timestamp_ntz").alias("_time")).distinct()
-    listed = times.groupBy(*key).agg(
-        F.min("_time").alias("_first"),
-        F.count(F.lit(1)).alias("_times"),
-        F.collect_list("_time").alias("_all"),
+    at = wall_micros(F.col("_time"))
+    facts = times.groupBy(*key).agg(
+        F.min("_time").alias("_first"), F.count(F.lit(1)).alias("_times"), F.count("_time").alias("_known"), F.avg(at).alias("_mean")
     )
-    days = F.transform("_all", lambda time: seconds_between(F.col("_first"), time) / 86400.0)
-    later = F.aggregate(days, F.lit(0.0), lambda total, day: total + day) / F.size("_all")
-    several = F.size("_all") > 1
-    return listed.select(
-        *key,
-        "_first",
-        "_times",
-        F.when(several, later).when(F.size("_all") == 1, 0.0).alias("_later"),
-        F.when(several, F.col("_all")).alias("_all"),
+    return times.where(F.col("_time").isNotNull()).select(*key, at.alias("_at")), facts
+
+
+def late_counts(cells: DataFrame, times: DataFrame, facts: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(…key, _swept): for flights with several departure times, the bags issued at or after each of them, added up.
+
+    Times and moments of issue form one ordered stream per flight. Running totals over it, in three levels of buckets, tell how many
+    times lie at or before each moment, so neither a flight with very many times nor one with very many bags is listed or
+    sorted in one task.
+    """
+    several = facts.where(F.col("_known") > 1).select(*key)
+    moments = cells.where(F.col("_at").isNotNull()).select(*key, "_at", F.lit(0).alias("_time"), F.col("_bags"))
+    stream = times.select(*key, "_at", F.lit(1).alias("_time"), F.lit(0).cast("bigint").alias("_bags")).unionByName(moments)
+    swept = prior_totals(
+        stream.join(several, list(key), "left_semi"), key, "_at", {"_past": F.sum("_time"), "_issued": F.sum("_bags")}, widths=WIDE_BUCKETS, keep=False
     )
+    return swept.groupBy(*key).agg(F.sum(F.col("_issued") * (F.col("_past_before") + F.col("_past"))).alias("_swept"))
 
 
 def bag_features(
@@ -98,7 +104,8 @@ def bag_features(
 
     Bags are counted per flight and issue time before the departure time is joined, so the join sees
     combined rows, and flights with very many bags are split over several tasks. A flight listed with
-    several departure times compares each bag with all of them, inside the bag's row.
+    several departure times compares each bag with all of them: the mean lead follows from the mean time, late bags from
+    :func:`late_counts`.
     """
     issued = first_present(bags.columns, ISSUE_COLUMNS)
     if issued is None or departure not in flights.columns:
@@ -106,26 +113,27 @@ def bag_features(
         return bag_counts(bags, key).withColumns(nothing)
 
     keyed = bags.dropna(subset=list(key))
-    moment = F.col("_issued")
     cells = (
         with_checked_type(keyed)
-        .groupBy(*key, F.col(issued).cast("timestamp_ntz").alias("_issued"))
+        .groupBy(*key, wall_micros(F.col(issued)).alias("_at"))
         .agg(*type_counts(), F.count(F.lit(1)).alias("_bags"))
     )
-    timed = spread_join(
-        cells, departure_times(flights, key, departure), key, sizes=keyed, by=[*key, "_issued"], limit=limit
-    )
-    late = F.when(F.col("_all").isNull(), flag(F.col("_first") <= moment)).otherwise(
-        F.size(F.filter("_all", lambda time: time <= moment))
-    )
-    timed = timed.withColumns(
-        {"_lead": seconds_between(moment, F.col("_first")) / 86400.0 + F.col("_later"), "_late": late}
-    )
+    times, facts = departure_times(flights, key, departure)
+    timed = spread_join(cells, facts, key, sizes=keyed, by=[*key, "_at"], limit=limit)
+    first = wall_micros(F.col("_first"))
+    late = F.when(F.col("_known") <= 1, flag(first <= F.col("_at")))
+    timed = timed.withColumns({"_lead": (F.col("_mean") - F.col("_at")) / 86400e6, "_late": late})
     lead, rows = F.col("_lead"), F.col("_bags")
-    sums = timed.groupBy(*key).agg(
-        *[F.sum(name).alias(name) for name in ("checked", "transfer", "hot")],
-        (F.sum(lead * rows) / F.sum(F.when(lead.isNotNull(), rows))).alias("bag_issue_lead_mean"),
-        (F.sum(F.col("_late") * rows) / F.sum(rows * F.coalesce("_times", F.lit(1)))).alias("bag_late_issue_ratio"),
+    sums = (
+        timed.groupBy(*key)
+        .agg(
+            *[F.sum(name).alias(name) for name in ("checked", "transfer", "hot")],
+            (F.sum(lead * rows) / F.sum(F.when(lead.isNotNull(), rows))).alias("bag_issue_lead_mean"),
+            F.sum(F.col("_late") * rows).alias("_counted"),
+            F.sum(rows * F.coalesce("_times", F.lit(1))).alias("_pairs"),
+        )
+        .join(late_counts(cells, times, facts, key), list(key), "left")
+        .withColumn("bag_late_issue_ratio", F.coalesce("_swept", "_counted", F.lit(0)) / F.col("_pairs"))
     )
     return sums.select(
         *key,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyload.config import DAY, normalise_weights
 from skyload.functions.columns import day_number
+from skyload.functions.parsing import finite
 from skyload.operators.history import daily_destinations, destination_baseline, with_baseline_values
 from skyload.operators.spread import lookup_join, prior_totals
 from skyload.operators.staging import fit_generated_code, stage
@@ -34,14 +35,14 @@ def day_ranges(master: DataFrame, features: Sequence[str], day: str = DAY) -> Da
     check_features(master, features)
     bounds = []
     for name in features:
-        value = F.col(name).cast("double")
+        value = finite(F.col(name).cast("double"))
         bounds += [F.min(value).alias(f"_min_{name}"), F.max(value).alias(f"_max_{name}")]
     return master.groupBy(day_number(F.col(day)).alias("_day")).agg(F.count(F.lit(1)).alias("_flights"), *bounds)
 
 
 def scaled(name: str) -> Column:
-    """Position of the value between its day's extremes; 0 when the feature does not vary or is missing."""
-    return F.coalesce((F.col(name).cast("double") - F.col(f"_min_{name}")) / F.col(f"_span_{name}"), F.lit(0.0))
+    """Position of the value between its day's extremes; 0 when the feature does not vary, is missing or is no finite number."""
+    return F.coalesce((finite(F.col(name).cast("double")) - F.col(f"_min_{name}")) / F.col(f"_span_{name}"), F.lit(0.0))
 
 
 def with_day_scaling(master: DataFrame, ranges: DataFrame, features: Sequence[str], day: str = DAY) -> DataFrame:

@@ -16,9 +16,6 @@ HOT_ROWS = 2_000_000
 # Rows of a key at the limit that the search for such keys expects to see.
 SEEN_ROWS = 1_000
 
-# Rows of a chunk that the search for chunk borders expects to see.
-SEEN_PLACES = 100
-
 # Parts for left rows that lack a key.
 MISSING_PARTS = 10_000
 
@@ -26,6 +23,9 @@ MISSING_PARTS = 10_000
 # this many distinct keys, and a key range of a billion has at most 30,518 buckets.
 BUCKET_WIDTH = 32_768
 
+# Widths for keys that use all 64 bits: buckets of a bucket's keys, of a bucket's buckets, and of the whole, are at most about two million.
+WIDE_BUCKETS = (1 << 42, 1 << 21)
+
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], limit: int | None = None, rows: Column | None = None
@@ -151,44 +151,48 @@ def attach_all(
 
 
 def prior_totals(
-    df: DataFrame, groups: Sequence[str], key: str, totals: dict[str, Column], descending: bool = False
+    df: DataFrame,
+    groups: Sequence[str],
+    key: str,
+    totals: dict[str, Column],
+    descending: bool = False,
+    widths: Sequence[int] = (BUCKET_WIDTH,),
+    keep: bool = True,
 ) -> DataFrame:
     """Per group and distinct integer key: totals, and the totals of all keys that come before it.
 
     ``totals`` maps names to aggregates (sums or counts). The result has, for each name, the column
     itself and ``<name>_before``, and ``keys_before``, the number of distinct keys ahead. Groups of any
-    size are fine: windows see at most one bucket, or the bucket list of one group. The totals are written
-    once, as they are read for the buckets and for the keys in them.
+    size are fine: keys lie in buckets of the last of ``widths``, these in buckets of the width before, and so on, and a window sees
+    at most the keys or buckets of one bucket, or the widest buckets of one group. The totals are written
+    once, as they are read for the buckets and for the keys in them; without ``keep`` they are worked out where they are needed.
     """
     groups = list(groups)
-    cells = stage(
-        df.groupBy(*groups, key)
-        .agg(*[value.alias(name) for name, value in totals.items()])
-        .withColumn("_keys", F.lit(1).cast("bigint"))
-        .withColumn("_bucket", F.floor(F.col(key) / F.lit(BUCKET_WIDTH)).cast("bigint"))
-    )
+    cells = df.groupBy(*groups, key).agg(*[value.alias(name) for name, value in totals.items()])
+    cells = cells.withColumn("_keys", F.lit(1).cast("bigint"))
+    if keep:
+        cells = stage(cells)
+    # Widths are powers of two; a shift rounds down and is exact for all 64 bits.
+    places = {f"_bucket{at}": F.shiftright(F.col(key).cast("bigint"), width.bit_length() - 1) for at, width in enumerate(widths)}
+    cells = cells.withColumns(places)
     names = [*totals, "_keys"]
 
     def ahead(name: str, partition: Sequence[str], order: str) -> Column:
         by = F.col(order).desc() if descending else F.col(order).asc()
-        frame = Window.partitionBy(*partition).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        frame = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(name).over(frame), F.lit(0))
 
-    buckets = cells.groupBy(*groups, "_bucket").agg(*[F.sum(name).alias(name) for name in names])
-    offsets = buckets.select(
-        *groups, "_bucket", *[ahead(name, groups or [F.lit(0)], "_bucket").alias(f"_offset_{name}") for name in names]
-    )
-    inside = cells.select(
-        *groups, key, "_bucket", *totals, *[ahead(name, [*groups, "_bucket"], key).alias(f"_inside_{name}") for name in names]
-    )
-
-    def before(name: str) -> Column:
-        label = "keys_before" if name == "_keys" else f"{name}_before"
-        return (F.col(f"_inside_{name}") + F.col(f"_offset_{name}")).alias(label)
-
-    return inside.join(offsets, [*groups, "_bucket"]).select(
-        *groups, key, *totals, *[before(name) for name in names]
-    )
+    buckets = list(places)
+    inside = [f"_inside_{name}" for name in names]
+    found = cells.select(*groups, key, *totals, *buckets, *[ahead(name, [*groups, buckets[-1]], key).alias(label) for name, label in zip(names, inside)])
+    for at, bucket in reversed(list(enumerate(buckets))):
+        above = [*groups, *buckets[:at][-1:]]
+        sums = cells.groupBy(*groups, *buckets[: at + 1][-2:]).agg(*[F.sum(name).alias(name) for name in names])
+        offsets = sums.select(*groups, bucket, *[ahead(name, above, bucket).alias(f"_offset_{name}") for name in names])
+        found = found.join(offsets, [*groups, bucket]).withColumns({label: F.col(label) + F.col(f"_offset_{name}") for name, label in zip(names, inside)})
+        found = found.drop(*[f"_offset_{name}" for name in names])
+    before = [F.col(label).alias("keys_before" if name == "_keys" else f"{name}_before") for name, label in zip(names, inside)]
+    return found.select(*groups, key, *totals, *before)
 
 
 def trailing_window(
@@ -203,10 +207,10 @@ def trailing_window(
 ) -> DataFrame:
     """Add columns computed over the ``rows`` rows before each row of its group, ordered by day and ties.
 
-    ``outputs`` maps a new column to a function of the window; rows without a group get null. A group
-    with more than ``limit`` rows is cut into chunks of about that size, and each chunk gets
-    copies of the last rows of the chunk before it, so that every row sees the same frame as in one
-    undivided window. ``sizes`` may name a cheaper table to count groups in.
+    ``outputs`` maps a new column to a function of the window; rows without a group get null. Groups with more than ``limit``
+    rows are sorted together into ranges of about that size by group and order, and each range gets copies
+    of the last rows before it, so that every row sees the same frame as in one undivided window. ``sizes`` may name a cheaper
+    table to count groups in.
     """
     order = [day, *ties]
     grouped = F.col(group).isNotNull()
@@ -217,63 +221,49 @@ def trailing_window(
         frame = Window.partitionBy(*by, ungrouped).orderBy(*order).rowsBetween(-rows, -1)
         return table.withColumns({name: F.when(grouped, make(frame)) for name, make in outputs.items()})
 
-    source = df if sizes is None else sizes
-    borders = chunk_borders(source, group, order, limit or HOT_ROWS, rows)
-    if borders is None:
+    limit = limit or HOT_ROWS
+    large = large_groups(df if sizes is None else sizes, group, limit)
+    if large is None:
         return framed(df, [group])
+    names = large.select(group)
+    chunked = in_ranges(df.join(names, group, "left_semi"), large, group, order, limit)
+    whole = chunked.withColumn("_carried", F.lit(False)).unionByName(carried_rows(chunked, group, order, rows).withColumn("_carried", F.lit(True)))
+    cut = framed(whole, [group, "_chunk"]).where(~F.col("_carried")).drop("_chunk", "_carried")
+    return framed(df.join(names, group, "left_anti"), [group]).unionByName(cut)
+
+
+def large_groups(df: DataFrame, group: str, limit: int) -> DataFrame | None:
+    """Groups with more than ``limit`` rows and their sizes, a written table; None if there are none. At most (all rows / limit) of them."""
 
-    chunked = with_chunk(df, borders, group, order).withColumn("_carried", F.lit(False))
-    from_end = Window.partitionBy(group, "_chunk").orderBy(*[F.col(name).desc() for name in order])
-    carried = (
-        chunked.where("_large")
-        .withColumn("_back", F.row_number().over(from_end))
-        .where(F.col("_back") <= rows)
-        .drop("_back")
-        .withColumns({"_chunk": F.col("_chunk") + 1, "_carried": F.lit(True)})
-    )
-    result = framed(chunked.unionByName(carried), [group, "_chunk"])
-    return result.where(~F.col("_carried")).drop("_chunk", "_large", "_carried")
-
-
-def with_chunk(df: DataFrame, borders: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """Add ``_chunk``, the number of its group's borders up to each row, and ``_large`` for cut groups."""
-    place = F.struct(*order)
-    passed = F.size(F.filter("_borders", lambda border: border <= place))
-    large = F.col("_borders").isNotNull()
-    joined = df.join(borders, group, "left")
-    return joined.withColumns({"_chunk": F.when(large, passed).otherwise(0), "_large": large}).drop("_borders")
-
-
-def chunk_borders(df: DataFrame, group: str, order: Sequence[str], limit: int, rows: int) -> DataFrame | None:
-    """Places where large groups are cut, one array per group; None when all groups are small.
-
-    Borders are evenly spaced rows of a random share of the large groups, so chunks are about ``limit``
-    long however the rows lie in time; equal places stay together. A border is
-    dropped when fewer than ``rows`` rows lie between it and the border before: every chunk that has a
-    successor fills a frame. All arrays together have about (all rows / limit) entries. They are written once and remembered;
-    where they lie does not change any result.
+    def counted() -> DataFrame | None:
+        sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+        large = stage(sizes.where(F.col("_rows") > limit))
+        return None if large.isEmpty() else large
+
+    return remembered("large", df, [group, limit], counted)
+
+
+def in_ranges(df: DataFrame, large: DataFrame, group: str, order: Sequence[str], limit: int) -> DataFrame:
+    """Rows sorted into ranges of (group, order) of about ``limit`` rows, numbered ``_chunk``; a written table, so the numbers stay.
+
+    Equal places lie in one range, as ranges are cut between different values.
     """
-    return remembered("borders", df, [group, *order, limit, rows], lambda: drawn_borders(df, group, order, limit, rows))
+    ranges = max(1, -(-large.agg(F.sum("_rows")).first()[0] // limit))
+    return stage(df.repartitionByRange(ranges, group, *order).withColumn("_chunk", F.spark_partition_id()))
 
 
-def drawn_borders(df: DataFrame, group: str, order: Sequence[str], limit: int, rows: int) -> DataFrame | None:
-    known = df.where(F.col(group).isNotNull()).select(group, *order)
-    large = known.groupBy(group).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > limit).select(group)
-    if large.isEmpty():
-        return None
-    members = known.join(stage(large), group, "left_semi")
-    share = min(1.0, SEEN_PLACES / limit)
-    seen = members if share == 1.0 else members.sample(fraction=share, seed=17)
-    every = max(round(limit * share), 1)
-    numbered = seen.select(group, F.struct(*order).alias("_place")).withColumn(
-        "_number", F.row_number().over(Window.partitionBy(group).orderBy("_place"))
-    )
-    places = numbered.where(F.col("_number") % every == 0).groupBy(group)
-    drawn = stage(places.agg(F.collect_set("_place").alias("_borders")))
-    lengths = with_chunk(members, drawn, group, order).groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
-    in_order = Window.partitionBy(group).orderBy("_place")
-    starts = drawn.select(group, F.explode("_borders").alias("_place")).withColumn(
-        "_chunk", F.row_number().over(in_order) - 1
-    )
-    kept = starts.join(lengths, [group, "_chunk"]).where(F.col("_rows") >= rows)
-    return stage(kept.groupBy(group).agg(F.collect_list("_place").alias("_borders")))
+def carried_rows(chunked: DataFrame, group: str, order: Sequence[str], rows: int) -> DataFrame:
+    """The last ``rows`` rows of its group before each chunk, with that chunk's number.
+
+    Each chunk of a group hands on its last rows, or all if it has fewer, so the rows wanted are the last of those handed on by
+    all chunks before. These are numbered, and every chunk asks for its numbers.
+    """
+    last = Window.partitionBy(group, "_chunk").orderBy(*[F.col(name).desc() for name in order])
+    handed = chunked.withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= rows)
+    number = F.row_number().over(Window.partitionBy(group).orderBy("_chunk", F.col("_back").desc()))
+    tails = stage(handed.withColumn("_number", number).drop("_back"))
+    before = F.sum("_handed").over(Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    ends = tails.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_handed")).withColumn("_end", before).where("_end > 0")
+    first = F.greatest(F.col("_end") - F.lit(rows - 1), F.lit(1))
+    wanted = ends.select(group, F.col("_chunk").alias("_to"), F.explode(F.sequence(first, F.col("_end"))).alias("_number"))
+    return tails.drop("_chunk").join(wanted, [group, "_number"]).withColumnRenamed("_to", "_chunk").drop("_number").select(*chunked.columns)

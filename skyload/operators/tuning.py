@@ -1,15 +1,14 @@
 """Weight tuning: sums of products per fold, candidate weights scored on them, rank statistics.
 
-Rows are read once. Everything after works on the sums, whose size depends on the number of
-features and folds only.
+Rows are read once. Everything after works on matrices of sums, one row per fold, whose size depends on the number of
+features and folds only; the algebra and the search on them are column expressions, so nothing is fetched to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,34 +54,34 @@ def with_fold(df: DataFrame, key: Sequence[str], k: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(*key), F.lit(k)).cast("int"))
 
 
-def centres(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """A value in the middle of each feature and of the target: the mean, or the value itself of a column with one value only.
+# Rows that the shift of a column is the median of.
+SHIFT_ROWS = 1_000
 
-    Sums of products are taken of the distances from these, so that they keep their digits far from zero and are
-    exactly 0 for a column that does not vary. One number per feature reaches the driver.
-    """
-    names = [*features, TARGET]
-    ends = df.agg(*[end(design_value(n)).alias(f"{label}{at}") for at, n in enumerate(names) for label, end in (("a", F.min), ("b", F.max), ("c", F.avg))]).first()
-    return {n: (ends[f"a{at}"] if ends[f"a{at}"] == ends[f"b{at}"] else ends[f"c{at}"]) or 0.0 for at, n in enumerate(names)}
 
+def shifted(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The design with each feature and the target moved by a value from the middle of a few of its rows.
 
-def centred(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The design with all features and the target moved by their centres; correlations stay what they are."""
-    middle = centres(df, features)
-    moved = {f"x_{name}": F.col(f"x_{name}") - F.lit(middle[name]) for name in features}
-    return df.withColumns({**moved, TARGET: F.col(TARGET) - F.lit(middle[TARGET])})
+    Sums of products are taken of what is left, so they keep their digits far from zero and are exactly 0 for a column that does not
+    vary. Covariances do not depend on the shift, so any few rows will do; they are read by a subquery of the same job.
+    """
+    names = [*features, TARGET]
+    few = df.select(*[design_value(name).alias(f"v{at}") for at, name in enumerate(names)]).limit(SHIFT_ROWS)
+    middle = few.agg(F.struct(*[F.coalesce(F.percentile_approx(f"v{at}", 0.5), F.lit(0.0)).alias(f"v{at}") for at in range(len(names))]).alias("middle")).scalar()
+    known = df.withColumn("_middle", middle)
+    moved = {f"x_{name}" if name != TARGET else TARGET: design_value(name) - F.col(f"_middle.v{at}") for at, name in enumerate(names)}
+    return known.withColumns(moved).drop("_middle")
 
 
-# A centred sum of squares below this share of the sum of squares is rounding.
+# A sum of squares about the mean below this share of the sum of squares is rounding.
 NOISE = 1e-12
 
 
-def product_sums(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows (…by, i, j, s): the sum of the product of each two of the constant 1, the features and the target.
+def product_matrices(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows (…by, sums): the sums of the products of each two of the constant 1, the features and the target, as a matrix.
 
-    Each row is taken once per name i, inside the same task, and adds its products with all names j to
+    Each row is taken once per name i, inside the same task, and adds its products with all names to
     that name's sums. These are combined before the shuffle, which so carries one short row per task,
-    group and name. ``i`` comes before ``j`` in (one, features, target).
+    group and name; a matrix is put together from the names of a group.
     """
     fit_generated_code(df.sparkSession)
     names = [ONE, *features, TARGET]
@@ -93,10 +92,8 @@ def product_sums(df: DataFrame, features: Sequence[str], by: Sequence[str] = ())
         .groupBy(*by, "_i")
         .agg(*[F.sum(F.col("_x") * column).alias(f"s{at}") for at, column in enumerate(columns)])
     )
-    cells = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(name).alias("j"), F.col(f"s{at}").alias("s")) for at, name in enumerate(names)])
-    long = sums.select(*by, "_i", F.explode(cells).alias("cell")).where(F.col("cell.at") >= F.col("_i"))
-    first = F.element_at(F.array(*[F.lit(name) for name in names]), F.col("_i") + 1)
-    return long.select(*by, first.alias("i"), "cell.j", "cell.s")
+    lines = F.array_sort(F.collect_list(F.struct("_i", F.array(*[f"s{at}" for at in range(len(names))]).alias("line"))))
+    return sums.groupBy(*by).agg(F.transform(lines, lambda line: line["line"]).alias("sums"))
 
 
 def design_value(name: str) -> Column:
@@ -105,55 +102,100 @@ def design_value(name: str) -> Column:
     return F.col(TARGET) if name == TARGET else F.col(f"x_{name}")
 
 
-def fold_sums(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Product sums per held-out fold and part: its own rows (``test``) and all others (``train``)."""
-    cells = product_sums(df, features, ["fold"])
-    everything = Window.partitionBy("i", "j")
-    both = cells.withColumn("rest", F.sum("s").over(everything) - F.col("s"))
-    parts = F.array(
-        F.struct(F.lit("test").alias("part"), F.col("s").alias("s")),
-        F.struct(F.lit("train").alias("part"), F.col("rest").alias("s")),
+def cells(matrices: DataFrame, matrix: str, names: Sequence[str], by: Sequence[str], value: str) -> DataFrame:
+    """A matrix as rows (…by, i, j, value)."""
+    labels = F.array(*[F.lit(name) for name in names])
+    lines = matrices.select(*by, F.posexplode(matrix).alias("_i", "_line"))
+    return lines.select(*by, "_i", F.posexplode("_line").alias("_j", value)).select(
+        *by, F.get(labels, F.col("_i")).alias("i"), F.get(labels, F.col("_j")).alias("j"), value, "_i", "_j"
     )
-    return both.select("fold", "i", "j", F.explode(parts).alias("p")).select("fold", "p.part", "i", "j", "p.s")
 
 
-def covariances(sums: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Centred sums (…by, i, j, c) in both orders, without the constant; exactly 0 for a column that does not vary in its group."""
-    by = list(by)
-    count = sums.where((F.col("i") == ONE) & (F.col("j") == ONE)).select(*by, F.col("s").alias("n"))
-    totals = sums.where((F.col("i") == ONE) & (F.col("j") != ONE)).select(*by, F.col("j").alias("name"), F.col("s").alias("t"))
-    pairs = sums.where(F.col("i") != ONE)
-    left = totals.select(*by, F.col("name").alias("i"), F.col("t").alias("ti"))
-    right = totals.select(*by, F.col("name").alias("j"), F.col("t").alias("tj"))
+def product_sums(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows (…by, i, j, s) of :func:`product_matrices`; ``i`` comes before ``j`` in (one, features, target)."""
+    long = cells(product_matrices(df, features, by), "sums", [ONE, *features, TARGET], by, "s")
+    return long.where("_j >= _i").drop("_i", "_j")
+
+
+def fold_matrices(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows (fold, test, train): the product sums of a held-out fold and of all others.
+
+    The sums are written, as the algebra on them is a plan of its own: the only pass over the rows ends here. All folds meet in one
+    row, whose size depends on the number of folds and features.
+    """
+    own = stage(product_matrices(df, features, ["fold"]))
+    every = own.agg(F.array_sort(F.collect_list(F.struct("fold", "sums"))).alias("every"))
+
+    def added(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
+
+    others = F.filter("every", lambda part: part["fold"] != F.col("own.fold"))
+    nothing = F.transform("own.sums", lambda line: F.transform(line, lambda _: F.lit(0.0)))
+    train = F.aggregate(others, nothing, lambda total, part: added(total, part["sums"]))
+    return every.select("every", F.explode("every").alias("own")).select("own.fold", F.col("own.sums").alias("test"), train.alias("train"))
+
+
+def fold_sums(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Product sums (fold, part, i, j, s) per held-out fold and part: its own rows (``test``) and all others (``train``)."""
+    parted = in_parts(fold_matrices(df, features))
+    return cells(parted, "m", [ONE, *features, TARGET], ["fold", "part"], "s").where("_j >= _i").drop("_i", "_j")
+
+
+def in_parts(folds: DataFrame) -> DataFrame:
+    """Rows (fold, part, m) of the two matrices of a fold."""
+    parts = [F.struct(F.lit(part).alias("part"), F.col(part).alias("m")) for part in ("test", "train")]
+    return folds.select("fold", F.explode(F.array(*parts)).alias("p")).select("fold", "p.part", "p.m")
 
-    def attach(table: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return table.join(other, list(keys))
 
-    joined = attach(attach(pairs, left, [*by, "i"]), right, [*by, "j"])
-    joined = attach(joined, count, by)
-    rest = F.col("s") - F.col("ti") * F.col("tj") / F.col("n")
-    flat = (F.col("i") == F.col("j")) & (rest <= NOISE * F.col("s"))
-    around = joined.select(*by, "i", "j", F.when(flat, 0.0).otherwise(rest).alias("c"))
-    mirrored = around.where(F.col("i") != F.col("j")).select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "c")
-    return around.unionByName(mirrored)
+def covariance(sums: Column) -> Column:
+    """The matrix of sums about the mean, without the constant; exactly 0 for a column that does not vary.
+
+    The product sums are those of shifted columns. The first line of their matrix holds the count and the totals.
+    """
+    first = F.element_at(sums, 1)
+    n = F.element_at(first, 1)
+    rest = F.slice(sums, F.lit(2), F.size(sums) - 1)
+
+    def about(line: Column, at: Column) -> Column:
+        total = F.element_at(line, 1)
+
+        def entry(value: Column, other: Column) -> Column:
+            left = value - total * F.get(first, other + 1) / n
+            return F.when((other == at) & (left <= F.lit(NOISE) * value), 0.0).otherwise(left)
+
+        return F.transform(F.slice(line, F.lit(2), F.size(line) - 1), entry)
+
+    return F.transform(rest, about)
+
+
+def covariances(matrices: DataFrame, by: Sequence[str], features: Sequence[str], sums: str = "sums") -> DataFrame:
+    """Rows (…by, i, j, c) of :func:`covariance`, in both orders."""
+    known = matrices.select(*by, covariance(F.col(sums)).alias("_c"))
+    return cells(known, "_c", [*features, TARGET], by, "c").drop("_i", "_j")
+
+
+def fold_covariances(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows (fold, part, i, j, c) of a design."""
+    return covariances(in_parts(fold_matrices(shifted(df, features), features)), ["fold", "part"], features, "m")
 
 
 def correlation_matrix(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Correlations (feature_a, feature_b, corr) of complete columns; null where one does not vary."""
-    named = df.select(
-        F.lit("all").alias("part"),
-        F.lit(0.0).alias(TARGET),
-        *[F.col(column).cast("double").alias(f"x_{name}") for name, column in columns.items()],
-    )
-    sums = stage(product_sums(centred(named, list(columns)), list(columns), ["part"]))
-    cells = stage(covariances(sums, ["part"]).where((F.col("i") != TARGET) & (F.col("j") != TARGET)))
-    spread = cells.where(F.col("i") == F.col("j")).select(F.col("i").alias("name"), "c")
-    a = spread.select(F.col("name").alias("i"), F.col("c").alias("ci"))
-    b = spread.select(F.col("name").alias("j"), F.col("c").alias("cj"))
-    product = F.when((F.col("ci") > 0) & (F.col("cj") > 0), F.sqrt(F.col("ci")) * F.sqrt(F.col("cj")))
-    return cells.join(a, "i").join(b, "j").select(
-        F.col("i").alias("feature_a"), F.col("j").alias("feature_b"), (F.col("c") / product).alias("corr")
-    )
+    named = df.select(F.lit(0.0).alias(TARGET), *[F.col(column).cast("double").alias(f"x_{name}") for name, column in columns.items()])
+    names = list(columns)
+    known = stage(product_matrices(shifted(named, names), names)).select(covariance(F.col("sums")).alias("c"))
+    spread = F.transform("c", lambda line, at: F.get(line, at))
+
+    def correlations(line: Column, at: Column) -> Column:
+        def entry(value: Column, other: Column) -> Column:
+            own, its = F.get(F.col("spread"), at), F.get(F.col("spread"), other)
+            return F.when((own > 0) & (its > 0), value / (F.sqrt(own) * F.sqrt(its)))
+
+        return F.transform(line, entry)
+
+    matrix = known.select("c", spread.alias("spread")).select(F.transform("c", correlations).alias("r"))
+    pairs = cells(matrix, "r", [*names, TARGET], [], "corr").where((F.col("i") != TARGET) & (F.col("j") != TARGET))
+    return pairs.select(F.col("i").alias("feature_a"), F.col("j").alias("feature_b"), "corr")
 
 
 def simplex_projection(
@@ -222,61 +264,105 @@ def best_of(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return scores.withColumn("_place", F.row_number().over(place)).where(F.col("_place") == 1).drop("_place")
 
 
-def gradient_weights(covariance: np.ndarray, cross: np.ndarray, target: float, steps: int = 400, rate: float = 0.05):
-    """Projected gradient ascent of the correlation from uniform weights; the best point visited."""
-    size = len(cross)
-
-    def quality(w: np.ndarray) -> float:
-        spread = w @ covariance @ w * target
-        return float(w @ cross / np.sqrt(spread)) if spread > 0 else float("-inf")
-
-    def project(v: np.ndarray) -> np.ndarray:
-        falling = np.sort(v)[::-1]
-        shifts = (np.cumsum(falling) - 1) / np.arange(1, size + 1)
-        return np.maximum(v - shifts[np.flatnonzero(falling > shifts)[-1]], 0.0)
-
-    weights = np.full(size, 1.0 / size)
-    best, best_quality = weights, quality(weights)
-    for _ in range(steps):
-        spread = weights @ covariance @ weights
-        if spread <= 0 or target <= 0:
-            break
-        up = weights @ cross
-        slope = (cross / np.sqrt(spread) - up * (covariance @ weights) / spread**1.5) / np.sqrt(target)
-        # Raising one weight lowers the positive ones evenly, so only the slope beyond their mean counts.
-        positive = weights > 0
-        total, count = slope[positive].sum(), positive.sum()
-        weights = project(weights + rate * (slope - np.where(positive, total / count, (total + slope) / (count + 1))))
-        reached = quality(weights)
-        if reached > best_quality:
-            best, best_quality = weights, reached
-    return best, best_quality
-
-
-def fold_matrices(cells: Sequence, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, float]:
-    place = {name: at for at, name in enumerate(features)}
-    covariance, cross, target = np.zeros((len(features),) * 2), np.zeros(len(features)), 0.0
-    for cell in cells:
-        i, j = cell["i"], cell["j"]
-        if i == TARGET and j == TARGET:
-            target = cell["c"]
-        elif j == TARGET:
-            cross[place[i]] = cell["c"]
-        elif i != TARGET:
-            covariance[place[i], place[j]] = cell["c"]
-    return covariance, cross, target
-
-
-def gradient_search(covariance: DataFrame, features: Sequence[str], spark: SparkSession) -> DataFrame:
-    """Best weights per fold, found on the small covariance matrices of the training parts."""
-    by_fold: dict[int, list] = {}
-    for cell in covariance.where(F.col("part") == "train").collect():
-        by_fold.setdefault(cell["fold"], []).append(cell)
-    rows = []
-    for fold, cells in sorted(by_fold.items()):
-        weights, _ = gradient_weights(*fold_matrices(cells, features))
-        rows += [(fold, name, float(weight)) for name, weight in zip(features, weights)]
-    return spark.createDataFrame(rows, "fold int, feature string, weight double")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def applied(matrix: Column, vector: Column) -> Column:
+    return F.transform(matrix, lambda line: dot(line, vector))
+
+
+def on_simplex(point: Column) -> Column:
+    """The nearest point with non-negative coordinates that add up to 1: all move by one shift, found from the largest down."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("shift"))
+
+    def longer(state: Column, value: Column) -> Column:
+        n, total = state["n"] + 1, state["total"] + value
+        return let((total - 1) / n, lambda shift: F.struct(n.alias("n"), total.alias("total"), F.when(value > shift, shift).otherwise(state["shift"]).alias("shift")))
+
+    shift = F.aggregate(F.sort_array(point, asc=False), start, longer, lambda state: state["shift"])
+    return let(shift, lambda by: F.transform(point, lambda value: F.greatest(value - by, F.lit(0.0))))
+
+
+def parts_of(c: Column, size: int) -> tuple[Column, Column, Column]:
+    """Covariances of the features, theirs with the target, and the target's own."""
+    lines = F.slice(c, 1, size)
+    square = F.transform(lines, lambda line: F.slice(line, 1, size))
+    return square, F.transform(lines, lambda line: F.element_at(line, size + 1)), F.element_at(F.element_at(c, size + 1), size + 1)
+
+
+def gradient_weights(c: Column, size: int, steps: int = 400, rate: float = 0.05) -> Column:
+    """Projected gradient ascent of the correlation with the target from uniform weights; the best point visited.
+
+    ``c`` is a matrix of :func:`covariance` with ``size`` features. The steps are one expression on its row, so every fold is searched
+    where its row is. Raising one weight lowers the positive ones evenly, so only the slope beyond their mean counts.
+    """
+
+    def search(known: Column) -> Column:
+        square, cross, target = known["square"], known["cross"], known["target"]
+
+        def quality(w: Column, image: Column) -> Column:
+            return let(dot(w, image) * target, lambda spread: F.when(spread > 0, dot(w, cross) / F.sqrt(spread)).otherwise(F.lit(float("-inf"))))
+
+        def state(w: Column, image: Column, best: Column, reached: Column) -> Column:
+            return F.struct(w.alias("w"), image.alias("image"), best.alias("best"), reached.alias("reached"))
+
+        def moved(now: Column, slope: Column) -> Column:
+            raised = F.zip_with(now["w"], slope, lambda w, g: F.when(w > 0, g).otherwise(0.0))
+            total = F.aggregate(raised, F.lit(0.0), lambda sum, g: sum + g)
+            count = F.size(F.filter(now["w"], lambda w: w > 0))
+
+            def beyond(facts: Column) -> Column:
+                mean = lambda w, g: F.when(w > 0, facts["total"] / facts["count"]).otherwise((facts["total"] + g) / (facts["count"] + 1))
+                return F.zip_with(now["w"], slope, lambda w, g: w + F.lit(rate) * (g - mean(w, g)))
+
+            def judged(w: Column) -> Column:
+                def kept(image: Column) -> Column:
+                    return let(
+                        quality(w, image),
+                        lambda reached: state(w, image, F.when(reached > now["reached"], w).otherwise(now["best"]), F.greatest(reached, now["reached"])),
+                    )
+
+                return let(applied(square, w), kept)
+
+            point = let(F.struct(total.alias("total"), count.alias("count")), beyond)
+            return let(let(point, on_simplex), judged)
+
+        def step(now: Column, _: Column) -> Column:
+            def go(facts: Column) -> Column:
+                root, up = F.sqrt(facts["spread"]), facts["up"]
+                slope = F.zip_with(cross, now["image"], lambda c, m: (c / root - up * m / (facts["spread"] * root)) / F.sqrt(target))
+                return F.when((facts["spread"] > 0) & (target > 0), let(slope, lambda g: moved(now, g))).otherwise(now)
+
+            return let(F.struct(dot(now["w"], now["image"]).alias("spread"), dot(now["w"], cross).alias("up")), go)
+
+        def run(image: Column) -> Column:
+            start = state(even, image, even, quality(even, image))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda end: end["best"])
+
+        even = F.array_repeat(F.lit(1.0 / size), size)
+        return let(applied(square, even), run)
+
+    square, cross, target = parts_of(c, size)
+    return let(F.struct(square.alias("square"), cross.alias("cross"), target.alias("target")), search)
+
+
+def weighted_corr(c: Column, w: Column, size: int) -> Column:
+    """Correlation of the weighted sum with the target; null where either does not vary."""
+    square, cross, target = parts_of(c, size)
+    down = dot(w, applied(square, w))
+    terms = dot(F.transform(w, F.abs), applied(F.transform(square, lambda line: F.transform(line, F.abs)), F.transform(w, F.abs)))
+
+    def ratio(known: Column) -> Column:
+        varies = (known["down"] > F.lit(NOISE) * known["size"]) & (known["target"] > 0)
+        return F.when(varies, known["up"] / (F.sqrt(known["down"]) * F.sqrt(known["target"])))
+
+    return let(F.struct(down.alias("down"), terms.alias("size"), dot(w, cross).alias("up"), target.alias("target")), ratio)
 
 
 def candidate_search(
@@ -320,33 +406,42 @@ def tune_weights(
     The weight is the mean over folds; the correlations are means over folds of the fold's own
     weights on the rows they were fitted to and on the rows held out.
     """
-    spark = design.sparkSession
-    sums = stage(fold_sums(centred(design, features), features))
-    covariance = stage(covariances(sums, ["fold", "part"]))
     if method == "gradient":
-        found = gradient_search(covariance, features, spark)
-    elif method == "candidates":
-        found = candidate_search(covariance, features, defaults, spark)
-    else:
+        return gradient_tuned(design, features)
+    if method != "candidates":
         raise ValueError(f"unknown search method: {method}")
-    found = stage(found)
+    spark = design.sparkSession
+    known = stage(fold_covariances(design, features))
+    found = stage(candidate_search(known, features, defaults, spark))
     chosen = found.select(F.col("fold").cast("string").alias("candidate"), "feature", "weight")
-    quality = (
-        score_candidates(chosen, covariance, ["fold", "part"])
-        .where(F.col("candidate") == F.col("fold").cast("string"))
-        .agg(
-            F.avg(F.when(F.col("part") == "train", F.col("corr"))),
-            F.avg(F.when(F.col("part") == "test", F.col("corr"))),
-        )
-        .first()
-    )
-    folds = max(sums.agg(F.count_distinct("fold")).first()[0], 1)
+    quality = score_candidates(chosen, known, ["fold", "part"]).where(F.col("candidate") == F.col("fold").cast("string"))
+    ends = [F.avg(F.when(F.col("part") == part, F.col("corr"))).alias(f"{part}_corr") for part in ("train", "test")]
+    folds = known.agg(F.greatest(F.count_distinct("fold"), F.lit(1))).scalar()
     unused = spark.createDataFrame([(None, name, 0.0) for name in features], "fold int, feature string, weight double")
     return (
         found.unionByName(unused)
         .groupBy("feature")
         .agg((F.sum("weight") / folds).alias("weight"))
-        .withColumns({"train_corr": F.lit(quality[0]).cast("double"), "test_corr": F.lit(quality[1]).cast("double")})
+        .withColumns({name: quality.agg(end).scalar() for name, end in zip(("train_corr", "test_corr"), ends)})
+        .orderBy(F.col("weight").desc(), "feature")
+    )
+
+
+def gradient_tuned(design: DataFrame, features: Sequence[str]) -> DataFrame:
+    """:func:`tune_weights` by gradient: covariances, search and quality are one lazy plan over the written sums."""
+    size = len(features)
+    folds = fold_matrices(shifted(design, features), features)
+    known = folds.select("fold", *[covariance(F.col(part)).alias(part) for part in ("test", "train")])
+    searched = known.withColumn("w", gradient_weights(F.col("train"), size))
+    scored = searched.select("fold", "w", *[weighted_corr(F.col(part), F.col("w"), size).alias(part) for part in ("train", "test")])
+    ends = scored.agg(F.array_sort(F.collect_list(F.struct("fold", "w"))).alias("all"), F.avg("train").alias("train_corr"), F.avg("test").alias("test_corr"))
+    nothing = F.array_repeat(F.lit(0.0), size)
+    total = F.aggregate("all", nothing, lambda sum, fold: F.zip_with(sum, fold["w"], lambda a, b: a + b))
+    mean = F.transform(total, lambda weight: weight / F.greatest(F.size("all"), F.lit(1)))
+    labels = F.array(*[F.lit(name) for name in features])
+    return (
+        ends.select(F.posexplode(mean).alias("at", "weight"), "train_corr", "test_corr")
+        .select(F.get(labels, F.col("at")).alias("feature"), "weight", "train_corr", "test_corr")
         .orderBy(F.col("weight").desc(), "feature")
     )
 

@@ -152,12 +152,12 @@ def analyse(
 
 def chart_tables(result: Analysis, inputs: Inputs, key: Sequence[str] = FLIGHT_KEY) -> dict[str, DataFrame]:
     """The data behind each chart of the analysis."""
-    mixed = F.struct(F.xxhash64(*key), *key)
+    mixed = F.shiftrightunsigned(F.xxhash64(*key), 32)
     return {
         "delay_distribution": histogram(result.loads, "dep_delay_minutes", 50),
-        "ground_vs_delay": scatter_points(result.loads, ["ground_time_delta", "dep_delay_minutes"], mixed),
+        "ground_vs_delay": scatter_points(result.loads, ["ground_time_delta", "dep_delay_minutes"], mixed, key),
         "transfer_ratio_hist": histogram(bag_shares(inputs.bags, key), "transfer_ratio", 40),
-        "ssr_vs_delay": scatter_points(result.loads, ["ssr_count", "dep_delay_minutes"], mixed),
+        "ssr_vs_delay": scatter_points(result.loads, ["ssr_count", "dep_delay_minutes"], mixed, key),
         "ssr_delay_trend": trend_line(result.loads, "ssr_count", "dep_delay_minutes"),
         "top_destination_consistency": result.destinations.select(DESTINATION, "consistency_index"),
         "driver_feature_lift": mean_lifts(result.drivers, 12),
@@ -191,9 +191,11 @@ def tune(
     k: int = 5,
     method: str = "gradient",
     path: str | None = None,
+    fold: Column | None = None,
 ) -> DataFrame:
     """Weights tuned on the scores by cross-validation; written as JSON to ``path`` if given.
 
+    The fold of a row is a hash of its key, or the number ``fold``.
     The search maximises correlation for either target. For the 0/1 target the rank quality (area under
     the ROC curve) of the final weights is reported too.
     """
@@ -203,7 +205,8 @@ def tune(
         raise ValueError("the scores hold none of the weighted features")
     known = {DEPARTURE, ACTUAL_DEPARTURE} <= set(scored.columns)
     table, binary = with_target(with_delay(scored) if known else scored, target)
-    design = with_fold(design_columns(table, features), list(settings.key), k)
+    columns = design_columns(table, features)
+    design = with_fold(columns, list(settings.key), k) if fold is None else columns.withColumn("fold", fold.cast("int"))
     tuned = tune_weights(design, features, settings.weights, method)
     if binary:
         tuned = stage(tuned)

@@ -99,6 +99,23 @@ def test_service_requests(spark, limit):
         service_features(b, r, mode="guess")
 
 
+def test_bags_of_a_flight_with_very_many_departure_times(spark):
+    """100,000 departure times against 100,000 bags of one flight: no list of them, no task with all of them."""
+    size, start = 100_000, datetime(2025, 8, 1)
+    moment = lambda seconds: F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    key = [F.lit("UA").alias("company_id"), F.lit(1).cast("bigint").alias("flight_number"), F.lit(DAY1).alias("scheduled_departure_date_local")]
+    flights = spark.range(size).select(*key, moment(F.col("id") * 3).alias("scheduled_departure_datetime_local"))
+    bags = spark.range(size).select(*key, F.lit("Origin").alias("bag_type"), moment((F.col("id") * 7919) % (3 * size) - 50).alias("bag_tag_issue_datetime"))
+    df = bag_features(bags, flights)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in text and "collect_set" not in text
+    found = df.first()
+    issued = [n * 7919 % (3 * size) - 50 for n in range(size)]
+    late = sum(min(max(i // 3 + 1, 0), size) for i in issued)
+    assert found["total_bags"] == size and found["bag_late_issue_ratio"] == pytest.approx(late / size**2, abs=1e-12)
+    assert found["bag_issue_lead_mean"] == pytest.approx((3 * (size - 1) / 2 - sum(issued) / size) / 86400, abs=1e-9)
+
+
 def test_turn_features(spark):
     df = spark.createDataFrame([(1, 40, 30, 50), (2, 60, 60, 50), (3, None, None, 50), (4, 10, 10, 0)],
                                "flight_number int, scheduled_ground_time_minutes int, actual_ground_time_minutes int, minimum_turn_minutes int")

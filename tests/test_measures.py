@@ -104,5 +104,9 @@ def test_histogram_and_trend(spark):
 
 def test_scatter_points_repeat(spark):
     df = spark.range(100).withColumn("y", F.col("id") * 2)
-    pick = lambda parts: {tuple(row) for row in charts.scatter_points(df.repartition(parts), ["id", "y"], F.struct(F.col("id") * 7919 % 101, "id"), 10).collect()}
-    assert pick(2) == pick(7) and len(pick(3)) == 10
+    mixed = F.col("id") * 2654435761 % 4294967296
+    pick = lambda parts: {tuple(row) for row in charts.scatter_points(df.repartition(parts), ["id", "y"], mixed, ["id"], 10).collect()}
+    first = sorted(range(100), key=lambda n: n * 2654435761 % 4294967296)[:10]
+    assert pick(2) == pick(7) == {(n, 2 * n) for n in first}
+    same = charts.scatter_points(df, ["id"], F.col("id") * 0 + 5, ["id"], 7).collect()
+    assert [row["id"] for row in same] == list(range(7)) and charts.scatter_points(df.where("id < 0"), ["id"], mixed, ["id"], 7).count() == 0

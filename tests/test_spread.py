@@ -1,10 +1,12 @@
 import contextlib
 import io
 import random
+import struct
 
 from pyspark.sql import functions as F
 
-from skyload.operators.spread import attach_all, hot_keys, lookup_join, prior_totals, spread_join
+from skyload.functions.columns import double_order
+from skyload.operators.spread import WIDE_BUCKETS, attach_all, hot_keys, lookup_join, prior_totals, spread_join
 from skyload.operators.staging import stage
 
 
@@ -88,3 +90,33 @@ def test_running_totals_against_brute_force(spark):
     ungrouped = prior_totals(df, [], "k", {"n": F.sum("n")})
     for row in ungrouped.collect():
         assert row["n_before"] == sum(t[2] for t in table if t[1] < row["k"])
+
+
+def test_running_totals_of_wide_keys(spark):
+    """Keys over all 64 bits, in three levels of buckets."""
+    source = random.Random(4)
+    keys = [-(2**63), 2**63 - 1, 0, -1, 1, 1 << 42, (1 << 42) - 1, -(1 << 21)] + [source.randint(-(2**63), 2**63 - 1) for _ in range(60)] + [source.randint(-50, 50) for _ in range(60)]
+    table = [(source.choice(["p", None]), source.choice(keys), source.randint(0, 9)) for _ in range(400)]
+    df = spark.createDataFrame([row for row in table if row[0]], "g string, k bigint, n bigint")
+    for keep in (True, False):
+        for row in prior_totals(df, ["g"], "k", {"n": F.sum("n")}, widths=WIDE_BUCKETS, keep=keep).collect():
+            ahead = [t for t in table if t[0] == row["g"] and t[1] < row["k"]]
+            assert (row["n_before"], row["keys_before"]) == (sum(t[2] for t in ahead), len({t[1] for t in ahead}))
+
+
+def test_numbers_of_doubles(spark):
+    source = random.Random(5)
+    edges = [0.0, -0.0, 1.0, 2.0, 0.5, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan")]
+    near = [float(f"{m}e{e}") for e in (-320, -308, -300, -3, 0, 15, 300) for m in (1, 1.0000000000000002, 9.999999999999999)]
+    powers = [2.0**e * f for e in range(-1074, 1023, 97) for f in (1, 1 + 2**-52, 1 - 2**-53)]
+    values = edges + near + powers + [source.uniform(-1, 1) * 10 ** source.randint(-300, 300) for _ in range(200)]
+    values += [-value for value in values]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").select("x", double_order(F.col("x")).alias("n")).collect()
+    for row in rows:
+        if row["x"] is None:
+            assert row["n"] is None
+        elif row["x"] == row["x"]:
+            bits = struct.unpack("<q", struct.pack("<d", abs(row["x"])))[0]
+            assert row["n"] == (-bits if row["x"] < 0 else bits)
+        else:
+            assert row["n"] > struct.unpack("<q", struct.pack("<d", float("inf")))[0]

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyload.operators import tuning
+from skyload.operators.staging import STAGED, stage
 
 FEATURES = ["a", "b", "c"]
 
@@ -85,7 +86,7 @@ def test_candidate_scores(spark):
     x, y = data()
     df = design(spark, x, y)
     candidates = spark.createDataFrame(tuning.start_candidates(FEATURES, {"a": 2.0, "b": 1.0}), tuning.CANDIDATE_SCHEMA)
-    train = tuning.covariances(tuning.fold_sums(df, FEATURES), ["fold", "part"]).where("part = 'train'")
+    train = tuning.fold_covariances(df, FEATURES).where("part = 'train'")
     found = {(r["fold"], r["candidate"]): r["corr"] for r in tuning.score_candidates(candidates, train, ["fold"]).collect()}
     for fold in range(5):
         keep = np.arange(len(y)) % 5 != fold
@@ -107,13 +108,31 @@ def stepwise(x, y, steps=60, rate=0.05, eps=1e-5):
     return best, best_quality
 
 
-def test_gradient_search_equals_search_on_rows():
+def test_gradient_search_equals_search_on_rows(spark):
     x, y = data()
-    centred, target = x - x.mean(axis=0), y - y.mean()
-    weights, quality = tuning.gradient_weights(centred.T @ centred, centred.T @ target, float(target @ target), steps=60)
+    whole = tuning.product_matrices(tuning.shifted(design(spark, x, y), FEATURES), FEATURES)
+    c = tuning.covariance(F.col("sums"))
+    found = whole.select(tuning.gradient_weights(c, 3, steps=60).alias("w"), c.alias("c")).select("w", tuning.weighted_corr(F.col("c"), F.col("w"), 3).alias("q")).first()
     expected, expected_quality = stepwise(x, y)
-    assert weights == pytest.approx(expected, abs=1e-3)
-    assert quality == pytest.approx(expected_quality, abs=1e-6)
+    assert found["w"] == pytest.approx(expected, abs=1e-3)
+    assert found["q"] == pytest.approx(expected_quality, abs=1e-6)
+
+
+def test_gradient_search_of_flat_columns(spark):
+    """A target, or features, that do not vary leave the uniform weights and no correlation."""
+    x, y = data()
+    for flat in ({"target": F.lit(3.0)}, {f"x_{name}": F.lit(0.1) for name in FEATURES}):
+        rows = tuning.tune_weights(design(spark, x, y).withColumns(flat), FEATURES, {}, "gradient").collect()
+        assert [row["weight"] for row in rows] == pytest.approx([1 / 3] * 3)
+        assert all(row["train_corr"] is None and row["test_corr"] is None for row in rows)
+
+
+def test_only_the_sums_are_worked_out_before_the_result(spark):
+    x, y = data()
+    df = stage(design(spark, x, y))
+    staged = len(STAGED)
+    tuning.tune_weights(df, FEATURES, {}, "gradient")
+    assert len(STAGED) == staged + 1
 
 
 @pytest.mark.parametrize("method", ["gradient", "candidates"])

@@ -289,6 +289,22 @@ def bag_timing(spark, folder):
     return bags.bag_features(tables.bags(spark, folder), tables.flights(spark, folder), KEY)
 
 
+@case(
+    "bag_timing_repeated",
+    {"flight_number": "i", "total_bags": "i", "bag_issue_lead_mean": 9, "bag_late_issue_ratio": 9},
+    """(SELECT flight_number, max(n) AS total_bags, avg(lead) AS bag_issue_lead_mean, avg(CASE WHEN lead <= 0 THEN 1.0 ELSE 0.0 END) AS bag_late_issue_ratio
+        FROM (SELECT b.flight_number, n, (epoch_us(scheduled_departure_datetime_local) - epoch_us(bag_tag_issue_datetime)) / 86400000000.0 AS lead
+        FROM (SELECT flight_number, bag_tag_issue_datetime, count(*) OVER (PARTITION BY flight_number) AS n FROM bags JOIN flights USING (flight_id)) b
+        JOIN (SELECT DISTINCT flight_number, scheduled_departure_datetime_local FROM flights) f USING (flight_number)) GROUP BY 1)""",
+    ("bags", "flights"),
+)
+def bag_timing_repeated(spark, folder):
+    """Timing by flight number alone: every bag of a number against all departures that the number has."""
+    flights = tables.flights(spark, folder).select("flight_id", "flight_number", DEPARTURE)
+    numbered = tables.bags(spark, folder).join(flights.select("flight_id", "flight_number"), "flight_id")
+    return bags.bag_features(numbered, flights, ["flight_number"])
+
+
 @case(
     "turn_features",
     {"flight_id": "i", "ground_time_pressure": "i", "actual_turn_deficit": "i", "turn_deficit_ratio": 9},
@@ -435,6 +451,17 @@ def trailing_volatility(spark, folder):
     return history.with_volatility(default_master(spark, folder), ties=KEY, sizes=tables.flights(spark, folder))
 
 
+@case(
+    "trailing_volatility_cut",
+    {"flight_id": "i", "load_factor_volatility": 6, "ground_time_pressure_volatility": 6},
+    "full_master",
+    ("full_master",),
+)
+def trailing_volatility_cut(spark, folder):
+    """The same frames where flight numbers of more than six flights count as large and are cut."""
+    return history.with_volatility(default_master(spark, folder), ties=KEY, sizes=tables.flights(spark, folder), limit=6)
+
+
 @case(
     "optional_columns",
     {"flight_id": "i", "total_pax": "i", "basic_economy_ratio": 9, "booking_lead_days_mean": 9, "late_booking_ratio": 9,
@@ -478,6 +505,30 @@ def daily_minmax_scale(spark, folder):
     return scoring.with_day_scaling(master, stage(scoring.day_ranges(master, SLICE)), SLICE)
 
 
+BROKEN = {"load_factor": "nan", "turn_deficit_ratio": "inf", "total_pax": "-inf"}
+
+
+@case(
+    "broken_numbers",
+    {"flight_id": "i", DAY: "s", **{f"{name}_scaled": 9 for name in BROKEN}},
+    "("
+    + scaled_sql(
+        "(SELECT flight_id, scheduled_departure_date_local, "
+        + ", ".join(f"CASE WHEN flight_id % {7 + at} <> 0 THEN CAST({name} AS DOUBLE) END AS {name}" for at, name in enumerate(BROKEN))
+        + " FROM slice)",
+        list(BROKEN),
+    )
+    + ")",
+    ("slice",),
+)
+def broken_numbers(spark, folder):
+    """Scaling of features that hold NaN and infinities; such a value counts as missing."""
+    rows = default_master(spark, folder)
+    broken = {name: F.when(F.col("flight_id") % (7 + at) == 0, F.lit(float(value))).otherwise(F.col(name).cast("double")) for at, (name, value) in enumerate(BROKEN.items())}
+    table = stage(rows.select("flight_id", DAY, *[value.alias(name) for name, value in broken.items()]))
+    return scoring.score_days(table, dict.fromkeys(BROKEN, 1.0))
+
+
 @case("difficulty_score", {"flight_id": "i", DAY: "s", "difficulty_score": 9}, "scored", ("scored",))
 def difficulty_score(spark, folder):
     return default_scored(spark, folder)
@@ -739,8 +790,8 @@ def transfer_ratio_histogram(spark, folder):
 )
 def scatter_sample(spark, folder):
     measured = turn.with_ground_bands(turn.with_delay(tables.flights(spark, folder, delays=True)))
-    mixed = F.struct((F.col("flight_id") * 2654435761) % 4294967296, "flight_id")
-    return charts.scatter_points(measured, ["flight_id", "ground_time_delta", "dep_delay_minutes"], mixed)
+    mixed = (F.col("flight_id") * 2654435761) % 4294967296
+    return charts.scatter_points(measured, ["flight_id", "ground_time_delta", "dep_delay_minutes"], mixed, KEY)
 
 
 @case(
@@ -842,10 +893,10 @@ def uniform_blend(prefix: str = "", suffix: str = "_scaled") -> str:
 )
 def score_target_corr(spark, folder):
     design = tuning_design(spark, folder).withColumn("part", F.lit("all"))
-    covariance = tuning.covariances(stage(tuning.product_sums(tuning.centred(design, TUNED), TUNED, ["part"])), ["part"])
+    covariance = tuning.covariances(stage(tuning.product_matrices(tuning.shifted(design, TUNED), TUNED, ["part"])), ["part"], TUNED)
     rows = [("uniform", name, 1.0 / len(TUNED)) for name in TUNED]
     uniform = spark.createDataFrame(rows, tuning.CANDIDATE_SCHEMA)
-    return tuning.score_candidates(uniform, covariance, ["part"])
+    return tuning.score_candidates(uniform, stage(covariance), ["part"])
 
 
 @case(
@@ -881,8 +932,7 @@ def candidate_sql() -> str:
 
 @case("candidate_weight_search", {"fold": "i", "candidate": "s", "corr": 6}, candidate_sql(), ("slice_scored",))
 def candidate_weight_search(spark, folder):
-    sums = stage(tuning.fold_sums(tuning.centred(tuning_design(spark, folder), TUNED), TUNED))
-    covariance = tuning.covariances(sums.where("part = 'train'").drop("part"), ["fold"])
+    covariance = tuning.fold_covariances(tuning_design(spark, folder), TUNED).where("part = 'train'").drop("part")
     candidates = spark.createDataFrame(tuning.start_candidates(TUNED, DEFAULT_WEIGHTS), tuning.CANDIDATE_SCHEMA)
     return tuning.score_candidates(candidates, stage(covariance), ["fold"])
 
@@ -904,10 +954,70 @@ def hash_folds(spark, folder):
     )
 
 
-@case("tuned_weights", {"feature": "s", "weight": 6, "train_corr": 6, "test_corr": 6}, None)
+def gradient_sql(rows: str, auc: bool = False) -> str:
+    """The gradient search as a recursive query: one row per fold, 400 steps on the covariances of the other folds' rows."""
+    size = len(TUNED)
+    values = ", ".join(f"{name}_scaled" for name in TUNED)
+    square = ", ".join("[" + ", ".join(f"covar_pop({a}_scaled, {b}_scaled)" for b in TUNED) + "]" for a in TUNED)
+    cross = ", ".join(f"covar_pop({name}_scaled, target)" for name in TUNED)
+    image = "list_transform(square, lambda line: list_dot_product(line, w))"
+    quality = "CASE WHEN list_dot_product(w, image) * var > 0 THEN list_dot_product(w, together) / sqrt(list_dot_product(w, image) * var) ELSE CAST('-Infinity' AS DOUBLE) END"
+    even = f"list_transform(range({size}), lambda x: {number(1 / size)})"
+    blend = " + ".join(f"w[{at + 1}] * {name}_scaled" for at, name in enumerate(TUNED))
+    area = f"""(SELECT sum(p * (below + n / 2.0)) / (CAST(sum(p) AS DOUBLE) * sum(n)) FROM (
+        SELECT *, coalesce(sum(n) OVER (ORDER BY points ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+            SELECT CAST(round(({blend}) * CAST(1000000000 AS DOUBLE)) AS BIGINT) AS points, CAST(sum(target) AS BIGINT) AS p, CAST(sum(1 - target) AS BIGINT) AS n
+            FROM t JOIN mean ON true GROUP BY 1)))"""
+    return f"""(WITH RECURSIVE t AS MATERIALIZED (SELECT fold, target, {values} FROM {rows}),
+        known AS MATERIALIZED (SELECT f.fold, [{square}] AS square, [{cross}] AS together, var_pop(target) AS var
+            FROM t JOIN (SELECT unnest(range(5)) AS fold) f ON t.fold <> f.fold GROUP BY 1),
+        state AS (
+            SELECT fold, 0 AS step, w, image, w AS best, {quality} AS reached FROM (SELECT *, {image} AS image FROM (SELECT *, {even} AS w FROM known))
+            UNION ALL
+            SELECT fold, step + 1, w, image, CASE WHEN q > reached THEN w ELSE best END, greatest(q, reached) FROM (SELECT *, {quality} AS q FROM (
+                SELECT fold, step, best, reached, together, var, w, {image} AS image FROM (
+                    SELECT fold, step, best, reached, square, together, var, list_transform(v, lambda x: greatest(x - shifts[len(list_filter(list_zip(falling, shifts), lambda z: z[1] > z[2]))], 0)) AS w FROM (
+                        SELECT *, list_transform(range(1, {size + 1}), lambda i: (list_sum(falling[1:i]) - 1) / i) AS shifts FROM (
+                            SELECT *, list_sort(v, 'DESC') AS falling FROM (
+                                SELECT *, list_transform(list_zip(w, slope), lambda z: z[1] + {number(0.05)} * (z[2] - CASE WHEN z[1] > 0 THEN total / n ELSE (total + z[2]) / (n + 1) END)) AS v FROM (
+                                    SELECT *, list_sum(list_transform(list_zip(w, slope), lambda z: CASE WHEN z[1] > 0 THEN z[2] ELSE CAST(0 AS DOUBLE) END)) AS total,
+                                           len(list_filter(w, lambda x: x > 0)) AS n FROM (
+                                        SELECT *, list_transform(list_zip(together, image), lambda z: (z[1] / sqrt(spread) - up * z[2] / (spread * sqrt(spread))) / sqrt(var)) AS slope FROM (
+                                            SELECT s.*, k.square, k.together, k.var, list_dot_product(s.w, s.image) AS spread, list_dot_product(s.w, k.together) AS up
+                                            FROM state s JOIN known k USING (fold) WHERE s.step < 400)))))))))
+        ),
+        found AS MATERIALIZED (SELECT fold, best AS w FROM state WHERE step = 400),
+        mean AS MATERIALIZED (SELECT list(weight ORDER BY nth) AS w FROM (SELECT nth, sum(x) / 5 AS weight FROM (SELECT unnest(w) AS x, unnest(range({size})) AS nth FROM found) GROUP BY nth)),
+        quality AS (SELECT avg(train) AS train_corr, avg(test) AS test_corr FROM (SELECT f.fold, corr(target, {blend}) FILTER (WHERE t.fold <> f.fold) AS train,
+            corr(target, {blend}) FILTER (WHERE t.fold = f.fold) AS test FROM t JOIN found f ON true GROUP BY 1))
+        SELECT feature, weight, train_corr, test_corr{', ' + area + ' AS auc' if auc else ''} FROM (
+            SELECT unnest([{', '.join(f"'{name}'" for name in TUNED)}]) AS feature, unnest(w) AS weight FROM mean) JOIN quality ON true)"""
+
+
+DELAYED = f"""(SELECT *, CAST(coalesce((epoch_us(actual_departure_datetime_local) - epoch_us({DEPARTURE})) / 60000000.0, 0) AS DOUBLE) AS target,
+    flight_id % 5 AS fold FROM late_scaled)"""
+TUNED_COLUMNS = {"feature": "s", "weight": 5, "train_corr": 6, "test_corr": 6}
+
+
+@case("tuned_weights", TUNED_COLUMNS, gradient_sql(DELAYED), ("late_scaled",))
 def tuned_weights(spark, folder):
-    scored = stage(default_scored(spark, folder, delays=True))
-    return reports.tune(scored, SETTINGS, "delay")
+    return reports.tune(stage(default_scored(spark, folder, delays=True)), SETTINGS, "delay", fold=F.col("flight_id") % 5)
+
+
+@case(
+    "tuned_weights_json",
+    {"feature": "s", "weight": 5, "cv_score": 6, "held_out_score": 6, "auc": 6, "target": "s"},
+    f"(SELECT feature, weight, train_corr AS cv_score, test_corr AS held_out_score, auc, 'difficulty' AS target FROM {gradient_sql(TARGETED, auc=True)})",
+    ("slice_scored",),
+)
+def tuned_weights_json(spark, folder):
+    """The weights as they stand in the JSON file that the tuning job writes."""
+    path = scratch(spark, "weights")
+    reports.tune(stage(slice_scored(spark, folder)), SETTINGS, "difficulty", path=path, fold=F.col("flight_id") % 5)
+    weights = ", ".join(f"{name}: double" for name in TUNED)
+    record = spark.read.schema(f"weights struct<{weights}>, cv_score double, held_out_score double, auc double, target string").json(path)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), F.col(f"weights.{name}").alias("weight")) for name in TUNED]))
+    return record.select("cv_score", "held_out_score", "auc", "target", each.alias("w")).select("w.*", "cv_score", "held_out_score", "auc", "target")
 
 
 def weighted(weights: str, share: float | None = None, name: str = "") -> str:
@@ -951,6 +1061,11 @@ def tuned_weights_candidates(spark, folder):
     return tuning.tune_weights(tuning_design(spark, folder), TUNED, DEFAULT_WEIGHTS, "candidates")
 
 
-@case("tuned_weights_auc", {"feature": "s", "weight": 6, "train_corr": 6, "test_corr": 6, "auc": 6}, None)
+@case(
+    "tuned_weights_auc",
+    {**TUNED_COLUMNS, "auc": 6},
+    f"(SELECT * FROM {gradient_sql(TARGETED, auc=True)} ORDER BY weight DESC, feature LIMIT 15)",
+    ("slice_scored",),
+)
 def tuned_weights_auc(spark, folder):
-    return tuning.top_weights(reports.tune(stage(slice_scored(spark, folder)), SETTINGS, "difficulty"))
+    return tuning.top_weights(reports.tune(stage(slice_scored(spark, folder)), SETTINGS, "difficulty", fold=F.col("flight_id") % 5))
