@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,43 +91,59 @@ def request_groups(loads: DataFrame) -> DataFrame:
             F.sum("dep_delay_minutes").alias("delay"),
         )
     )
-    threshold = by_count.agg(F.percentile(F.col("ssr_count"), 0.75, F.col("flights"))).first()[0]
+    threshold = by_count.agg(F.percentile(F.col("ssr_count"), 0.75, F.col("flights"))).scalar()
+    known = by_count.withColumn("threshold", threshold)
 
     def mean_where(condition: Column) -> Column:
         delays = F.sum(F.when(condition, F.col("delays")))
         return F.sum(F.when(condition, F.col("delay"))) / F.nullif(delays, F.lit(0))
 
-    return by_count.agg(
-        F.lit(threshold).cast("double").alias("threshold"),
-        mean_where(F.col("ssr_count") >= F.lit(threshold)).alias("mean_delay_high"),
+    return known.agg(
+        F.max("threshold").cast("double").alias("threshold"),
+        mean_where(F.col("ssr_count") >= F.col("threshold")).alias("mean_delay_high"),
         mean_where(F.col("ssr_count") == 0).alias("mean_delay_low"),
     )
 
 
-OLS_SCHEMA = "intercept double, coef_ssr_count double, coef_load_factor double, r2 double, n_obs bigint, note string"
+# A determinant below this share of the squared trace is rounding: the two inputs are collinear.
+COLLINEAR = 1e-14
 
 
 def delay_regression(loads: DataFrame) -> DataFrame:
     """Least squares of delay on requests and load, over complete rows within a day's delay.
 
     One pass gives means and covariances, which Spark merges as central moments, so values far from zero keep their
-    digits. The 2 x 2 system they form is solved on the driver with the pseudo-inverse, which also answers
-    when the two inputs are collinear or one does not vary.
+    digits. The 2 x 2 system they form is solved by the pseudo-inverse, which also answers
+    when the two inputs are collinear or one does not vary: a symmetric matrix of rank one is divided by its squared trace.
     """
     x1, x2, y = F.col("ssr_count").cast("double"), F.col("load_factor"), F.col("dep_delay_minutes")
     rows = loads.select(x1.alias("a"), x2.alias("b"), y.alias("y")).dropna().where(F.abs("y") < 1440)
     pairs = ("aa", "ab", "bb", "ay", "by", "yy")
     found = rows.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n_obs"),
         *[F.avg(name).alias(name) for name in ("a", "b", "y")],
         *[F.covar_pop(p, q).alias(p + q) for p, q in pairs],
-    ).first()
-    spark = loads.sparkSession
-    if found["n"] < 10:
-        return spark.createDataFrame([(None, None, None, None, found["n"], "not enough data")], OLS_SCHEMA)
-    spread = np.array([[found["aa"], found["ab"]], [found["ab"], found["bb"]]], dtype=float)
-    cross = np.array([found["ay"], found["by"]], dtype=float)
-    slopes = np.linalg.pinv(spread, hermitian=True) @ cross
-    intercept = found["y"] - slopes[0] * found["a"] - slopes[1] * found["b"]
-    r2 = float(slopes @ cross / found["yy"]) if found["yy"] > 0 else None
-    return spark.createDataFrame([(float(intercept), *map(float, slopes), r2, found["n"], None)], OLS_SCHEMA)
+    )
+    aa, ab, bb, ay, by, yy = (F.col(pair) for pair in pairs)
+    solved = found.withColumns({"det": aa * bb - ab * ab, "trace": aa + bb, "enough": F.col("n_obs") >= 10})
+    full, some = F.col("det") > F.lit(COLLINEAR) * F.col("trace") * F.col("trace"), F.col("trace") > 0
+
+    def slope(by_inverse: Column, by_rank_one: Column) -> Column:
+        squared = F.col("trace") * F.col("trace")
+        return F.when(F.col("enough"), F.when(full, by_inverse / F.col("det")).when(some, by_rank_one / squared).otherwise(0.0))
+
+    solved = solved.withColumns(
+        {
+            "coef_ssr_count": slope(bb * ay - ab * by, aa * ay + ab * by),
+            "coef_load_factor": slope(aa * by - ab * ay, ab * ay + bb * by),
+        }
+    )
+    first, second = F.col("coef_ssr_count"), F.col("coef_load_factor")
+    return solved.select(
+        (F.col("y") - first * F.col("a") - second * F.col("b")).alias("intercept"),
+        "coef_ssr_count",
+        "coef_load_factor",
+        F.when(yy > 0, (first * ay + second * by) / yy).alias("r2"),
+        "n_obs",
+        F.when(~F.col("enough"), "not enough data").alias("note"),
+    )

@@ -30,23 +30,16 @@ def design_columns(scored: DataFrame, features: Sequence[str]) -> DataFrame:
     """One column ``x_<feature>`` per feature: the daily scaled value if there is one, else the
     value scaled between the extremes of the whole table (0 if it does not vary)."""
     raw = [name for name in features if f"{name}_scaled" not in scored.columns]
-    ends = {}
-    if raw:
-        bounds = []
-        for name in raw:
-            value = F.col(name).cast("double")
-            bounds += [F.min(value).alias(f"low_{name}"), F.max(value).alias(f"high_{name}")]
-        ends = scored.agg(*bounds).first().asDict()
-    added = {}
-    for name in features:
-        if name not in raw:
-            added[f"x_{name}"] = F.col(f"{name}_scaled")
-            continue
-        low, high = ends[f"low_{name}"], ends[f"high_{name}"]
-        varies = low is not None and high > low
-        value = (F.col(name).cast("double") - low) / (high - low) if varies else F.lit(0.0)
-        added[f"x_{name}"] = F.coalesce(value, F.lit(0.0))
-    return scored.withColumns(added)
+    added = {f"x_{name}": F.col(f"{name}_scaled") for name in features if name not in raw}
+    if not raw:
+        return scored.withColumns(added)
+    values = scored.select(*[F.col(name).cast("double").alias(name) for name in raw])
+    ends = [F.struct(F.min(name).alias("low"), F.max(name).alias("high")).alias(name) for name in raw]
+    known = scored.withColumn("_ends", values.agg(F.struct(*ends)).scalar())
+    for name in raw:
+        low, high = F.col(f"_ends.{name}.low"), F.col(f"_ends.{name}.high")
+        added[f"x_{name}"] = F.coalesce((F.col(name).cast("double") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    return known.withColumns({f"x_{name}": added[f"x_{name}"] for name in features}).drop("_ends")
 
 
 def with_fold(df: DataFrame, key: Sequence[str], k: int = 5) -> DataFrame:
@@ -446,10 +439,16 @@ def gradient_tuned(design: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def blend(design: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """Add ``blend``, the weighted sum of the design columns."""
-    parts = [F.col(f"x_{name}") * F.lit(weight) for name, weight in weights.items()]
-    return design.withColumn("blend", reduce(lambda a, b: a + b, parts, F.lit(0.0)))
+def blend(design: DataFrame, weights: Mapping[str, float] | DataFrame, features: Sequence[str] = ()) -> DataFrame:
+    """Add ``blend``, the weighted sum of the design columns; weights by name, or rows (feature, weight) of the ``features``."""
+    if isinstance(weights, DataFrame):
+        known = weights.agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight")))).scalar()
+        parts = [F.col(f"x_{name}") * F.coalesce(F.col("_weights")[name], F.lit(0.0)) for name in features]
+        table = design.withColumn("_weights", known)
+    else:
+        parts = [F.col(f"x_{name}") * F.lit(weight) for name, weight in weights.items()]
+        table = design
+    return table.withColumn("blend", reduce(lambda a, b: a + b, parts, F.lit(0.0))).drop("_weights")
 
 
 def rank_quality(df: DataFrame, score: str = "blend", target: str = TARGET, points: int = 1_000_000_000) -> DataFrame:

@@ -173,10 +173,10 @@ def write_analysis(result: Analysis, folder: str, format: str = "parquet") -> No
 
 
 def report_on_scores(
-    spark: SparkSession, path: str, top_n: int = 10, source: str = "parquet"
+    spark: SparkSession, path: str, top_n: int = 10, source: str = "parquet", days: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Destinations, drivers and advice from stored scores."""
-    scored = read_scores(spark, path, source=source, needed=("difficulty_class", DESTINATION))
+    """Destinations, drivers and advice from stored scores, of all days or those named."""
+    scored = read_scores(spark, path, source=source, needed=("difficulty_class", DESTINATION), days=days)
     if scored.isEmpty():
         raise ValueError("the scores table is empty")
     destinations = stage(destination_consistency(scored, top_n))
@@ -210,8 +210,7 @@ def tune(
     tuned = tune_weights(design, features, settings.weights, method)
     if binary:
         tuned = stage(tuned)
-        weights = {row["feature"]: row["weight"] for row in tuned.select("feature", "weight").collect()}
-        tuned = tuned.withColumn("auc", F.lit(rank_quality(blend(design, weights)).first()["auc"]).cast("double"))
+        tuned = tuned.withColumn("auc", rank_quality(blend(design, tuned, features)).select("auc").scalar())
     if path:
         write_weights(tuned, path, "difficulty" if binary else "delay")
     return tuned

@@ -59,9 +59,17 @@ def score_kinds(columns: Sequence[str]) -> dict[str, str]:
 
 
 def read_scores(
-    spark: SparkSession, path: str, day: str = DAY, source: str = "parquet", needed: Sequence[str] = ("difficulty_class",)
+    spark: SparkSession,
+    path: str,
+    day: str = DAY,
+    source: str = "parquet",
+    needed: Sequence[str] = ("difficulty_class",),
+    days: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Scores from an earlier run; the day as a date, bad ones as null."""
+    """Scores from an earlier run; the day as a date, bad ones as null.
+
+    With ``days``, dates as text, only the folders of these days (or of their months) are read.
+    """
     if source == "csv":
         text = clean_headers(spark.read.options(**CSV_STYLE).csv(path, header=True, inferSchema=False))
         df = typed(text, score_kinds(text.columns))
@@ -70,9 +78,12 @@ def read_scores(
     missing = [name for name in needed if name not in df.columns]
     if missing:
         raise ValueError(f"scores lack columns {missing}")
+    for name, size in (("score_day", 10), ("score_month", 7)):
+        if days is not None and name in df.columns:
+            df = df.where(F.col(name).cast("string").isin(sorted({text[:size] for text in days})))
     if day in df.columns:
         df = df.withColumn(day, F.col(day).try_cast("date"))
-    return df
+    return df if days is None else df.where(F.col(day).cast("string").isin(sorted(days)))
 
 
 def write_weights(tuned: DataFrame, path: str, target: str) -> DataFrame:

@@ -114,6 +114,17 @@ def test_one_day_of_scores_can_be_replaced(spark, tmp_path):
     assert found == {(1, "Easy"): 3, (2, "Medium"): 3, (3, "Easy"): 3}
 
 
+@pytest.mark.parametrize("per", ["day", "month"])
+def test_scores_of_some_days_read_only_their_folders(spark, tmp_path, per):
+    days = [date(2025, 8, 1), date(2025, 8, 2), date(2025, 9, 1), date(2025, 10, 1)]
+    scored = spark.createDataFrame([(day, "Easy", n) for n, day in enumerate(days)] + [(None, "Easy", 9)], f"{DAY} date, difficulty_class string, n int")
+    sinks.write_scores(scored, str(tmp_path), per=per)
+    found = sinks.read_scores(spark, str(tmp_path), days=["2025-08-02", "2025-10-01", "2030-01-01"])
+    assert sorted(row["n"] for row in found.collect()) == [1, 3]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and f"score_{per}" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_scores_as_csv(spark, tmp_path):
     path = str(tmp_path / "scores")
     sinks.write_table(scores(spark, [1]), path, "csv")

@@ -207,6 +207,22 @@ def sink_roundtrip(spark, folder):
     return sinks.read_scores(spark, path)
 
 
+SOME_DAYS = ("1994-03-01", "1995-03-02", "1995-03-31", "1996-12-24")
+
+
+@case(
+    "scores_of_some_days",
+    {"flight_id": "i", DAY: "s", "difficulty_score": 9, "daily_rank": "i", "difficulty_class": "s"},
+    f"(SELECT * FROM slice_scored WHERE CAST({DAY} AS VARCHAR) IN {SOME_DAYS})",
+    ("slice_scored",),
+)
+def scores_of_some_days(spark, folder):
+    """Some days of stored scores; only the folders of their months are read."""
+    path = scratch(spark, "scores")
+    sinks.write_scores(slice_scored(spark, folder), path, per="month")
+    return sinks.read_scores(spark, path, days=SOME_DAYS)
+
+
 @case(
     "scores_csv_roundtrip",
     {"flight_id": "i", DAY: "s", "difficulty_score": 9, "daily_rank": "i", "difficulty_class": "s", "load_factor_scaled": 9},
