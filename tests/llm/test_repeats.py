@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skyload.llm import exact_dedup, simhash, substring_dedup, suffix_dedup, suffix_order
+from skyload.llm import exact_dedup, mixing, simhash, substring_dedup, suffix_dedup, suffix_order
 from skyload.llm.queries import ORACLES, QUERIES
 
 WHITE = str.maketrans("", "", " \t\n\x0b\x0c\r")
@@ -249,3 +249,15 @@ def test_near_copies_with_shared_ids(spark):
     least = min((e, e + "\n"), key=lambda text: hashlib.sha256(text.encode()).digest())
     assert kept.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (9, least)], key=str)
+
+
+def test_map_columns_text_ids_and_clashing_names(spark):
+    """Rows that repeat, with columns that have no order or the names of helpers."""
+    text = "alpha beta gamma delta epsilon zeta"
+    rows = [("a", text, {"k": 1}, "s", 7, 1), ("a", text, {"k": 1}, "s", 7, 1), ("a", text, {"k": 2}, "s", 8, 1), ("b", "quite other words stand here", {}, None, 9, 2)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, facts map<string,int>, source string, epoch_ int, times int")
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["times"]) for r in kept.collect()) == [("a", 1), ("b", 2)]
+    drawn = mixing.draw_mix(docs)
+    assert drawn.columns == docs.columns and {r["epoch_"] for r in drawn.collect()} <= {7, 8, 9}
+    assert substring_dedup.remove_repeats(docs).count() == 4
