@@ -15,8 +15,8 @@ from skyload.llm.common import arrow_function, show_package_to_workers
 from skyload.llm.radix_tree import Tree
 from skyload.operators.staging import stage
 
-#: Bytes of a turn id, turns in a piece of a conversation, pieces in a tree, member ids in a chunk of a list.
-WIDTH, PIECE, BATCH, CHUNK = 16, 64, 20_000, 4096
+#: Bytes of a turn id, turns in a piece of a conversation, turns of a batch of pieces that build trees, member ids in a chunk of a list.
+WIDTH, PIECE, BATCH, CHUNK = 16, 64, 100_000, 4096
 #: A conversation borrows its first turns from the one at the start of its family, up to HEAD of them.
 FAMILY, HEAD = 20, 4
 
@@ -224,12 +224,14 @@ def nodes_of(members: DataFrame) -> DataFrame:
     names = ("conv_id", "at", "ids", "words", "last", "a", "b", "shared", "tail", "leaf")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[tuple] = []
+        pieces, turns = [], 0
         for batch in batches:
-            pieces.extend(zip(*(batch.column(name).to_pylist() for name in names)))
-            if len(pieces) >= BATCH:
-                yield as_batch(tree_nodes(pieces), NODES_ARROW)
-                pieces = []
+            for piece in zip(*(batch.column(name).to_pylist() for name in names)):
+                pieces.append(piece)
+                turns += 1 + len(piece[2]) // WIDTH
+                if turns >= BATCH:
+                    yield as_batch(tree_nodes(pieces), NODES_ARROW)
+                    pieces, turns = [], 0
         if pieces:
             yield as_batch(tree_nodes(pieces), NODES_ARROW)
 
