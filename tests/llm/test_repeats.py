@@ -114,7 +114,8 @@ def run_sql(folder, name):
     import duckdb
 
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     answer = connection.execute(ORACLES[name])
     columns = [column[0] for column in answer.description]
     return [dict(zip(columns, row)) for row in answer.fetchall()]
