@@ -13,6 +13,9 @@ from skyload.operators.staging import remembered, stage
 # A key with about this many rows or more is split over several tasks.
 HOT_ROWS = 2_000_000
 
+# Rows that one task sorts when rows are numbered in order.
+RANGE_ROWS = 200_000
+
 # Rows of a key at the limit that the search for such keys expects to see.
 SEEN_ROWS = 1_000
 
@@ -208,28 +211,30 @@ def trailing_window(
     """Add columns computed over the ``rows`` rows before each row of its group, ordered by day and ties.
 
     ``outputs`` maps a new column to a function of the window; rows without a group get null. Groups with more than ``limit``
-    rows are sorted together into ranges of about that size by group and order, and each range gets copies
-    of the last rows before it, so that every row sees the same frame as in one undivided window. ``sizes`` may name a cheaper
-    table to count groups in.
+    rows are numbered together by group and order and cut into chunks of ``limit`` numbers, and each chunk gets copies
+    of the last rows before it, so that every row sees the same frame as in one undivided window. How many tasks sort and number
+    them depends on their rows alone, not on the limit. ``sizes`` may name a cheaper table to count groups in.
     """
     order = [day, *ties]
     grouped = F.col(group).isNotNull()
     # Rows without a group need no frame; their own key keeps them out of one large partition.
     ungrouped = F.when(~grouped, F.xxhash64(*order))
 
-    def framed(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    def framed(table: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
         frame = Window.partitionBy(*by, ungrouped).orderBy(*order).rowsBetween(-rows, -1)
         return table.withColumns({name: F.when(grouped, make(frame)) for name, make in outputs.items()})
 
     limit = limit or HOT_ROWS
     large = large_groups(df if sizes is None else sizes, group, limit)
     if large is None:
-        return framed(df, [group])
-    names = large.select(group)
-    chunked = in_ranges(df.join(names, group, "left_semi"), large, group, order, limit)
-    whole = chunked.withColumn("_carried", F.lit(False)).unionByName(carried_rows(chunked, group, order, rows).withColumn("_carried", F.lit(True)))
-    cut = framed(whole, [group, "_chunk"]).where(~F.col("_carried")).drop("_chunk", "_carried")
-    return framed(df.join(names, group, "left_anti"), [group]).unionByName(cut)
+        return framed(df, [group], order)
+    # Written, as the rows are read for the ranges' bounds, for the sort and for the groups left whole.
+    marked = stage(df.join(large.select(group, F.lit(True).alias("_large")), group, "left"))
+    total = large.agg(F.sum("_rows")).first()[0]
+    placed = numbered_rows(marked.where("_large").drop("_large"), [group, *order], total)
+    cut = framed(in_chunks(placed, rows, limit), [group, "_chunk"], ["_place"]).where(~F.col("_carried"))
+    whole = framed(marked.where("_large IS NULL").drop("_large"), [group], order)
+    return whole.unionByName(cut.drop("_place", "_chunk", "_carried")).select(*df.columns, *outputs)
 
 
 def large_groups(df: DataFrame, group: str, limit: int) -> DataFrame | None:
@@ -243,27 +248,29 @@ def large_groups(df: DataFrame, group: str, limit: int) -> DataFrame | None:
     return remembered("large", df, [group, limit], counted)
 
 
-def in_ranges(df: DataFrame, large: DataFrame, group: str, order: Sequence[str], limit: int) -> DataFrame:
-    """Rows sorted into ranges of (group, order) of about ``limit`` rows, numbered ``_chunk``; a written table, so the numbers stay.
-
-    Equal places lie in one range, as ranges are cut between different values.
-    """
-    ranges = max(1, -(-large.agg(F.sum("_rows")).first()[0] // limit))
-    return stage(df.repartitionByRange(ranges, group, *order).withColumn("_chunk", F.spark_partition_id()))
-
-
-def carried_rows(chunked: DataFrame, group: str, order: Sequence[str], rows: int) -> DataFrame:
-    """The last ``rows`` rows of its group before each chunk, with that chunk's number.
+def numbered_rows(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
+    """Rows with ``_place``, their number in the given order from 0 without gaps; ``rows`` is about how many there are.
 
-    Each chunk of a group hands on its last rows, or all if it has fewer, so the rows wanted are the last of those handed on by
-    all chunks before. These are numbered, and every chunk asks for its numbers.
+    Each task sorts one range and numbers its rows; the ranges' sizes, one short row each, say where a range starts. The numbers
+    are written with the rows, so rows equal in all order columns keep theirs; they lie in one range.
     """
-    last = Window.partitionBy(group, "_chunk").orderBy(*[F.col(name).desc() for name in order])
-    handed = chunked.withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= rows)
-    number = F.row_number().over(Window.partitionBy(group).orderBy("_chunk", F.col("_back").desc()))
-    tails = stage(handed.withColumn("_number", number).drop("_back"))
-    before = F.sum("_handed").over(Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    ends = tails.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_handed")).withColumn("_end", before).where("_end > 0")
-    first = F.greatest(F.col("_end") - F.lit(rows - 1), F.lit(1))
-    wanted = ends.select(group, F.col("_chunk").alias("_to"), F.explode(F.sequence(first, F.col("_end"))).alias("_number"))
-    return tails.drop("_chunk").join(wanted, [group, "_number"]).withColumnRenamed("_to", "_chunk").drop("_number").select(*chunked.columns)
+    ranges = max(1, -(-rows // RANGE_ROWS))
+    ordered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # The upper bits are the number of the partition, the lower 33 that of the row in it.
+    written = stage(ordered.withColumn("_id", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_id", 33))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = written.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    starts = stage(sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")))
+    place = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return written.join(starts, "_range").withColumn("_place", place).drop("_id", "_range", "_start")
+
+
+def in_chunks(placed: DataFrame, rows: int, limit: int) -> DataFrame:
+    """Rows with the ``_chunk`` of ``limit`` numbers they lie in, and ``_carried`` copies in those chunks whose first rows look back at them."""
+
+    def chunk(place: Column) -> Column:
+        return F.floor(place / F.lit(limit)).cast("bigint")
+
+    home = chunk(F.col("_place"))
+    reached = F.sequence(home, chunk(F.col("_place") + F.lit(rows)))
+    return placed.withColumn("_chunk", F.explode(reached)).withColumn("_carried", F.col("_chunk") > home)

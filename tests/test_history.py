@@ -1,12 +1,16 @@
+import glob
 import random
 import statistics
 from datetime import date, timedelta
 
 import pytest
+from helpers import rounded
 from pyspark.sql import functions as F
 
 from skyload.config import DAY, DESTINATION
+from skyload.operators import spread
 from skyload.operators.history import daily_destinations, destination_baseline, with_destination_baseline, with_volatility
+from skyload.operators.staging import STAGED
 
 FIRST = date(2025, 1, 1)
 SCHEMA = f"id int, flight_number string, {DAY} date, load_factor double, ground_time_pressure double"
@@ -82,3 +86,30 @@ def test_baseline_join_of_heavy_destinations(spark):
     split = with_destination_baseline(scored(spark, table), limit=5, small=0)
     assert sorted(map(str, plain.select(sorted(plain.columns)).collect())) == sorted(map(str, split.select(sorted(plain.columns)).collect()))
     assert plain.count() == 91
+
+
+def many_numbers(spark, groups=250, flights=9):
+    """Recurring flight numbers with a few flights each, one of them twice in the table."""
+    table = [(n, f"f{n % groups}", FIRST + timedelta(days=n // groups // 2), float(n * 37 % 101), float(n % 7)) for n in range(groups * flights)]
+    return spark.createDataFrame([*table, table[5]], SCHEMA)
+
+
+def test_few_tasks_however_small_the_limit(spark):
+    """Groups are cut far smaller than a task's share; the tables written on the way have few files."""
+    known = len(STAGED)
+    cut = with_volatility(many_numbers(spark), ties=["id"], limit=6)
+    assert cut.count() == 250 * 9 + 1
+    assert max(len(glob.glob(f"{path.removeprefix('file:')}/part-*")) for path in STAGED[known:]) <= 8
+
+
+@pytest.mark.parametrize("limit", [3, 6, 40])
+def test_chunks_over_several_ranges(spark, monkeypatch, limit):
+    """Ranges sorted by different tasks, chunks across them and frames longer than a chunk give what one window gives."""
+    monkeypatch.setattr(spread, "RANGE_ROWS", 100)
+    df = many_numbers(spark, groups=30)
+    whole, cut = (rounded(with_volatility(df, ties=["id"], limit=size), ["id", "load_factor_volatility", "ground_time_pressure_volatility"]) for size in (None, limit))
+    # Groups below the limit stay whole.
+    assert cut == whole
+    hot = df.withColumn("flight_number", F.lit("hot"))
+    whole, cut = (rounded(with_volatility(hot, ties=["id"], limit=size), ["id", "load_factor_volatility"]) for size in (None, limit))
+    assert cut == whole
