@@ -13,6 +13,9 @@ from skyload.operators.staging import remembered, stage
 # A key with about this many rows or more is split over several tasks.
 HOT_ROWS = 2_000_000
 
+# Rows that one task takes through the joins, aggregates and windows on a key.
+TASK_ROWS = 300_000
+
 # Rows that one task sorts when rows are numbered in order.
 RANGE_ROWS = 200_000
 
@@ -30,6 +33,20 @@ BUCKET_WIDTH = 32_768
 WIDE_BUCKETS = (1 << 42, 1 << 21)
 
 
+def in_parts(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Rows shuffled by the keys into tasks of about ``TASK_ROWS``; ``rows`` is about how many there are.
+
+    Adaptive execution merges partitions by their compressed bytes, but joins, aggregates and windows that follow each other on one
+    partitioning each hold the rows unpacked, some thirty times those bytes together. A number of partitions that is asked for is not
+    merged. A table with few rows for the cores at hand is left to adaptive execution.
+    """
+    spark = df.sparkSession
+    parts = -(-rows // TASK_ROWS)
+    if parts <= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def hot_keys(
     df: DataFrame, keys: Sequence[str], limit: int | None = None, rows: Column | None = None
 ) -> DataFrame | None:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from skyload.functions.columns import double_order
 from skyload.operators.spread import WIDE_BUCKETS, attach_all, hot_keys, lookup_join, prior_totals, spread_join
+from skyload.operators import spread
+from skyload.operators.passengers import passenger_features
 from skyload.operators.staging import stage
+from workbench import tables
 
 
 def test_join_of_heavy_keys_and_copies(spark):
@@ -120,3 +123,27 @@ def test_numbers_of_doubles(spark):
             assert row["n"] == (-bits if row["x"] < 0 else bits)
         else:
             assert row["n"] > struct.unpack("<q", struct.pack("<d", float("inf")))[0]
+
+
+def test_rows_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    """Joined bookings come in tasks of about the wanted rows, which the aggregates on the flight keep; the rows are the same."""
+    lines = spark.range(6000).selectExpr(
+        "id % 1500 AS l_orderkey", "id AS l_partkey", "timestamp_ntz'1995-01-01 00:00:00' AS l_shipdate", "1.0D AS l_quantity",
+        "'F' AS l_linestatus", "'R' AS l_returnflag", "1 AS l_linenumber", "0.05D AS l_discount",
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1500).selectExpr("id AS o_orderkey", "timestamp_ntz'1995-01-09 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = passenger_features(tables.bookings(spark, str(tmp_path), dates=True), ["flight_id"])
+        expected = sorted(map(str, plain.collect()))
+        monkeypatch.setattr(spread, "TASK_ROWS", 200)
+        parted = tables.bookings(spark, str(tmp_path), dates=True)
+        largest = parted.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        result = passenger_features(parted, ["flight_id"])
+        # One shuffle for either side of the join, none for the cells, the window or the totals.
+        assert explained(result).count("Exchange hashpartitioning") == 2
+        assert largest <= 400
+        assert sorted(map(str, result.collect())) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyload.config import Settings
+from skyload.operators.spread import in_parts
 from skyload.sources.tables import Inputs
 
 KEY = ["flight_id"]
@@ -82,7 +83,9 @@ def bookings(spark: SparkSession, folder: str, dates: bool = False) -> DataFrame
     days = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("scheduled_departure_date_local")
     )
-    return rows.join(days, "l_orderkey").select(*columns, "scheduled_departure_date_local")
+    # All that follows on the flight key stays in these parts.
+    parted = [in_parts(side, ["l_orderkey"], rows.count()) for side in (rows, days)]
+    return parted[0].join(parted[1], "l_orderkey").select(*columns, "scheduled_departure_date_local")
 
 
 def remarks(spark: SparkSession, folder: str) -> DataFrame:
