@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyload.config import DEPARTURE, FLIGHT_KEY
 from skyload.functions.columns import first_present, flag, ratio, wall_micros
 from skyload.operators.spread import WIDE_BUCKETS, prior_totals, spread_join
+from skyload.operators.staging import stage
 
 # Bag types, and the columns that may hold the time of issue, best first.
 CHECKED, TRANSFER, HOT_TRANSFER, ORIGIN_BAG = "Checked", "Transfer", "Hot Transfer", "Origin"
@@ -77,19 +78,28 @@ def departure_times(flights: DataFrame, key: Sequence[str], departure: str) -> t
     return times.where(F.col("_time").isNotNull()).select(*key, at.alias("_at")), facts
 
 
-def late_counts(cells: DataFrame, times: DataFrame, facts: DataFrame, key: Sequence[str]) -> DataFrame:
+def issue_cells(bags: DataFrame, key: Sequence[str], issued: str) -> DataFrame:
+    """Bags by type per flight and time of issue."""
+    return (
+        with_checked_type(bags)
+        .groupBy(*key, wall_micros(F.col(issued)).alias("_at"))
+        .agg(*type_counts(), F.count(F.lit(1)).alias("_bags"))
+    )
+
+
+def late_counts(bags: DataFrame, issued: str, times: DataFrame, facts: DataFrame, key: Sequence[str]) -> DataFrame:
     """(…key, _swept): for flights with several departure times, the bags issued at or after each of them, added up.
 
     Times and moments of issue form one ordered stream per flight. Running totals over it, in three levels of buckets, tell how many
     times lie at or before each moment, so neither a flight with very many times nor one with very many bags is listed or
-    sorted in one task.
+    sorted in one task. The flights are found first and written, so that only their bags are counted again, and once for all levels.
     """
-    several = facts.where(F.col("_known") > 1).select(*key)
+    several = stage(facts.where(F.col("_known") > 1).select(*key))
+    cells = issue_cells(bags.join(several, list(key), "left_semi"), key, issued)
     moments = cells.where(F.col("_at").isNotNull()).select(*key, "_at", F.lit(0).alias("_time"), F.col("_bags"))
-    stream = times.select(*key, "_at", F.lit(1).alias("_time"), F.lit(0).cast("bigint").alias("_bags")).unionByName(moments)
-    swept = prior_totals(
-        stream.join(several, list(key), "left_semi"), key, "_at", {"_past": F.sum("_time"), "_issued": F.sum("_bags")}, widths=WIDE_BUCKETS, keep=False
-    )
+    marks = times.join(several, list(key), "left_semi")
+    stream = marks.select(*key, "_at", F.lit(1).alias("_time"), F.lit(0).cast("bigint").alias("_bags")).unionByName(moments)
+    swept = prior_totals(stream, key, "_at", {"_past": F.sum("_time"), "_issued": F.sum("_bags")}, widths=WIDE_BUCKETS)
     return swept.groupBy(*key).agg(F.sum(F.col("_issued") * (F.col("_past_before") + F.col("_past"))).alias("_swept"))
 
 
@@ -113,11 +123,7 @@ def bag_features(
         return bag_counts(bags, key).withColumns(nothing)
 
     keyed = bags.dropna(subset=list(key))
-    cells = (
-        with_checked_type(keyed)
-        .groupBy(*key, wall_micros(F.col(issued)).alias("_at"))
-        .agg(*type_counts(), F.count(F.lit(1)).alias("_bags"))
-    )
+    cells = issue_cells(keyed, key, issued)
     times, facts = departure_times(flights, key, departure)
     timed = spread_join(cells, facts, key, sizes=keyed, by=[*key, "_at"], limit=limit)
     first = wall_micros(F.col("_first"))
@@ -132,7 +138,7 @@ def bag_features(
             F.sum(F.col("_late") * rows).alias("_counted"),
             F.sum(rows * F.coalesce("_times", F.lit(1))).alias("_pairs"),
         )
-        .join(late_counts(cells, times, facts, key), list(key), "left")
+        .join(late_counts(keyed, issued, times, facts, key), list(key), "left")
         .withColumn("bag_late_issue_ratio", F.coalesce("_swept", "_counted", F.lit(0)) / F.col("_pairs"))
     )
     return sums.select(

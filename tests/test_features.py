@@ -1,3 +1,5 @@
+import contextlib
+import io
 from datetime import date, datetime
 
 import pytest
@@ -196,3 +198,16 @@ def test_features_of_repeated_flight_keys(spark):
     assert master.count() == many.count()
     found = master.where("flight_number = 1002").groupBy(DAY).agg(F.countDistinct("total_pax", "total_bags", "ssr_count").alias("n")).collect()
     assert [row["n"] for row in found] == [1, 1]
+
+
+def test_bags_are_counted_once(spark, tmp_path):
+    """Only the bags of flights with several departure times are counted again; the plan that remains reads all bags once."""
+    table = airline(spark)
+    table.bags.write.parquet(f"{tmp_path}/bags")
+    bags = spark.read.parquet(f"{tmp_path}/bags")
+    key = ["company_id", "flight_number", "scheduled_departure_date_local"]
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        bag_features(bags, table.flights, key).explain()
+    assert sum("FileScan" in line and "bag_type" in line for line in text.getvalue().splitlines()) == 1
+    assert rounded(bag_features(bags, table.flights, key)) == rounded(bag_features(table.bags, table.flights, key))
